@@ -6,10 +6,13 @@ from litsieve.llm.decontam import op3_benchmark_decontamination
 from litsieve.llm.packing import op1_best_fit_packing
 from litsieve.llm.pii import op10_pii_anchors
 from litsieve.llm.sstable import op5_token_sstable
+from litsieve.llm.topk import op9_exact_topk
+from litsieve.llm.toxicity import op8_toxicity_nnpu
+from litsieve.llm.warc import op7_warc_normaliser
 
 
 def queries() -> dict:
-    own = (op1_best_fit_packing, op3_benchmark_decontamination, op5_token_sstable, op10_pii_anchors)
+    own = (op1_best_fit_packing, op3_benchmark_decontamination, op5_token_sstable, op7_warc_normaliser, op8_toxicity_nnpu, op9_exact_topk, op10_pii_anchors)
     return {f.__name__: f for f in own}
 
 
