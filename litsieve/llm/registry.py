@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from litsieve.llm.decontam import op3_benchmark_decontamination
+from litsieve.llm.jaccard import op6_ngram_jaccard_join
 from litsieve.llm.packing import op1_best_fit_packing
 from litsieve.llm.pii import op10_pii_anchors
 from litsieve.llm.sstable import op5_token_sstable
@@ -10,11 +12,21 @@ from litsieve.llm.topk import op9_exact_topk
 from litsieve.llm.toxicity import op8_toxicity_nnpu
 from litsieve.llm.warc import op7_warc_normaliser
 
+_QUERIES = (
+    op1_best_fit_packing,
+    op3_benchmark_decontamination,
+    op5_token_sstable,
+    op6_ngram_jaccard_join,
+    op7_warc_normaliser,
+    op8_toxicity_nnpu,
+    op9_exact_topk,
+    op10_pii_anchors,
+)
+
 
 def queries() -> dict:
-    own = (op1_best_fit_packing, op3_benchmark_decontamination, op5_token_sstable, op7_warc_normaliser, op8_toxicity_nnpu, op9_exact_topk, op10_pii_anchors)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
