@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,5 +71,12 @@ def doc_groups(parts: Iterable[pa.RecordBatch], size: int = 128) -> Iterator[tup
             yield b.column(0).slice(at, size).to_pylist(), [t or "" for t in b.column(1).slice(at, size).to_pylist()]
 
 
+def doc_columns(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """Ids and the texts of each batch as a column, null text as empty."""
+    for b in parts:
+        if b.num_rows:
+            yield b.column(0).to_pylist(), pc.fill_null(b.column(1), "")
+
+
 def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))

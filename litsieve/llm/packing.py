@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, doc_groups, shuffle_width, texts, tune
+from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tune
 from litsieve.llm.tokens import encoder, tokenizer_path
 from litsieve.storage import materialize
 
@@ -56,8 +56,8 @@ def pieces(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, end
         enc = encoder(path)
 
         def rows():
-            for doc_ids, some in doc_groups(parts):
-                for doc_id, ids in zip(doc_ids, enc.encode_all(some), strict=True):
+            for doc_ids, some in doc_columns(parts):
+                for doc_id, ids in zip(doc_ids, enc.encode_column(some), strict=True):
                     ids += end
                     for k, (s, n) in enumerate(cut(len(ids) // 4, seq_len)):
                         own = ids[4 * s : 4 * (s + n)]

@@ -10,13 +10,22 @@ one call on the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 TOKENIZER = "byte_bpe_50k.json"
 _LONG = 64
+#: Fixed values of the byte-level scheme: how it cuts texts, and the printable character of each byte.
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: b if b in _SHOWN else 256 + k for k, b in [(sum(x not in _SHOWN for x in range(b)), b) for b in range(256)]}
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[tuple[str, bool], "SegmentEncoder"] = {}
 
@@ -45,66 +54,111 @@ class SegmentEncoder:
         self.limit = limit
         self.cache: dict[str, bytes] = {}
 
-        # ids whose token starts with the byte of U+0020
-        self.opens = np.zeros(self.tok.get_vocab_size(), dtype=bool)
-        self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.pattern = regex.compile(_PATTERN)
+        self.small: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after one space. One call takes many: only a word's first id opens with a space."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            own = words[at : at + 4096]
-            ids = np.array(self.tok.encode_batch_fast(["".join([" " + w for w in own])], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+        """Ids of each word after one space.
+
+        Words of letters, digits and marks below U+0530 are cut by the pre-tokeniser's own pattern and
+        their pieces go straight to the library's BPE model; all others go through its whole pipeline.
+        """
+        out, later = [], []
+        tokenize, small, known = self.tok.model.tokenize, self.small, self.cache
+        for w in words:
+            if w.isascii():
+                if w.isalpha():
+                    out.append(array("I", [t.id for t in tokenize("\u0120" + w)]).tobytes())
+                    continue
+            elif max(w) >= "\u0530":
+                later.append(len(out))
+                out.append(w)
+                continue
+            ids = b""
+            for piece in self.pattern.findall(" " + w):
+                own = small.get(piece) or (known.get(piece[1:]) if piece[0] == " " else None)
+                if own is None:
+                    raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+                    own = small[piece] = array("I", [t.id for t in tokenize(raw.translate(_BYTES))]).tobytes()
+                ids += own
+            out.append(ids)
+        if len(small) > self.limit // 4:
+            small.clear()
+        for k, ids in zip(later, self._library([" " + out[k] for k in later]), strict=True):
+            out[k] = ids
         return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text. What the cache lacks for all of them is encoded in a few calls."""
-        out: list[bytes] = [b""] * len(texts)
-        cut: dict[int, list[str]] = {}
-        want: set[str] = set()
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if any(s in text for s in self.special):
-                out[k] = self._library([text])[0]
-                continue
-            own = text.split(" ")
-            if len(own) > 1 and (own[0][-1:].isspace() or not own[-1]):
-                own = _SAFE.split(text)
-            cut[k] = own
-            want.update(own[1:])
-        missing = [p for p in want if p not in self.cache]
-        odd = {p for p in missing if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:  # spaces in a row or beside other white space: cut those texts with more care
-            for k, own in cut.items():
-                if not odd.isdisjoint(own[1:]):
-                    cut[k] = _SAFE.split(texts[k])
-            want = set().union(*(own[1:] for own in cut.values()))
-            missing = [p for p in want if p not in self.cache]
+        """Ids of each text, null as empty."""
+        return self.encode_column(pa.array([t or "" for t in texts], type=pa.string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each string of a column without nulls.
+
+        Arrow cuts the texts and numbers the distinct segments; Python sees each of those once; numpy
+        puts the ids together.
+        """
+        n = len(column)
+        if not n:
+            return []
+        gc.disable()  # nothing here is cyclic, and the cache is long to walk
+        try:
+            lists = pc.split_pattern(column, " ")
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            coded = pc.dictionary_encode(lists.flatten())
+            words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            first = at[starts[:-1]]
+            known, odd = self._lookup(words)
+            careful = np.logical_or.reduceat(odd[at], starts[:-1]) if odd.any() else np.zeros(n, dtype=bool)
+            ids = [*known, *self._library([words[k] for k in first.tolist()])]
+            at[starts[:-1]] = len(words) + np.arange(n)
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            pool = np.frombuffer(b"".join(ids), dtype="<u4")
+            begin = np.cumsum(sizes) - sizes
+            each = sizes[at]
+            ends = np.cumsum(each)
+            raw = memoryview(pool[np.repeat(begin[at] - ends + each, each) + np.arange(ends[-1])]).cast("B")
+            cuts = (np.concatenate([[0], ends])[starts] * 4).tolist()
+            return [self._careful(column[k].as_py()) if careful[k] else bytes(raw[cuts[k] : cuts[k + 1]]) for k in range(n)]
+        finally:
+            gc.enable()
+
+    def _lookup(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each word after one space, and which words need the careful cut of their text."""
+        out = list(map(self.cache.get, words))
+        odd = np.zeros(len(words), dtype=bool)
+        missing = []
+        for k, ids in enumerate(out):
+            if ids is None:
+                w = words[k]
+                if not w or w[0].isspace() or w[-1].isspace() or any(s in w for s in self.special):
+                    odd[k], out[k] = True, b""
+                else:
+                    missing.append(k)
         if len(self.cache) + len(missing) > self.limit:
             self.cache.clear()
-            missing = list(want)
-        plain = [p for p in missing if " " not in p]
-        self.cache.update(zip(plain, self._words(plain), strict=True))
-        spaced = [p for p in missing if " " in p]
-        self.cache.update(zip(spaced, self._library([" " + p for p in spaced]), strict=True))
-        get = self.cache.__getitem__
-        firsts = self._library([own[0] for own in cut.values()])
-        for (k, own), first in zip(cut.items(), firsts, strict=True):
-            out[k] = first + b"".join(map(get, own[1:]))
-        for p in missing:
-            if len(p) > _LONG:
-                del self.cache[p]
-        return out
+        for k, ids in zip(missing, self._words([words[k] for k in missing]), strict=True):
+            out[k] = ids
+            if len(words[k]) <= _LONG:
+                self.cache[words[k]] = ids
+        return out, odd
+
+    def _careful(self, text: str) -> bytes:
+        """Spaces in a row or beside other white space: cut only between non-space characters."""
+        if not text or any(s in text for s in self.special):
+            return self._library([text])[0] if text else b""
+        own = _SAFE.split(text)
+        rest = list(map(self.cache.get, own[1:]))
+        lack = [k for k, ids in enumerate(rest) if ids is None]
+        for k, ids in zip(lack, self._library([" " + own[k + 1] for k in lack]), strict=True):
+            rest[k] = ids
+        return self._library(own[:1])[0] + b"".join(rest)
 
 
 def encoder(path: str, special_as_text: bool = False) -> SegmentEncoder:
