@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, doc_groups, shuffle_width, texts, tune
+from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tune
 from litsieve.llm.files import atomic_write, open_random
 from litsieve.llm.tokens import encoder, tokenizer_path
 from litsieve.storage import fresh_dir
@@ -171,12 +171,13 @@ _ZIP: list = []
 
 
 def encode_value(ids: bytes) -> bytes:
-    """u32 ids to the stored form."""
+    """u32 ids to the stored form: their low halves alone, if the high ones are zero."""
     if not _ZIP:
         _ZIP.append(zstandard.ZstdCompressor(level=1))
-    a = np.frombuffer(ids, dtype="<u4")
-    narrow = not len(a) or int(a.max()) < 65536
-    return (b"\x02" if narrow else b"\x04") + _ZIP[0].compress(a.astype("<u2").tobytes() if narrow else ids)
+    halves = np.frombuffer(ids, dtype="<u2")
+    if halves[1::2].any():
+        return b"\x04" + _ZIP[0].compress(ids)
+    return b"\x02" + _ZIP[0].compress(halves[::2].tobytes())
 
 
 def decode(value: bytes) -> np.ndarray:
@@ -197,17 +198,17 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     end = np.array([end_id], dtype="<u4").tobytes()
     cuts = texts(docs).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    mid = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("value", pa.binary()), ("tie", pa.int64())])
+    mid = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("value", pa.binary())])
     made = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def encode(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
 
         def rows():
-            for doc_ids, some in doc_groups(parts):
-                for doc_id, ids in zip(doc_ids, enc.encode_all(some), strict=True):
+            for doc_ids, some in doc_columns(parts):
+                for doc_id, ids in zip(doc_ids, enc.encode_column(some), strict=True):
                     ids += end
-                    yield doc_id, 0 if doc_id is None else bisect_right(cuts, doc_id), len(ids) // 4, encode_value(ids), zlib.crc32(ids)
+                    yield doc_id, 0 if doc_id is None else bisect_right(cuts, doc_id), len(ids) // 4, encode_value(ids)
 
         yield from batches(rows(), mid)
 
@@ -225,8 +226,8 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
             writer.finish()
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((shard, name, len(writer.keys), writer.ids), made, strict=True)], schema=made)
 
-    ids = texts(docs).mapInArrow(encode, "doc_id long, shard int, n_ids long, value binary, tie long")
-    dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie")
+    ids = texts(docs).mapInArrow(encode, "doc_id long, shard int, n_ids long, value binary")
+    dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_ids", "value")
     return [tuple(r) for r in sorted(dealt.mapInArrow(store, "shard int, uri string, documents long, ids long").collect())]
 
 
