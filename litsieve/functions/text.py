@@ -60,7 +60,8 @@ def text(c: Column | str) -> Column:
 
 def strip_tags(c: Column) -> Column:
     """T1 without entities: script, style and comments go, other tags become spaces."""
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    for tag in ("script", "style"):
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
     return F.regexp_replace(c, r"<[^<>]*>", " ")
 

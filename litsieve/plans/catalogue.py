@@ -1,21 +1,453 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries and their SQL counterparts, on the driver's tables.
+
+A ``documents`` row stands for an article: doc_id is ``orig_index``, text the abstract, source the journal, lang the
+language, and an md5 of the lowered text the DOI. ``embeddings`` stand for the text space with its clusters.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from litsieve.functions import search, text, vectors
+from litsieve.functions.fuzzy import normalised_levenshtein
+from litsieve.functions.html import html_text
+from litsieve.operators import boilerplate, cluster, decisions, dedup, lsa, neardup, quality, relevance
+from litsieve.operators.graph import connected_components, local_clustering
 from litsieve.storage import read_table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def articles(spark: SparkSession, d: str) -> DataFrame:
+    t = F.lower(F.coalesce("text", F.lit("")))
+    return read_table(spark, d, "documents").select(F.col("doc_id").alias("orig_index"), t.alias("abstract"), F.md5(t.cast("binary")).alias("doi"), "lang", "source")
+
+
+STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+ART = "art AS (SELECT doc_id, lower(coalesce(text, '')) AS t, md5(lower(coalesce(text, ''))) AS doi, lang, source FROM documents)"
+WORDS = "list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> x <> '')"
+COUNT = f"len(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains([{STOP}], x)))"
+SPACED = "list_filter(string_split_regex(t, '\\s+'), x -> x <> '')"
+LANG = "CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'de' THEN 'German' ELSE 'French' END"
+#: Token sets, one row for each distinct set.
+SETS = f"sets AS (SELECT min(doc_id) AS k, s FROM (SELECT doc_id, list_sort(list_distinct({WORDS})) AS s FROM art) WHERE len(s) > 0 GROUP BY s), post AS (SELECT k, len(s) AS n, unnest(s) AS tok FROM sets)"
+
+
+def pairs_sql(threshold: float) -> str:
+    return f"""{ART}, {SETS}, both_ AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS c FROM post a JOIN post b ON a.tok = b.tok AND a.k < b.k GROUP BY ALL),
+      pairs AS (SELECT a, b, c / (na + nb - c)::DOUBLE AS jaccard FROM both_ WHERE c / (na + nb - c)::DOUBLE >= {threshold})"""
+
+
+def _qc(spark: SparkSession, d: str) -> DataFrame:
+    a = articles(spark, d)
+    lang = F.create_map(*[F.lit(x) for x in ("en", "English", "es", "Spanish", "de", "German", "fr", "French")])
+    return a.withColumns({"language": F.element_at(lang, F.col("lang")), "year": (1890 + F.col("orig_index") % 150).cast("string"), "doi": F.when(F.col("orig_index") % 7 == 0, " ").otherwise(F.col("doi"))})
+
+
+@registered(
+    f"""WITH {ART}, c AS (SELECT *, trim(regexp_replace(regexp_replace(t, '(?i)copyright .*', '', 'g'), '(^|\\s)[0-9]+(\\s|$)', ' ', 'g')) AS cleaned FROM art),
+    h AS (SELECT *, len(list_filter(string_split_regex(cleaned, '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains([{STOP}], x))) AS n FROM c),
+    f AS (SELECT *, n < (SELECT quantile_cont(n, 0.15) FROM h) AS hollow, row_number() OVER (PARTITION BY doi ORDER BY doc_id) AS r FROM h)
+    SELECT lang, source, count(*)::BIGINT AS articles, count(*) FILTER (r > 1)::BIGINT AS duplicates, count(*) FILTER (r = 1 AND hollow)::BIGINT AS hollow, count(*) FILTER (r = 1 AND NOT hollow)::BIGINT AS kept FROM f GROUP BY lang, source"""
+)
+def screening_summary(spark, d):
+    """The smallest whole pass: clean, flag hollow abstracts, drop exact copies, count what stays."""
+    a = articles(spark, d)
+    a = a.withColumn("cleaned", F.trim(text.remove_numbers(F.regexp_replace("abstract", "(?iud)copyright .*", ""))))
+    a = quality.flag_hollow(a, "cleaned")
+    kept, gone = dedup.keep_first(a, "doi")
+    both = kept.withColumn("dup", F.lit(False)).unionByName(gone.withColumn("dup", F.lit(True)))
+    n = lambda c: F.count(F.when(c, 1))
+    return both.groupBy("lang", "source").agg(F.count("*").alias("articles"), n(F.col("dup")).alias("duplicates"), n(~F.col("dup") & F.col("hollow_flag")).alias("hollow"), n(~F.col("dup") & ~F.col("hollow_flag")).alias("kept"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").groupBy("lang", "source").count()
+    return screening_summary(spark, sf_dir)
+
+
+@registered(f"WITH {ART} SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies, doi FROM art GROUP BY doi")
+def doc_exact_dedup(spark, d):
+    a = articles(spark, d)
+    kept, gone = dedup.keep_first(a, "doi")
+    n = gone.groupBy("doi").agg(F.count("*").alias("more"))
+    return kept.join(n, "doi", "left").select(F.col("orig_index").alias("doc_id"), (1 + F.coalesce("more", F.lit(0))).alias("copies"), "doi")
+
+
+@registered(f"WITH {ART}, r AS (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY doi) AS n FROM art) SELECT doc_id, n::BIGINT AS dup_doi_cnt FROM r WHERE r > 1")
+def doc_dup_counts(spark, d):
+    a = articles(spark, d)
+    _, log = dedup.remove_duplicate_dois(a, a.limit(0), "import")
+    return log.select(F.col("orig_index").alias("doc_id"), "dup_doi_cnt")
+
+
+@registered(
+    f"""WITH {ART}, a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\(c\\)\\s*(?:20\\d{{2}}|19\\d{{2}}).*', '', 'g'), '(?i)\\(c\\).*?press.*', '', 'g'), '(?i)copyright .*', '', 'g'), '(?i)© .*', '', 'g'), '(?i)\\(\\w+ database record.*', '', 'g') AS x FROM art),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(translate(x, '!"#$%&''()*+,/:;<=>?@[\\]^_`{{|}}~', repeat(' ', 30)), '[^\\x00-\\x7f]', '', 'g'), '([^0-9])\\.([^0-9])', '\\1\\2', 'g') AS x FROM a)
+    SELECT doc_id, regexp_replace(x, '(^|\\s)[0-9]+(\\s|$)', ' ', 'g') AS cleaned FROM b"""
+)
+def doc_clean_text(spark, d):
+    c = text.remove_numbers(text.remove_punctuation(text.strip_copyright(F.col("abstract"))))
+    return articles(spark, d).select(F.col("orig_index").alias("doc_id"), c.alias("cleaned"))
+
+
+@registered(f"WITH {ART}, u AS (SELECT doc_id, string_split_regex(regexp_replace(translate(t, '!\"#$%&''()*+,/:;<=>?@[\\]^_`{{|}}~.', repeat(' ', 31)), '[^a-z0-9 \\n\\t-]', '', 'g'), '\\s+') AS w FROM art) SELECT doc_id, len(list_distinct(list_filter(w, x -> x <> '')))::BIGINT AS n_distinct FROM u")
+def doc_clean_column(spark, d):
+    c = F.translate("abstract", text.PUNCTUATION + ".", " " * 31)
+    toks = text.tokens(F.regexp_replace(c, "[^a-z0-9 \n\t-]", ""))
+    return articles(spark, d).select(F.col("orig_index").alias("doc_id"), F.size(F.array_distinct(toks)).cast("long").alias("n_distinct"))
+
+
+@registered(f"WITH {ART}, c AS (SELECT doc_id, {COUNT} AS n FROM art) SELECT doc_id, n::BIGINT AS non_stop_words_density, n < (SELECT quantile_cont(n, 0.15) FROM c) AS hollow_flag FROM c")
+def doc_hollow_flag(spark, d):
+    h = quality.flag_hollow(articles(spark, d))
+    return h.select(F.col("orig_index").alias("doc_id"), F.col("non_stop_words_density").cast("long").alias("non_stop_words_density"), "hollow_flag")
+
+
+@registered(
+    f"""WITH {ART}, c AS (SELECT doc_id, len({SPACED}) AS n, 1890 + doc_id % 150 AS y, {LANG} AS language, doc_id % 7 = 0 AS nodoi FROM art),
+    q AS (SELECT doc_id, n::BIGINT AS abstract_length, n <= 100 AS abstract_check, NOT (y BETWEEN 1900 AND 2024) AS year_check, lower(language) NOT IN ('english', 'spanish') AS language_check, nodoi AS doi_check FROM c)
+    SELECT *, abstract_check OR year_check OR language_check OR doi_check AS needs_review FROM q"""
+)
+def doc_quality_checks(spark, d):
+    q = quality.quality_checks(_qc(spark, d), languages=("english", "spanish"))
+    return q.select(F.col("orig_index").alias("doc_id"), F.col("abstract_length").cast("long").alias("abstract_length"), "abstract_check", "year_check", "language_check", "doi_check", "needs_review")
+
+
+@registered("SELECT d.doc_id, CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'removed' WHEN coalesce(l.quality, 1) = 0 THEN 'removed' ELSE 'active' END AS status, CASE WHEN coalesce(l.toxic, 0) = 1 THEN 'Toxic' WHEN coalesce(l.quality, 1) = 0 THEN 'Low quality' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+def doc_removal_log(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id").join(read_table(spark, d, "labels"), "doc_id", "left")
+    active = docs.withColumn("poor", 1 - F.col("quality"))
+    log = active.limit(0).withColumns({"reason_for_removal": F.lit(""), "removal_step": F.lit("")})
+    active, log = quality.remove_flagged(active, log, "toxic", "Toxic", "QC")
+    active, log = quality.remove_flagged(active, log, "poor", "Low quality", "QC")
+    view = decisions.combined_view(active.withColumn("status", F.lit("active")), log.withColumn("status", F.lit("removed")))
+    return view.select("doc_id", "status", F.col("reason_for_removal").alias("reason"))
+
+
+@registered(
+    f"""WITH {ART}, w AS (SELECT doc_id, {SPACED} AS w FROM art), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' '))) AS term FROM w WHERE len(w) >= 5),
+    c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 5) SELECT term, sum(n)::BIGINT AS total, count(*)::BIGINT AS documents FROM c GROUP BY term"""
+)
+def doc_boilerplate_ngrams(spark, d):
+    r = boilerplate.repeated_windows(articles(spark, d), "orig_index", "abstract")
+    return r.groupBy("term").agg(F.sum("count").alias("total"), F.count("*").alias("documents"))
+
+
+def _tokens(spark, d) -> DataFrame:
+    return articles(spark, d).select(F.col("orig_index").alias("doc_id"), F.explode(F.filter(F.split("abstract", "[^a-z0-9]+"), lambda t: F.length(t) >= 2)).alias("term"))
+
+
+TFIDF = f"""{ART}, tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> length(x) >= 2)) AS term FROM art),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM tok),
+    w AS (SELECT doc_id, term, tf, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (term), n WHERE df <= 0.5 * n),
+    u AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
+
+
+@registered(f"WITH {TFIDF}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 9) DESC, term) AS r FROM u) SELECT doc_id, term, tf::BIGINT AS tf, round(tfidf, 6) AS tfidf, r::BIGINT AS rank FROM r WHERE r <= 5")
+def doc_tfidf_topk(spark, d):
+    w = lsa.tfidf(_tokens(spark, d), "doc_id", max_df=0.5)
+    return lsa.top_terms(w, "doc_id", 5).select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.round("tfidf", 6).alias("tfidf"), F.col("rank").cast("long").alias("rank"))
+
+
+@registered(
+    f"""WITH {ART}, g AS (SELECT doc_id, left(t, 24) AS head, t FROM art), tok AS (SELECT head, doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> length(x) >= 2)) AS term FROM g),
+    tf AS (SELECT head, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT head, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT head, count(DISTINCT doc_id) AS n FROM g GROUP BY head),
+    w AS (SELECT tf.head, doc_id, tf.term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df ON tf.head = df.head AND tf.term = df.term JOIN n ON n.head = tf.head),
+    u AS (SELECT head, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY head, doc_id)) AS w FROM w)
+    SELECT p.doc_id AS a, q.doc_id AS b, round(sum(p.w * q.w), 6) AS similarity FROM u p JOIN u q ON p.head = q.head AND p.term = q.term AND p.doc_id < q.doc_id GROUP BY ALL"""
+)
+def doc_group_cosine(spark, d):
+    a = articles(spark, d).select(F.col("orig_index").alias("doc_id"), F.substring("abstract", 1, 24).alias("head"), "abstract")
+    return neardup.group_cosine(a, "doc_id", "head", "abstract").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@registered(f"WITH {pairs_sql(0.8)} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
+def doc_jaccard_exact(spark, d):
+    return neardup.jaccard_join(articles(spark, d), "orig_index", "abstract", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@registered()
+def doc_neardup_lsh(spark, d):
+    return neardup.near_duplicates(articles(spark, d), "orig_index", "abstract", 0.8)
+
+
+@registered(
+    f"""WITH RECURSIVE {pairs_sql(0.8)}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+    SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x"""
+)
+def doc_neardup_components(spark, d):
+    p = neardup.jaccard_join(articles(spark, d), "orig_index", "abstract", 0.8)
+    return connected_components(p, "a", "b").withColumnRenamed("node", "doc_id")
+
+
+@registered(
+    f"""WITH {pairs_sql(0.6)}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), dg AS (SELECT x, count(*) AS d FROM e GROUP BY x),
+    t AS (SELECT p.x, count(*) / 2 AS t FROM e p JOIN e q ON p.x = q.x AND p.y <> q.y JOIN e o ON o.x = p.y AND o.y = q.y GROUP BY p.x)
+    SELECT dg.x AS node, d::BIGINT AS degree, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN d < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (d * (d - 1)) END, 6)::DOUBLE AS clustering FROM dg LEFT JOIN t USING (x)"""
+)
+def graph_local_clustering(spark, d):
+    p = neardup.jaccard_join(articles(spark, d), "orig_index", "abstract", 0.6)
+    return local_clustering(p, "a", "b").select("node", "degree", "triangles", F.round("clustering", 6).alias("clustering"))
+
+
+@registered(
+    """WITH p AS (SELECT p_partkey AS k, p_name AS s, p_brand AS g, p_size AS z FROM part), d AS (SELECT x.k AS a, y.k AS b, CASE WHEN greatest(length(x.s), length(y.s)) = 0 THEN 0 ELSE levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s))::DOUBLE END AS dist FROM p x JOIN p y ON x.g = y.g AND x.z = y.z AND x.k < y.k),
+    l AS (SELECT quantile_cont(dist, 0.25) AS l FROM d WHERE dist <> 0 AND dist <> 1) SELECT a, b, round(dist, 6) AS dist FROM d, l WHERE dist <= l"""
+)
+def part_edit_distance(spark, d):
+    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"), "p_brand", "p_size")
+    x, y = p.alias("x"), p.alias("y")
+    j = x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_size") == F.col("y.p_size")) & (F.col("x.k") < F.col("y.k")))
+    e = j.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), normalised_levenshtein(F.col("x.s"), F.col("y.s")).alias("dist"))
+    limit = e.where("dist <> 0 and dist <> 1").agg(F.percentile("dist", F.lit(0.25)).alias("limit"))
+    return e.crossJoin(F.broadcast(limit)).where("dist <= limit").select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@registered(
+    f"""WITH {pairs_sql(0.8)}, s AS (SELECT a AS id, b AS other, jaccard FROM pairs UNION ALL SELECT b, a, jaccard FROM pairs)
+    SELECT id, string_agg('doc_' || other || ': ' || printf('%.4f', round(jaccard, 4)), '; ' ORDER BY round(jaccard, 4) DESC, other) AS art_to_art_group_sim FROM s GROUP BY id"""
+)
+def doc_sim_string(spark, d):
+    p = neardup.jaccard_join(articles(spark, d), "orig_index", "abstract", 0.8)
+    return neardup.similarity_strings(p.withColumnRenamed("jaccard", "similarity"), 4)
+
+
+@registered(
+    f"""WITH {ART}, r AS (SELECT doi AS group_id, doc_id, left(t, 20) AS title, source AS journal, upper(lang) || '; ' || source AS keywords, 'A' || (doc_id % 3)::VARCHAR || ';b' AS authors, t AS abstract, (2000 + doc_id % 20)::VARCHAR AS year, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '10.1/' || doc_id::VARCHAR END AS d FROM art),
+    m AS (SELECT group_id, count(*) AS n, first(title ORDER BY doc_id) AS title, first(journal ORDER BY length(journal) DESC, doc_id) AS journal, min(year::INT) AS year, first(d ORDER BY length(d) DESC, doc_id) AS doi, count(DISTINCT year) <> 1 AS flag_years, count(DISTINCT d) <> 1 AS flag_dois,
+      array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(keywords), ';'), x -> trim(x)))))), '; ') AS keywords, array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(authors), ';'), x -> trim(x)))))), '; ') AS authors FROM r GROUP BY group_id)
+    SELECT group_id, title, journal, keywords, authors, year, doi, flag_years, flag_dois, flag_years OR flag_dois AS to_review, n::BIGINT AS merged_rows FROM m WHERE n > 1"""
+)
+def doc_group_merge(spark, d):
+    i = F.col("orig_index")
+    r = articles(spark, d).select(
+        F.col("doi").alias("group_id"), i, F.substring("abstract", 1, 20).alias("title"), F.col("source").alias("journal"), F.concat(F.upper("lang"), F.lit("; "), F.col("source")).alias("keywords"),
+        F.concat(F.lit("A"), (i % 3).cast("string"), F.lit(";b")).alias("authors"), "abstract", (2000 + i % 20).cast("string").alias("year"), F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("10.1/"), i.cast("string"))).alias("doi"),
+    )
+    m = dedup.merge_groups(r).where("merged_rows > 1")
+    return m.select("group_id", "title", "journal", "keywords", "authors", "year", "doi", "flag_years", "flag_dois", "to_review", "merged_rows")
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 = 1 THEN 'UPDATED' ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
+def order_update_merge(spark, d):
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    new = o.where("o_orderkey % 5 = 0").withColumns({"o_orderpriority": F.when(F.col("o_orderkey") % 2 == 1, "UPDATED").otherwise(" "), "o_totalprice": F.col("o_totalprice") + 1})
+    return decisions.updated(o, new, "o_orderkey", ["o_orderpriority", "o_totalprice"])
+
+
+@registered("WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) SELECT k, orders::BIGINT AS orders, c_mktsegment FROM o FULL JOIN c USING (k)")
+def order_outer_merge(spark, d):
+    o = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
+    c = read_table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    return decisions.full_outer(o, c, ["k"]).select("k", "orders", "c_mktsegment")
+
+
+@registered(
+    """WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS e FROM events GROUP BY user_id), f AS (SELECT user_id, e, CASE WHEN e IN ('view', 'click') THEN 'R' ELSE 'K' END AS u FROM l)
+    SELECT c_custkey AS orig_index, CASE WHEN u = 'R' THEN 'removed' ELSE 'active' END AS status, CASE WHEN u = 'R' THEN CASE WHEN e = 'view' THEN 'Hollow Abstract' ELSE 'Duplicate' END END AS reason FROM customer LEFT JOIN f ON f.user_id = c_custkey"""
+)
+def decision_apply(spark, d):
+    e = read_table(spark, d, "events").groupBy(F.col("user_id").alias("orig_index")).agg(F.max_by("event_type", "event_id").alias("e"))
+    dec = e.select("orig_index", F.when(F.col("e").isin("view", "click"), "r").otherwise("k").alias("update_flag"), F.when(F.col("e") == "view", "h").when(F.col("e") == "click", "dup").otherwise("").alias("flag_note"))
+    active = read_table(spark, d, "customer").select(F.col("c_custkey").alias("orig_index"), "c_name")
+    log = active.limit(0).withColumns({"reason_for_removal": F.lit(""), "removal_step": F.lit(""), "dup_doi_cnt": F.lit(0)})
+    act, log, _ = decisions.apply_duplicate_decisions(active, log, dec)
+    v = decisions.combined_view(act.withColumn("status", F.lit("active")), log.withColumn("status", F.lit("removed")))
+    return v.select("orig_index", "status", F.col("reason_for_removal").alias("reason"))
+
+
+@registered("SELECT event_type, count(*)::BIGINT AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY event_type")
+def events_json_fields(spark, d):
+    k = F.from_json("props", "struct<k: bigint>")["k"]
+    return read_table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"), F.max("k").alias("k_max"))
+
+
+CENT = "x AS (SELECT label, vec_id, list_transform(embedding, v -> v::DOUBLE) AS e FROM embeddings), cl AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), cm AS (SELECT label, i, avg(v) AS m FROM cl GROUP BY ALL), cent AS (SELECT label, list(m ORDER BY i) AS c FROM cm GROUP BY label)"
+
+
+def _emb(spark, d) -> DataFrame:
+    return read_table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+
+
+@registered(f"WITH {CENT} SELECT label AS cluster, (i - 1)::BIGINT AS i, round(m, 5) AS m FROM cm")
+def emb_centroids(spark, d):
+    return vectors.mean_vector(_emb(spark, d), "cluster", "v").select("cluster", F.posexplode("centroid").alias("i", "m")).select("cluster", F.col("i").cast("long").alias("i"), F.round("m", 5).alias("m"))
+
+
+@registered(f"WITH {CENT}, s AS (SELECT vec_id, cent.label AS nearest, list_cosine_similarity(e, c) AS s FROM x, cent), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, nearest) AS r FROM s) SELECT vec_id, nearest, round(s, 6) AS similarity FROM r WHERE r = 1")
+def emb_nearest_centroid(spark, d):
+    e = _emb(spark, d)
+    near = cluster.assign_nearest(e.select("vec_id", "v"), vectors.mean_vector(e, "cluster", "v"), "v")
+    return near.select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
+
+
+@registered(f"WITH {CENT} SELECT cl.label AS cluster, round(log10(sum((v - m) * (v - m)) + 1), 6) AS ess FROM cl JOIN cm USING (label, i) GROUP BY cl.label")
+def emb_ess(spark, d):
+    return cluster.cluster_ess(_emb(spark, d), "v").select("cluster", F.round("ess", 6).alias("ess"))
+
+
+SIL = """x AS (SELECT label, vec_id, list_transform(embedding, v -> v::DOUBLE) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label = a.label AS own, a.vec_id = b.vec_id AS self, 1 - list_cosine_similarity(a.e, b.e) AS d FROM x a, x b),
+    q AS (SELECT vec_id, label, avg(d) FILTER (own AND NOT self) AS a, avg(d) FILTER (NOT own) AS b FROM p GROUP BY ALL), sil AS (SELECT label, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM q GROUP BY label)"""
+
+
+@registered(f"WITH {SIL} SELECT label AS cluster, round(silhouette, 5) AS silhouette FROM sil")
+def emb_silhouette(spark, d):
+    return cluster.cluster_silhouette(_emb(spark, d), "vec_id", "v").select("cluster", F.round("silhouette", 5).alias("silhouette"))
+
+
+@registered(
+    f"""WITH {SIL}, cl AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), cm AS (SELECT label, i, avg(v) AS m FROM cl GROUP BY ALL), ess AS (SELECT cl.label, log10(sum((v - m) * (v - m)) + 1) AS ess FROM cl JOIN cm USING (label, i) GROUP BY cl.label),
+    n AS (SELECT label, count(*) AS n FROM x GROUP BY label), mm AS (SELECT avg(n) AS mm FROM n), parts AS (SELECT label, ln(1 + least(n / mm, mm / n)) AS a, ln(1 + sqrt(ess)) AS b, ln(1 + greatest(silhouette, 0)) AS c, ln(1 + 0.5) AS g FROM n JOIN ess USING (label) JOIN sil USING (label), mm)
+    SELECT label AS cluster, round((a + b + c + g) / (4 * greatest(a, b, c, g)), 5) AS coherence FROM parts"""
+)
+def emb_coherence(spark, d):
+    e = _emb(spark, d)
+    s = e.groupBy("cluster").agg(F.count("*").alias("size")).join(cluster.cluster_ess(e, "v"), "cluster").join(cluster.cluster_silhouette(e, "vec_id", "v"), "cluster").withColumn("clustering", F.lit(0.5))
+    return cluster.coherence(s).select("cluster", F.round("coherence", 5).alias("coherence"))
+
+
+@registered(
+    f"""WITH {CENT}, gl AS (SELECT i, avg(v) AS m FROM cl GROUP BY i), g AS (SELECT list(m ORDER BY i) AS g FROM gl), s AS (SELECT vec_id, x.label, round(list_dot_product(e, c), 9) AS o, round(list_dot_product(e, g), 9) AS a FROM x JOIN cent USING (label), g)
+    SELECT label AS cluster, first(vec_id ORDER BY o DESC, vec_id) AS exemplar, first(vec_id ORDER BY a DESC, vec_id) AS most_relevant FROM s GROUP BY label"""
+)
+def emb_exemplars(spark, d):
+    return cluster.exemplars(_emb(spark, d), "vec_id", "v")
+
+
+@registered(f"WITH {CENT}, p AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.c, b.c) AS s FROM cent a JOIN cent b ON a.label < b.label), l AS (SELECT quantile_cont(s, 0.9) AS l FROM p WHERE s < 1) SELECT a, b, round(s, 6) AS similarity FROM p, l WHERE s >= l")
+def emb_merge_candidates(spark, d):
+    c = vectors.mean_vector(_emb(spark, d), "cluster", "v")
+    return cluster.merge_pairs(c).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@registered(
+    f"""WITH {CENT}, j AS (SELECT vec_id, x.label, round(list_dot_product(e, c), 5) AS dot FROM x JOIN cent USING (label)), m AS (SELECT label, round(quantile_cont(dot, 0.5), 5) AS med FROM j GROUP BY label), nr AS (SELECT j.* FROM j JOIN m USING (label) WHERE dot >= 0.9 OR dot > med),
+    n AS (SELECT label, count(*) AS n FROM nr GROUP BY label HAVING count(*) > 1), cap AS (SELECT 2 * min(n) AS cap FROM n), r AS (SELECT nr.*, row_number() OVER (PARTITION BY label ORDER BY dot DESC, vec_id) AS r FROM nr JOIN n USING (label)) SELECT vec_id, label AS cluster, dot FROM r, cap WHERE r <= cap"""
+)
+def emb_representative_sample(spark, d):
+    return cluster.representative_sample(_emb(spark, d), "vec_id", "v")
+
+
+@registered("WITH s AS (SELECT label, count(*)::DOUBLE * (1 + label % 3) AS score FROM embeddings GROUP BY label), g AS (SELECT *, (score - lead(score) OVER (ORDER BY score DESC)) / score AS gap FROM s), c AS (SELECT max(score) AS cut FROM g WHERE gap > 0.3) SELECT label AS cluster, score, cut IS NULL OR score >= cut AS above FROM g, c")
+def score_gap_cut(spark, d):
+    s = read_table(spark, d, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").cast("double").alias("n")).select("cluster", (F.col("n") * (1 + F.col("cluster") % 3)).alias("score"))
+    return cluster.gap_cut(s, gap=0.3).select("cluster", "score", "above")
+
+
+@registered("WITH r AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'irrelevant' WHEN l.quality = 1 THEN 'relevant' WHEN l.quality = 0 THEN 'borderline' ELSE 'unknown' END AS label, round((n_chars - lo) / (hi - lo)::DOUBLE, 6) AS scaled, round(n_chars / hi::DOUBLE, 6) AS share FROM documents d LEFT JOIN labels l USING (doc_id), r")
+def label_join_features(spark, d):
+    lab = read_table(spark, d, "labels")
+    named = F.when(F.col("toxic") == 1, "irrelevant").when(F.col("quality") == 1, "relevant").otherwise("borderline")
+    docs = read_table(spark, d, "documents").select("doc_id", "n_chars", F.col("doc_id").alias("cluster"))
+    out = relevance.label_articles(docs, lab.select(F.col("doc_id").cast("string").alias("cluster"), named.alias("label")))
+    s = vectors.with_range(out, "n_chars")
+    return s.select("doc_id", "label", F.round(F.try_divide(F.col("n_chars") - F.col("n_chars_min"), F.col("n_chars_max") - F.col("n_chars_min")), 6).alias("scaled"), F.round(F.try_divide(F.col("n_chars"), F.col("n_chars_max")), 6).alias("share"))
+
+
+@registered(
+    """WITH s AS (SELECT doc_id, text, n_chars::DOUBLE AS x FROM documents), l AS (SELECT (avg(x) - stddev_samp(x) + 500) / 2 AS lo, (avg(x) + stddev_samp(x) + 3000) / 2 AS hi FROM s), c AS (SELECT s.*, CASE WHEN x <= lo THEN 'Irrelevant' WHEN x >= hi THEN 'Relevant' ELSE 'Borderline' END AS category FROM s, l),
+    m AS (SELECT quantile_cont(x, 0.5) AS med FROM c WHERE category = 'Borderline') SELECT doc_id, category, CASE category WHEN 'Relevant' THEN 'K' WHEN 'Irrelevant' THEN CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9])der([^a-z0-9]|$)') THEN 'K' ELSE 'D' END ELSE CASE WHEN x < med THEN 'D' ELSE 'K' END END AS user_judgment FROM c, m"""
+)
+def score_category(spark, d):
+    s = read_table(spark, d, "documents").select("doc_id", "text", F.col("n_chars").cast("double").alias("final_score"))
+    c = relevance.categorise(s, relevance.score_limits(s, centres=(500.0, 3000.0)))
+    return relevance.prefill(c, search.matches(F.col("text"), "der")).select("doc_id", "category", "user_judgment")
+
+
+@registered("SELECT doc_id FROM documents WHERE (regexp_matches(lower(text), '(^|[^a-z0-9])the[ \\t\\r\\n]+of([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])der([^a-z0-9]|$)')) AND (regexp_matches(lower(text), '(^|[^a-z0-9])en[a-z0-9]*([^a-z0-9]|$)') OR regexp_matches(lower(text), '(^|[^a-z0-9])tion([^a-z0-9]|$)'))")
+def search_match(spark, d):
+    return read_table(spark, d, "documents").where(search.matches(F.col("text"), '("the of" OR der) AND (en* OR tion)')).select("doc_id")
+
+
+@registered("SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^<>]*>', ' ', 'g')) AS body FROM pages")
+def page_strip_tags(spark, d):
+    return read_table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(F.col("html")).cast("binary")).alias("body"))
+
+
+@registered()
+def page_text(spark, d):
+    return read_table(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("body"))
+
+
+@registered(
+    f"""WITH {ART}, a AS (SELECT DISTINCT doi FROM art WHERE lang = 'en'), b AS (SELECT DISTINCT doi FROM art WHERE source = 'src1') SELECT 'union' AS op, count(*)::BIGINT AS n FROM (SELECT * FROM a UNION SELECT * FROM b)
+    UNION ALL SELECT 'except', count(*)::BIGINT FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'intersect', count(*)::BIGINT FROM (SELECT * FROM a INTERSECT SELECT * FROM b)"""
+)
+def doc_set_operations(spark, d):
+    t = articles(spark, d)
+    a, b = t.where("lang = 'en'").select("doi").distinct(), t.where("source = 'src1'").select("doi").distinct()
+    n = lambda df, op: df.agg(F.lit(op).alias("op"), F.count("*").alias("n"))
+    return n(a.union(b).distinct(), "union").unionByName(n(a.subtract(b), "except")).unionByName(n(a.intersect(b), "intersect"))
+
+
+@registered("SELECT c_custkey AS orig_index, CASE WHEN c_custkey % 4 = 0 THEN 'auto' WHEN c_custkey % 4 = 1 THEN 'manual' ELSE '' END AS doi_recovery_flag, CASE WHEN c_custkey % 4 = 1 AND c_custkey % 5 = 0 THEN 'manual' WHEN c_custkey % 4 = 1 THEN 'manual' WHEN c_custkey % 4 = 3 THEN 'auto' ELSE '' END AS data_ret_flag FROM customer")
+def missing_flags(spark, d):
+    k = F.col("c_custkey")
+    a = read_table(spark, d, "customer").select(k.alias("orig_index"), F.col("c_name").alias("title"), F.when(k % 4 == 1, " ").otherwise(F.col("c_name")).alias("authors"), F.when(k % 4 == 3, "").otherwise("x").alias("abstract"), F.lit("2001").alias("year"), F.when(k % 4 < 2, "").otherwise("10.1/x").alias("doi"))
+    return quality.missing_data_flag(quality.doi_recovery_flag(a)).select("orig_index", "doi_recovery_flag", "data_ret_flag")
+
+
+@registered()
+def lsa_svd(spark, d):
+    toks = _tokens(spark, d)
+    w = lsa.tfidf(toks, "doc_id", max_df=0.5, min_df=max(1, int(0.015 * read_table(spark, d, "documents").count())))
+    vec, _ = lsa.fit_lsa(w, "doc_id", max_components=20)
+    return vec
+
+
+@registered()
+def kmeans_bic(spark, d):
+    _, x = cluster.sample_matrix(_emb(spark, d), "vec_id", "v")
+    rows = []
+    for k in range(2, 13, 2):
+        label, c = cluster.kmeans(x, k)
+        rows.append((k, cluster.bic(len(x), x.shape[1], [int((label == j).sum()) for j in range(k)], float(((x - c[label]) ** 2).sum())), cluster.silhouette(x, label)))
+    return spark.createDataFrame(rows, "k int, bic double, silhouette double")
+
+
+@registered()
+def ensemble_clusters(spark, d):
+    e = _emb(spark, d)
+    ids, x = cluster.sample_matrix(e, "vec_id", "v", 400)
+    own = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
+    labels = cluster.ensemble(own, "vec_id", "v", 10, runs=8)
+    pairs = cluster.edit_distances(labels, "vec_id", "labels").cache()
+    first = cluster.distance_threshold(pairs, cluster.adaptive_percentile(len(ids), 10, 8))
+    limit = cluster.search_threshold(pairs, len(ids), first, cluster.adaptive_percentile(len(ids), 10, 8))
+    return cluster.graph_clusters(own.select("vec_id"), pairs, "vec_id", limit)
+
+
+@registered()
+def relevance_cv(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), array_to_vector(F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 16)).alias("features"), "label")
+    named = F.when(F.col("doc_id") % 3 == 2, "unknown").when(F.col("label") % 3 == 0, "relevant").when(F.col("label") % 3 == 1, "irrelevant").otherwise("borderline")
+    data = e.withColumn("label", named)
+    p, m = relevance.cross_validate(data, "doc_id", use=["logistic_regression", "naive_bayes"], k=3)
+    b = relevance.blend(p, m, "doc_id").withColumns({"irrelevant_similarity": F.lit(0.2), "irrelevant_coherence": F.lit(0.5)})
+    s = relevance.final_scores(b)
+    return relevance.categorise(s, relevance.score_limits(s)).select("doc_id", "p_relevant", "p_irrelevant", "p_borderline", "final_score", "category")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
