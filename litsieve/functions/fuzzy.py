@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def normalised_levenshtein(a: Column, b: Column) -> Column:
@@ -39,7 +40,7 @@ def partial_ratio(a: str, b: str) -> int:
     return round(100 * best)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
@@ -51,5 +52,5 @@ def title_matches(a: Column, b: Column, threshold: int = 80) -> Column:
 
 def authors_match(a: Column, b: Column, threshold: int = 60) -> Column:
     """``;``-lists joined by spaces."""
-    flat = lambda c: F.array_join(F.transform(F.split(F.lower(c), ";"), F.trim), " ")
+    flat = lambda c: F.array_join(F.transform(F.split(F.lower(c), ";"), lambda x: F.trim(x)), " ")
     return partial_ratio_udf(flat(a), flat(b)) > threshold

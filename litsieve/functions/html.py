@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 class _Text(HTMLParser):
@@ -33,6 +34,6 @@ def text_of(html: str | None) -> str:
     return " ".join(p.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(c: pd.Series) -> pd.Series:
     return c.map(text_of)

@@ -88,11 +88,18 @@ def clean_abstract(c: Column, markdown: bool = False, html: bool = True) -> Colu
     return strip_copyright(strip_headers(c))
 
 
+def joined_runs(toks: Column, size: int) -> Column:
+    """Each ``size`` consecutive elements joined by spaces; linear, as shifted copies are zipped."""
+    out = toks
+    for k in range(1, size):
+        out = F.zip_with(out, F.slice(toks, F.lit(k + 1), F.greatest(F.size(toks), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    last = F.size(toks) - (size - 1)
+    return F.when(last >= 1, F.slice(out, F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
 def windows(c: Column, size: int = 5) -> Column:
     """The runs of ``size`` white-space tokens of a text, as strings."""
-    tokens = F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    last = F.size(tokens) - F.lit(size - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+    return joined_runs(tokens(c), size)
 
 
 def remove_all(c: Column, found: Column) -> Column:
@@ -182,11 +189,7 @@ def content_tokens(c: Column, stop: list[str]) -> Column:
 def ngrams(toks: Column, low: int = 1, high: int = 4) -> Column:
     """N-grams of the tokens that hold a letter; stop words went before."""
     t = F.filter(toks, lambda x: x.rlike("[a-zA-Z]"))
-    parts = []
-    for n in range(low, high + 1):
-        last = F.size(t) - (n - 1)
-        parts.append(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+    return F.concat(*[joined_runs(t, n) for n in range(low, high + 1)])
 
 
 def combined(*cols: str) -> Column:
@@ -229,4 +232,4 @@ def cluster_members(c: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """``;``-lists to trimmed, non-blank entries."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litsieve.storage import materialize
+
 
 def tfidf(tokens: DataFrame, key: str, term: str = "term", max_df: float = 1.0, min_df: int = 1, n_docs: int | None = None) -> DataFrame:
     """V1: ``key, term, tf, tfidf``: raw tf, idf ``ln((1 + n) / (1 + df)) + 1``, rows of unit length.
@@ -68,6 +71,7 @@ def fit_lsa(weights: DataFrame, key: str, max_components: int = 250, min_ratio:
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     spark = weights.sparkSession
+    weights = materialize(weights, "weights")
     vocab = [r[0] for r in weights.select("term").distinct().orderBy("term").limit(max_terms + 1).collect()]
     if len(vocab) > max_terms:
         raise ValueError(f"more than {max_terms} terms; raise min_df or lower max_df")
@@ -79,7 +83,7 @@ def fit_lsa(weights: DataFrame, key: str, max_components: int = 250, min_ratio:
     svd = RowMatrix(vectors, numCols=width).computeSVD(k)
     components = np.array(svd.V.toArray()).T
     project = _projector(components)
-    raw = rows.select(key, project(F.col("s")).alias("raw"))
+    raw = materialize(rows.select(key, project(F.col("s")).alias("raw")), "projected")
     k = len(components)
     var = raw.agg(*[F.var_pop(F.col("raw")[i]).alias(f"v{i}") for i in range(k)]).first()
     total = weights.join(F.broadcast(at), "term").groupBy("i").agg(F.sum("tfidf").alias("s"), F.sum(F.col("tfidf") * F.col("tfidf")).alias("q")).crossJoin(F.broadcast(weights.agg(F.count_distinct(key).alias("n")))).agg(F.sum(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), F.lit(2.0)))).first()[0]
@@ -95,8 +99,6 @@ def fit_lsa(weights: DataFrame, key: str, max_components: int = 250, min_ratio:
 
 
 def _projector(components: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def project(s: pd.Series) -> pd.Series:
         out = []

@@ -40,9 +40,9 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 
 STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 ART = "art AS (SELECT doc_id, lower(coalesce(text, '')) AS t, md5(lower(coalesce(text, ''))) AS doi, lang, source FROM documents)"
-WORDS = "list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> x <> '')"
-COUNT = f"len(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains([{STOP}], x)))"
-SPACED = "list_filter(string_split_regex(t, '\\s+'), x -> x <> '')"
+WORDS = "list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: x <> '')"
+COUNT = f"len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains([{STOP}], x)))"
+SPACED = "list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')"
 LANG = "CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'de' THEN 'German' ELSE 'French' END"
 #: Token sets, one row for each distinct set.
 SETS = f"sets AS (SELECT min(doc_id) AS k, s FROM (SELECT doc_id, list_sort(list_distinct({WORDS})) AS s FROM art) WHERE len(s) > 0 GROUP BY s), post AS (SELECT k, len(s) AS n, unnest(s) AS tok FROM sets)"
@@ -61,7 +61,7 @@ def _qc(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(
     f"""WITH {ART}, c AS (SELECT *, trim(regexp_replace(regexp_replace(t, '(?i)copyright .*', '', 'g'), '(^|\\s)[0-9]+(\\s|$)', ' ', 'g')) AS cleaned FROM art),
-    h AS (SELECT *, len(list_filter(string_split_regex(cleaned, '[^a-z0-9]+'), x -> x <> '' AND NOT list_contains([{STOP}], x))) AS n FROM c),
+    h AS (SELECT *, len(list_filter(string_split_regex(cleaned, '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains([{STOP}], x))) AS n FROM c),
     f AS (SELECT *, n < (SELECT quantile_cont(n, 0.15) FROM h) AS hollow, row_number() OVER (PARTITION BY doi ORDER BY doc_id) AS r FROM h)
     SELECT lang, source, count(*)::BIGINT AS articles, count(*) FILTER (r > 1)::BIGINT AS duplicates, count(*) FILTER (r = 1 AND hollow)::BIGINT AS hollow, count(*) FILTER (r = 1 AND NOT hollow)::BIGINT AS kept FROM f GROUP BY lang, source"""
 )
@@ -105,7 +105,7 @@ def doc_clean_text(spark, d):
     return articles(spark, d).select(F.col("orig_index").alias("doc_id"), c.alias("cleaned"))
 
 
-@registered(f"WITH {ART}, u AS (SELECT doc_id, string_split_regex(regexp_replace(translate(t, '!\"#$%&''()*+,/:;<=>?@[\\]^_`{{|}}~.', repeat(' ', 31)), '[^a-z0-9 \\n\\t-]', '', 'g'), '\\s+') AS w FROM art) SELECT doc_id, len(list_distinct(list_filter(w, x -> x <> '')))::BIGINT AS n_distinct FROM u")
+@registered(f"WITH {ART}, u AS (SELECT doc_id, string_split_regex(regexp_replace(translate(t, '!\"#$%&''()*+,/:;<=>?@[\\]^_`{{|}}~.', repeat(' ', 31)), '[^a-z0-9 \\n\\t-]', '', 'g'), '\\s+') AS w FROM art) SELECT doc_id, len(list_distinct(list_filter(w, lambda x: x <> '')))::BIGINT AS n_distinct FROM u")
 def doc_clean_column(spark, d):
     c = F.translate("abstract", text.PUNCTUATION + ".", " " * 31)
     toks = text.tokens(F.regexp_replace(c, "[^a-z0-9 \n\t-]", ""))
@@ -140,7 +140,7 @@ def doc_removal_log(spark, d):
 
 
 @registered(
-    f"""WITH {ART}, w AS (SELECT doc_id, {SPACED} AS w FROM art), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' '))) AS term FROM w WHERE len(w) >= 5),
+    f"""WITH {ART}, w AS (SELECT doc_id, {SPACED} AS w FROM art), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS term FROM w WHERE len(w) >= 5),
     c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 5) SELECT term, sum(n)::BIGINT AS total, count(*)::BIGINT AS documents FROM c GROUP BY term"""
 )
 def doc_boilerplate_ngrams(spark, d):
@@ -152,7 +152,7 @@ def _tokens(spark, d) -> DataFrame:
     return articles(spark, d).select(F.col("orig_index").alias("doc_id"), F.explode(F.filter(F.split("abstract", "[^a-z0-9]+"), lambda t: F.length(t) >= 2)).alias("term"))
 
 
-TFIDF = f"""{ART}, tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> length(x) >= 2)) AS term FROM art),
+TFIDF = f"""{ART}, tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS term FROM art),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM tok),
     w AS (SELECT doc_id, term, tf, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df USING (term), n WHERE df <= 0.5 * n),
     u AS (SELECT doc_id, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
@@ -165,7 +165,7 @@ def doc_tfidf_topk(spark, d):
 
 
 @registered(
-    f"""WITH {ART}, g AS (SELECT doc_id, left(t, 24) AS head, t FROM art), tok AS (SELECT head, doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), x -> length(x) >= 2)) AS term FROM g),
+    f"""WITH {ART}, g AS (SELECT doc_id, left(t, 24) AS head, t FROM art), tok AS (SELECT head, doc_id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: length(x) >= 2)) AS term FROM g),
     tf AS (SELECT head, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT head, term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT head, count(DISTINCT doc_id) AS n FROM g GROUP BY head),
     w AS (SELECT tf.head, doc_id, tf.term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN df ON tf.head = df.head AND tf.term = df.term JOIN n ON n.head = tf.head),
     u AS (SELECT head, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY head, doc_id)) AS w FROM w)
@@ -230,7 +230,7 @@ def doc_sim_string(spark, d):
 @registered(
     f"""WITH {ART}, r AS (SELECT doi AS group_id, doc_id, left(t, 20) AS title, source AS journal, upper(lang) || '; ' || source AS keywords, 'A' || (doc_id % 3)::VARCHAR || ';b' AS authors, t AS abstract, (2000 + doc_id % 20)::VARCHAR AS year, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '10.1/' || doc_id::VARCHAR END AS d FROM art),
     m AS (SELECT group_id, count(*) AS n, first(title ORDER BY doc_id) AS title, first(journal ORDER BY length(journal) DESC, doc_id) AS journal, min(year::INT) AS year, first(d ORDER BY length(d) DESC, doc_id) AS doi, count(DISTINCT year) <> 1 AS flag_years, count(DISTINCT d) <> 1 AS flag_dois,
-      array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(keywords), ';'), x -> trim(x)))))), '; ') AS keywords, array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(authors), ';'), x -> trim(x)))))), '; ') AS authors FROM r GROUP BY group_id)
+      array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(keywords), ';'), lambda x: trim(x)))))), '; ') AS keywords, array_to_string(list_sort(list_distinct(flatten(list(list_transform(string_split(lower(authors), ';'), lambda x: trim(x)))))), '; ') AS authors FROM r GROUP BY group_id)
     SELECT group_id, title, journal, keywords, authors, year, doi, flag_years, flag_dois, flag_years OR flag_dois AS to_review, n::BIGINT AS merged_rows FROM m WHERE n > 1"""
 )
 def doc_group_merge(spark, d):
@@ -277,7 +277,7 @@ def events_json_fields(spark, d):
     return read_table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k_sum"), F.max("k").alias("k_max"))
 
 
-CENT = "x AS (SELECT label, vec_id, list_transform(embedding, v -> v::DOUBLE) AS e FROM embeddings), cl AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), cm AS (SELECT label, i, avg(v) AS m FROM cl GROUP BY ALL), cent AS (SELECT label, list(m ORDER BY i) AS c FROM cm GROUP BY label)"
+CENT = "x AS (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), cl AS (SELECT label, unnest(range(1, len(e) + 1)) AS i, unnest(e) AS v FROM x), cm AS (SELECT label, i, avg(v) AS m FROM cl GROUP BY ALL), cent AS (SELECT label, list(m ORDER BY i) AS c FROM cm GROUP BY label)"
 
 
 def _emb(spark, d) -> DataFrame:
@@ -301,7 +301,7 @@ def emb_ess(spark, d):
     return cluster.cluster_ess(_emb(spark, d), "v").select("cluster", F.round("ess", 6).alias("ess"))
 
 
-SIL = """x AS (SELECT label, vec_id, list_transform(embedding, v -> v::DOUBLE) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label = a.label AS own, a.vec_id = b.vec_id AS self, 1 - list_cosine_similarity(a.e, b.e) AS d FROM x a, x b),
+SIL = """x AS (SELECT label, vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label, b.label = a.label AS own, a.vec_id = b.vec_id AS self, 1 - list_cosine_similarity(a.e, b.e) AS d FROM x a, x b),
     q AS (SELECT vec_id, label, avg(d) FILTER (own AND NOT self) AS a, avg(d) FILTER (NOT own) AS b FROM p GROUP BY ALL), sil AS (SELECT label, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM q GROUP BY label)"""
 
 
