@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from litsieve.llm import licenses
 from litsieve.llm.decontam import op3_benchmark_decontamination
 from litsieve.llm.jaccard import op6_ngram_jaccard_join
+from litsieve.llm.licenses import op4_license_scan
 from litsieve.llm.packing import op1_best_fit_packing
+from litsieve.llm.perplexity import op2_kneser_ney_quality
 from litsieve.llm.pii import op10_pii_anchors
 from litsieve.llm.sstable import op5_token_sstable
 from litsieve.llm.topk import op9_exact_topk
@@ -14,7 +17,9 @@ from litsieve.llm.warc import op7_warc_normaliser
 
 _QUERIES = (
     op1_best_fit_packing,
+    op2_kneser_ney_quality,
     op3_benchmark_decontamination,
+    op4_license_scan,
     op5_token_sstable,
     op6_ngram_jaccard_join,
     op7_warc_normaliser,
@@ -29,4 +34,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    own = {"op4_license_scan": licenses.oracle()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
