@@ -214,8 +214,7 @@ def format_citation_authors(c: Column) -> Column:
         a = F.trim(F.regexp_replace(a, r"[\s,]*[0-9][0-9X-]*$", ""))
         last = F.when(a.contains(","), F.trim(F.regexp_extract(a, r"^([^,]*),", 1))).otherwise(F.regexp_extract(a, r"^(\S+)", 1))
         first = F.when(a.contains(","), F.trim(F.regexp_extract(a, r",\s*(.*)$", 1))).otherwise(F.regexp_extract(a, r"^\S+\s+(.*)$", 1))
-        both = F.concat(last, F.lit(", "), F.upper(F.substring(first, 1, 1)))
-        return F.when(first == "", last).otherwise(F.when(a.contains(","), both).otherwise(F.concat(F.regexp_extract(a, r"^\S+\s+(.*)$", 1), F.lit(", "), F.upper(F.substring(last, 1, 1)))))
+        return F.when(first == "", last).otherwise(F.concat(last, F.lit(", "), F.upper(F.substring(first, 1, 1))))
 
     return F.array_join(F.transform(F.filter(F.split(c, r";\s*"), lambda x: F.trim(x) != ""), one), "; ")
 

@@ -88,7 +88,7 @@ def resolve_merges(active: DataFrame, log: DataFrame, members: DataFrame, quick:
     kept, gone_quick = quick_merge(hit.where(F.col("group_mean_sim") > quick))
     detail = hit.where(F.col("group_mean_sim") <= quick)
     top = active.select("orig_index").unionAll(log.select("orig_index")).agg(F.coalesce(F.max("orig_index"), F.lit(-1)).alias("top"))
-    merged = merge_groups(detail).crossJoin(F.broadcast(top)).withColumn("orig_index", (F.col("top") + F.row_number().over(Window.orderBy("group_id"))).cast("long")).drop("top")
+    merged = merge_groups(detail).withColumn("year", F.col("year").cast("string")).crossJoin(F.broadcast(top)).withColumn("orig_index", (F.col("top") + F.row_number().over(Window.orderBy("group_id"))).cast("long")).drop("top")
     gone = detail.withColumns({"reason_for_removal": F.lit("Duplicate"), "removal_step": F.lit("detailed merge")})
     out = rest.unionByName(kept.drop("group_id", "group_mean_sim"), allowMissingColumns=True).unionByName(merged.drop("group_id", "merged_rows"), allowMissingColumns=True)
     log = log.unionByName(gone_quick.drop("group_id", "group_mean_sim"), allowMissingColumns=True).unionByName(gone.drop("group_id", "group_mean_sim"), allowMissingColumns=True)
