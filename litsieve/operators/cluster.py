@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.vectors import cosine, dot, mean_vector, squared_distance
 from litsieve.operators.graph import connected_components, local_clustering
+from litsieve.storage import bounded
 
 SAMPLE, SOLO = 2000, 999
 
@@ -361,9 +362,8 @@ def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float,
 
 
 def assign_nearest(points: DataFrame, centroids: DataFrame, vector: str, by: str = "cluster") -> DataFrame:
-    """Each point's nearest centroid by cosine, with its similarity; centroids are few and counted."""
-    n = centroids.count()
-    side = F.broadcast(centroids) if n <= 10_000 else centroids
+    """Each point's nearest centroid by cosine, with its similarity; centroids are counted before they are broadcast."""
+    side = bounded(centroids, "centroids")
     named = side.select(F.col(by).alias("nearest"), F.col("centroid").alias("__c"))
     w = points.crossJoin(named).withColumn("similarity", cosine(F.col(vector), F.col("__c")))
     keys = [c for c in points.columns if c != vector]
@@ -372,9 +372,9 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, vector: str, by: str
 
 def reassign_solos(df: DataFrame, vector: str, key: str, cluster: str = "cluster") -> DataFrame:
     """Single rows join the nearest cluster if they are closer than the X6 quantile of all such distances."""
-    cents = mean_vector(df.where(F.col(cluster) != SOLO), cluster, vector)
+    cents = bounded(mean_vector(df.where(F.col(cluster) != SOLO), cluster, vector), "centroids")
     near = assign_nearest(df.where(F.col(cluster) == SOLO).select(key, vector), cents, vector, cluster)
-    pairs = df.where(F.col(cluster) == SOLO).crossJoin(F.broadcast(cents.select("centroid"))).select((1 - cosine(F.col(vector), F.col("centroid"))).alias("d"))
+    pairs = df.where(F.col(cluster) == SOLO).crossJoin(cents.select("centroid")).select((1 - cosine(F.col(vector), F.col("centroid"))).alias("d"))
     limit = pairs.agg(F.percentile("d", F.lit(assignment_quantile(df.count())))).first()[0]
     if limit is None:
         return df
@@ -396,7 +396,7 @@ def nearest_neighbour_eps(df: DataFrame, key: str, vector: str) -> float:
 def cluster_ess(df: DataFrame, vector: str, by: str = "cluster") -> DataFrame:
     """``log10(sum of squared distances to the centroid + 1)``."""
     cents = mean_vector(df, by, vector)
-    return df.join(F.broadcast(cents), by).groupBy(by).agg(F.log10(F.sum(squared_distance(F.col(vector), F.col("centroid"))) + 1).alias("ess"))
+    return df.join(cents, by).groupBy(by).agg(F.log10(F.sum(squared_distance(F.col(vector), F.col("centroid"))) + 1).alias("ess"))
 
 
 def cluster_silhouette(df: DataFrame, key: str, vector: str, by: str = "cluster") -> DataFrame:
@@ -411,7 +411,7 @@ def cluster_silhouette(df: DataFrame, key: str, vector: str, by: str = "cluster"
     per = mean_vector(u, by, "u").select(by, F.transform("centroid", lambda v: v).alias("c"), F.col("size").alias("n"))
     whole = u.withColumn("__all", F.lit(0))
     total = mean_vector(whole, "__all", "u").select(F.col("centroid").alias("t"), F.col("size").alias("m"))
-    j = u.join(F.broadcast(per), by).crossJoin(F.broadcast(total))
+    j = u.join(per, by).crossJoin(F.broadcast(total))
     inside = dot(F.col("u"), F.col("c")) * F.col("n")
     outside = dot(F.col("u"), F.col("t")) * F.col("m") - inside
     own = dot(F.col("u"), F.col("u"))
@@ -519,7 +519,7 @@ def exemplars(df: DataFrame, key: str, vector: str, by: str = "cluster") -> Data
     """The row nearest its own centroid, and the one nearest the mean of all."""
     cents = mean_vector(df, by, vector).select(by, "centroid")
     whole = mean_vector(df.withColumn("__all", F.lit(0)), "__all", vector).select(F.col("centroid").alias("__g"))
-    j = df.join(F.broadcast(cents), by).crossJoin(F.broadcast(whole))
+    j = df.join(cents, by).crossJoin(F.broadcast(whole))
     j = j.withColumns({"own": F.round(dot(F.col(vector), F.col("centroid")), 9), "all": F.round(dot(F.col(vector), F.col("__g")), 9)})
     best = lambda c: F.max_by(key, F.struct(c, -F.col(key)))
     return j.groupBy(by).agg(best("own").alias("exemplar"), best("all").alias("most_relevant"))
@@ -528,13 +528,13 @@ def exemplars(df: DataFrame, key: str, vector: str, by: str = "cluster") -> Data
 def representative_sample(df: DataFrame, key: str, vector: str, by: str = "cluster") -> DataFrame:
     """Rows near their centroid (at least .9 or over the median), without clusters of one such row, at most twice the smallest group."""
     cents = mean_vector(df, by, vector).select(by, "centroid")
-    j = df.join(F.broadcast(cents), by).withColumn("dot", F.round(dot(F.col(vector), F.col("centroid")), 5))
+    j = df.join(cents, by).withColumn("dot", F.round(dot(F.col(vector), F.col("centroid")), 5))
     med = j.groupBy(by).agg(F.round(F.percentile("dot", F.lit(0.5)), 5).alias("med"))
-    near = j.join(F.broadcast(med), by).where("dot >= 0.9 or dot > med")
+    near = j.join(med, by).where("dot >= 0.9 or dot > med")
     n = near.groupBy(by).agg(F.count("*").alias("n")).where("n > 1")
     least = n.agg((2 * F.min("n")).alias("cap"))
     w = Window.partitionBy(by).orderBy(F.desc("dot"), key)
-    return near.join(F.broadcast(n.select(by)), by).crossJoin(F.broadcast(least)).withColumn("r", F.row_number().over(w)).where("r <= cap").select(key, by, "dot")
+    return near.join(n.select(by), by).crossJoin(F.broadcast(least)).withColumn("r", F.row_number().over(w)).where("r <= cap").select(key, by, "dot")
 
 
 # --- exploratory clustering of several similarity matrices (V27-V33) ----------------------------------------

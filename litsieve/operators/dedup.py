@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.functions.text import split_list, text
+from litsieve.schema import numbered
 
 
 def keep_first(df: DataFrame, key: str, order: str = "orig_index") -> tuple[DataFrame, DataFrame]:
@@ -37,8 +38,8 @@ def doi_counts(log: DataFrame, active: DataFrame) -> DataFrame:
 
 def union_of(c: Column) -> Column:
     """Lowered, trimmed, distinct and sorted entries of ``;``-lists, joined by ``; `` (an aggregate)."""
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(split_list(F.lower(F.coalesce(c, F.lit(""))))))))
-        , "; ")
+    entries = F.flatten(F.collect_set(split_list(F.lower(F.coalesce(c, F.lit(""))))))
+    return F.array_join(F.array_sort(F.array_distinct(entries)), "; ")
 
 
 def longest(c: str) -> Column:
@@ -88,7 +89,7 @@ def resolve_merges(active: DataFrame, log: DataFrame, members: DataFrame, quick:
     kept, gone_quick = quick_merge(hit.where(F.col("group_mean_sim") > quick))
     detail = hit.where(F.col("group_mean_sim") <= quick)
     top = active.select("orig_index").unionAll(log.select("orig_index")).agg(F.coalesce(F.max("orig_index"), F.lit(-1)).alias("top"))
-    merged = merge_groups(detail).withColumn("year", F.col("year").cast("string")).crossJoin(F.broadcast(top)).withColumn("orig_index", (F.col("top") + F.row_number().over(Window.orderBy("group_id"))).cast("long")).drop("top")
+    merged = numbered(merge_groups(detail).withColumn("year", F.col("year").cast("string")), ["group_id"], "place").crossJoin(F.broadcast(top)).withColumn("orig_index", (F.col("top") + 1 + F.col("place")).cast("long")).drop("top", "place")
     gone = detail.withColumns({"reason_for_removal": F.lit("Duplicate"), "removal_step": F.lit("detailed merge")})
     out = rest.unionByName(kept.drop("group_id", "group_mean_sim"), allowMissingColumns=True).unionByName(merged.drop("group_id", "merged_rows"), allowMissingColumns=True)
     log = log.unionByName(gone_quick.drop("group_id", "group_mean_sim"), allowMissingColumns=True).unionByName(gone.drop("group_id", "group_mean_sim"), allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.text import cluster_members, text
 from litsieve.functions.vectors import cosine, with_range
+from litsieve.storage import bounded
 
 CLASSES = ("borderline", "irrelevant", "relevant")
 
@@ -31,12 +32,12 @@ def features(articles: DataFrame, centroids: DataFrame, coherence: DataFrame, ve
     The nearest relevant document is searched among relevant cluster members through their centroids, so the side
     that every row meets is as small as the clusters.
     """
-    c = F.broadcast(centroids.select("cluster", "centroid"))
-    w = F.broadcast(coherence.select("cluster", F.col("coherence").alias("coherence_weight")))
+    c = centroids.select("cluster", "centroid")
+    w = coherence.select("cluster", F.col("coherence").alias("coherence_weight"))
     out = articles.join(c, "cluster", "left").join(w, "cluster", "left")
     out = out.withColumns({"distance_to_centroid": F.coalesce(1 - cosine(F.col(vector), F.col("centroid")), F.lit(1.0)), "coherence_weight": F.coalesce("coherence_weight", F.lit(0.0))}).drop("centroid")
     relevant = centroids.join(articles.where("label = 'relevant'").select("cluster").distinct(), "cluster", "left_semi").select(F.col("centroid").alias("__r"))
-    near = articles.select(key, vector).crossJoin(F.broadcast(relevant)).groupBy(key).agg(F.max(cosine(F.col(vector), F.col("__r"))).alias("similarity_to_relevant"))
+    near = articles.select(key, vector).crossJoin(bounded(relevant, "relevant")).groupBy(key).agg(F.max(cosine(F.col(vector), F.col("__r"))).alias("similarity_to_relevant"))
     return out.join(near, key, "left").withColumn("similarity_to_relevant", F.coalesce("similarity_to_relevant", F.lit(0.0)))
 
 

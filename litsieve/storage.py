@@ -37,6 +37,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, tag: str, limit: int = 10_000) -> DataFrame:
+    """A table written out and counted: with a broadcast hint up to ``limit`` rows, without one beyond."""
+    from pyspark.sql import functions as F
+
+    m = materialize(df, tag)
+    return F.broadcast(m) if m.count() <= limit else m
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
