@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What one Arrow batch to a Python worker holds at most.
@@ -78,5 +80,28 @@ def doc_columns(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[int | No
             yield b.column(0).to_pylist(), pc.fill_null(b.column(1), "")
 
 
-def flag(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
+#: What else a worker can drop between tasks.
+ON_RELEASE: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give a Python worker's free memory back to the system: it outlives its task and waits beside the next stage's."""
+    for drop in ON_RELEASE:
+        drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A partition function that leaves no memory behind."""
+
+    def wrapped(parts):
+        try:
+            yield from run(parts)
+        finally:
+            release()
+
+    return wrapped

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import BROADCAST_BYTES, batches, texts, tune
+from litsieve.llm.common import BROADCAST_BYTES, batches, texts, tidy, tune
 from litsieve.llm.files import atomic_write, open_random
 from litsieve.storage import fresh_dir
 
@@ -128,7 +128,7 @@ class WindowSets:
                     f.write(pickle.dumps(Windows(rows, size)))
                 yield pa.RecordBatch.from_pydict({"uri": [uri]})
 
-        self.uris = [r[0] for r in items.repartition(int(n)).mapInArrow(store, "uri string").collect()]
+        self.uris = [r[0] for r in items.repartition(int(n)).mapInArrow(tidy(store), "uri string").collect()]
 
     def each(self) -> Iterator[Windows]:
         if self.inline is not None:
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chunk_bytes:
 
         yield from batches(rows(), schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _judged(ids: pa.Array, column: pa.Array, sets: WindowSets) -> Iterator[tuple[int | None, np.ndarray, set[str]]]:
@@ -202,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size:
                 cols[count] = pa.array([len(x) if h else n for n, x, h in zip(b.column(count).to_pylist(), new, hit, strict=True)], type=b.schema.field(count).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def cut_spans(text: str, sets: WindowSets) -> str:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import BROADCAST_BYTES, batches, doc_groups, semi_join_checked, texts, tune
+from litsieve.llm.common import BROADCAST_BYTES, batches, doc_groups, semi_join_checked, texts, tidy, tune
 from litsieve.operators.graph import connected_components
 from litsieve.storage import materialize
 
@@ -71,6 +71,8 @@ def word_hashes(raw: bytes) -> np.ndarray:
     np.logical_not(_SPACE[b], out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
+    if len(b) > 1 << 20 and len(cuts := _pieces(b)) > 1:  # one very long text: words piece by piece, in the same numbers
+        return np.concatenate([word_hashes(raw[i:j]) for i, j in cuts])
     p, inv = _powers(len(b) + 1)
     total = np.empty(len(b) + 1, dtype=_U)
     total[0] = 0
@@ -78,6 +80,19 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return mix((total[end] - total[start]) * inv[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def _pieces(b: np.ndarray, size: int = 1 << 19) -> list[tuple[int, int]]:
+    """Cuts at white space, about ``size`` apart; a word that is longer than that stays whole."""
+    cuts, at = [0], 0
+    space = np.flatnonzero(_SPACE[b])
+    while len(b) - at > size:
+        k = int(np.searchsorted(space, at + size))
+        if k == len(space):
+            break
+        at = int(space[k])
+        cuts.append(at)
+    return list(zip(cuts, [*cuts[1:], len(b)], strict=True))
+
+
 def shingle_set(text: str) -> np.ndarray:
     """The sorted distinct shingle hashes; fewer than three words are one shingle, none are none."""
     h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
@@ -97,7 +112,7 @@ def _shingles(h: np.ndarray) -> np.ndarray:
 def shingle_sets(some: list[str]) -> list[np.ndarray]:
     """``shingle_set`` of each text; the hashing runs over all of them at once."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in some]
-    if sum(map(len, raw)) > 4 << 20:
+    if sum(map(len, raw)) > 1 << 20:
         return [np.unique(_shingles(word_hashes(r))) for r in raw]
     h = word_hashes(b" ".join(raw))
     out, at = [], 0
@@ -170,7 +185,7 @@ def sets(docs: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate([_NONE, *signed]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, signatures array<long>")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, signatures array<long>")
 
 
 _NONE = np.zeros(0, dtype=np.int64)
@@ -278,7 +293,7 @@ def _points(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
         yield from batches(rows(), schema)
 
-    return semi_join_checked(texts(docs), wanted, "doc_id", n).select("doc_id", "text").mapInArrow(run, "node long, z binary, w long").where("node is not null").dropDuplicates(["node"])
+    return semi_join_checked(texts(docs), wanted, "doc_id", n).select("doc_id", "text").mapInArrow(tidy(run), "node long, z binary, w long").where("node is not null").dropDuplicates(["node"])
 
 
 def _chunks(rows: DataFrame, by: str, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tune
+from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tidy, tune
 from litsieve.llm.tokens import encoder, tokenizer_path
 from litsieve.storage import materialize
 
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, end
 
         yield from batches(rows(), schema)
 
-    return texts(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+    return texts(docs).mapInArrow(tidy(run), PIECES + ", ids binary" * with_ids)
 
 
 @dataclass
@@ -304,7 +304,7 @@ def pack(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, end_i
             own = [b.column(b.schema.get_field_index(f.name)) for f in list(schema)[:5]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(where["sequence"][i] + inside // where["per"][i]), pa.array(where["at"][i] + inside % where["per"][i] * length)], schema=schema)
 
-    return ranked(cut_up, ["doc_id", "piece", "ids_crc32"]).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked(cut_up, ["doc_id", "piece", "ids_crc32"]).mapInArrow(tidy(place), PIECES + ", sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:

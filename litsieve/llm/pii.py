@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from litsieve.llm.common import batches, doc_rows, texts, tune
+from litsieve.llm.common import batches, doc_rows, texts, tidy, tune
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_user", "iban", "ssn", "account")
@@ -150,7 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
         yield from batches(rows(), schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                     cols[count] = pa.array([n if o == x else len(x) for n, o, x in size], type=some.schema.field(count).type)
                 yield pa.RecordBatch.from_arrays(cols, schema=some.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op10_pii_anchors(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tune
+from litsieve.llm.common import batches, doc_columns, shuffle_width, texts, tidy, tune
 from litsieve.llm.files import atomic_write, open_random
 from litsieve.llm.tokens import encoder, tokenizer_path
 from litsieve.storage import fresh_dir
@@ -226,9 +226,9 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
             writer.finish()
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((shard, name, len(writer.keys), writer.ids), made, strict=True)], schema=made)
 
-    ids = texts(docs).mapInArrow(encode, "doc_id long, shard int, n_ids long, value binary")
+    ids = texts(docs).mapInArrow(tidy(encode), "doc_id long, shard int, n_ids long, value binary")
     dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_ids", "value")
-    return [tuple(r) for r in sorted(dealt.mapInArrow(store, "shard int, uri string, documents long, ids long").collect())]
+    return [tuple(r) for r in sorted(dealt.mapInArrow(tidy(store), "shard int, uri string, documents long, ids long").collect())]
 
 
 def _feed(writer: ShardWriter, b: pa.RecordBatch) -> None:
@@ -255,7 +255,7 @@ def read_shards(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
         yield from batches(rows(), schema)
 
     table = spark.createDataFrame(jobs, "shard int, uri string, base long").repartitionById(max(1, len(jobs)), F.col("shard"))
-    return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, manifest: list[tuple], wanted: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def lookup(spark: SparkSession, manifest: list[tuple], wanted: DataFrame) -> Dat
 
     if not manifest:
         return spark.createDataFrame([], "doc_id long, ids array<long>")
-    return wanted.select(F.col("doc_id").cast("long")).distinct().mapInArrow(search, "doc_id long, ids array<long>")
+    return wanted.select(F.col("doc_id").cast("long")).distinct().mapInArrow(tidy(search), "doc_id long, ids array<long>")
 
 
 def op5_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

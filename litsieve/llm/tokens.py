@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from litsieve.llm.common import ON_RELEASE
+
 TOKENIZER = "byte_bpe_50k.json"
 _LONG = 64
 #: Fixed values of the byte-level scheme: how it cuts texts, and the printable character of each byte.
@@ -91,6 +93,10 @@ class SegmentEncoder:
             out[k] = ids
         return out
 
+    def forget(self) -> None:
+        self.cache.clear()
+        self.small.clear()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
@@ -165,5 +171,6 @@ def encoder(path: str, special_as_text: bool = False) -> SegmentEncoder:
     """One encoder for each Python worker."""
     key = (path, special_as_text)
     if key not in _LOADED:
-        _LOADED[key] = SegmentEncoder(path, special_as_text)
+        _LOADED[key] = own = SegmentEncoder(path, special_as_text)
+        ON_RELEASE.append(own.forget)
     return _LOADED[key]

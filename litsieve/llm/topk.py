@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, tune
+from litsieve.llm.common import batches, tidy, tune
 from litsieve.llm.files import atomic_write, open_random
 from litsieve.storage import fresh_dir
 
@@ -132,7 +132,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
     sound = queries.select(*cols).where("vec_id is not null and embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
     one = sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     tiles: dict[int, list[str]] = {}
-    for dim, uri in sorted(tuple(r) for r in one.mapInArrow(store, "dim int, uri string").collect()):
+    for dim, uri in sorted(tuple(r) for r in one.mapInArrow(tidy(store), "dim int, uri string").collect()):
         tiles.setdefault(dim, []).append(uri)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int32())])
 
@@ -162,7 +162,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 6
         for dim, own in held.items():
             yield from shard(dim, own)
 
-    lists = vectors.select(*cols).mapInArrow(multiply, "query_id long, vec_id long, score long, shard int")
+    lists = vectors.select(*cols).mapInArrow(tidy(multiply), "query_id long, vec_id long, score long, shard int")
     order = (F.desc("score"), F.asc("vec_id"))
     first = Window.partitionBy("query_id", F.col("shard") % FAN).orderBy(*order)
     last = Window.partitionBy("query_id").orderBy(*order)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import BROADCAST_BYTES, batches, tune
+from litsieve.llm.common import BROADCAST_BYTES, batches, tidy, tune
 from litsieve.llm.files import atomic_write, open_random
 from litsieve.storage import fresh_dir
 
@@ -190,7 +190,7 @@ def write(pages: DataFrame, uri: str, min_bytes: int = MIN_BYTES) -> list[str]:
             f.write(z.flush())
         yield pa.RecordBatch.from_pydict({"uri": [name]})
 
-    return sorted(r[0] for r in rows.mapInArrow(store, "uri string").collect())
+    return sorted(r[0] for r in rows.mapInArrow(tidy(store), "uri string").collect())
 
 
 def normalise_all(spark: SparkSession, files: list[str], uri: str) -> list[tuple[int, str, str]]:
@@ -207,7 +207,7 @@ def normalise_all(spark: SparkSession, files: list[str], uri: str) -> list[tuple
                 yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "archive": [f"{out}.warc.gz"], "index": [f"{out}.cdxj"]})
 
     jobs = spark.createDataFrame(list(enumerate(files)), "k int, uri string").repartitionById(len(files), F.col("k"))
-    return sorted(tuple(r) for r in jobs.mapInArrow(run, "k int, archive string, index string").collect())
+    return sorted(tuple(r) for r in jobs.mapInArrow(tidy(run), "k int, archive string, index string").collect())
 
 
 def read(spark: SparkSession, archives: list[tuple[int, str, str]]) -> DataFrame:
@@ -229,7 +229,7 @@ def read(spark: SparkSession, archives: list[tuple[int, str, str]]) -> DataFrame
         yield from batches(rows(), schema)
 
     jobs = spark.createDataFrame(archives, "k int, archive string, index string").repartitionById(len(archives), F.col("k"))
-    return jobs.mapInArrow(run, RESULT)
+    return jobs.mapInArrow(tidy(run), RESULT)
 
 
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
