@@ -33,6 +33,8 @@ from litsieve.storage import materialize
 
 SEQ_LEN, END_ID = 1024, 2
 LARGE_ABOVE, GROUPS = 256, 100
+#: Sequences of large documents that keep more space than this are opened again for best fit.
+SLACK = 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -200,7 +202,7 @@ class _BestFit:
         return [b for f in self.frees for b in self.by_free[f] if b.slots]
 
 
-def plan(hist: dict[int, int], seq_len: int = SEQ_LEN, large_above: int = LARGE_ABOVE, groups: int = GROUPS) -> list[Bins]:
+def plan(hist: dict[int, int], seq_len: int = SEQ_LEN, large_above: int = LARGE_ABOVE, groups: int = GROUPS, slack: int = SLACK) -> list[Bins]:
     """Patterns with multiplicities that hold exactly the lengths of the histogram."""
     hist = {k: v for k, v in hist.items() if k > 0 and v > 0}
     bins = [Bins([(seq_len, 1)], hist[seq_len], 0)] if seq_len in hist else []
@@ -217,10 +219,15 @@ def plan(hist: dict[int, int], seq_len: int = SEQ_LEN, large_above: int = LARGE_
                 use.append((config, n))
                 for i, c in config:
                     left[i] -= n * c
-        for config, n in use:
-            bins += _substitute(config, n, runs, seq_len)
-        # what rounding down left over: few, placed at their actual lengths
         rest: dict[int, int] = {}
+        for config, n in use:
+            for b in _substitute(config, n, runs, seq_len):
+                if b.free <= slack:
+                    bins.append(b)
+                    continue
+                for length, per in b.slots:
+                    rest[length] = rest.get(length, 0) + per * b.count
+        # what rounding down left over
         for r in runs:
             for length, n in r:
                 rest[length] = rest.get(length, 0) + n
