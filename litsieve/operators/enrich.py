@@ -9,6 +9,7 @@ from litsieve.functions.fuzzy import authors_match, title_matches
 from litsieve.functions.text import format_citation_authors, format_crossref_authors, text
 from litsieve.operators.quality import missing_data_flag
 from litsieve.sources.lookup import Transport, http, lookup
+from litsieve.storage import materialize
 
 _DATE = "struct<`date-parts`: array<array<int>>>"
 _WORK = (
@@ -105,7 +106,8 @@ def update_from(df: DataFrame, found: str, service: str) -> DataFrame:
 def recover_dois(articles: DataFrame, transport: Transport = http, title_min: int = 80, author_min: int = 60) -> DataFrame:
     """O1: DOIs for ``auto`` rows from title searches confirmed by year (at most one off, D4), title and authors; others become ``manual``."""
     auto = articles.where("doi_recovery_flag = 'auto'")
-    hits = lookup(auto, "orig_index", "title", "crossref_title", transport).select("orig_index", F.posexplode(parse_crossref_list(F.col("response"))).alias("place", "w"))
+    answers = materialize(lookup(auto, "orig_index", "title", "crossref_title", transport), "answers")  # each row is asked once
+    hits = answers.select("orig_index", F.posexplode(parse_crossref_list(F.col("response"))).alias("place", "w"))
     j = auto.select("orig_index", "title", "authors", "year").join(hits, "orig_index")
     year_ok = F.abs(F.expr("try_cast(year as int)") - F.expr("try_cast(w.year as int)")) <= 1
     ok = j.where(year_ok).where(title_matches(F.col("title"), F.col("w.title"), title_min) & authors_match(F.col("authors"), F.col("w.authors"), author_min))
@@ -122,7 +124,8 @@ def retrieve_missing(articles: DataFrame, transport: Transport = http) -> DataFr
     rest = flagged.where("data_ret_flag <> 'auto'")
     for service, name, parse in (("crossref_doi", "crossref", parse_crossref), ("pubmed", "pubmed", parse_pubmed), ("opencitations", "opencitations", parse_citations)):
         ask = todo.where("data_ret_flag = 'auto'")
-        found = lookup(ask, "orig_index", "doi", service, transport).where("response is not null").select("orig_index", parse(F.col("response")).alias("__w"))
-        todo = missing_data_flag(update_from(todo.join(found, "orig_index", "left"), "__w", name).drop("__w"))
+        answers = materialize(lookup(ask, "orig_index", "doi", service, transport), "answers")
+        found = answers.where("response is not null").select("orig_index", parse(F.col("response")).alias("__w"))
+        todo = materialize(missing_data_flag(update_from(todo.join(found, "orig_index", "left"), "__w", name).drop("__w")), "enriched")
     still = todo.withColumn("data_ret_flag", F.when(F.col("data_ret_flag") == "", "auto").otherwise("manual"))
     return rest.unionByName(still)
