@@ -25,7 +25,7 @@ import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import BROADCAST_BYTES, tune
+from litsieve.llm.common import BROADCAST_BYTES, tidy, tune
 from litsieve.llm.files import locate
 from litsieve.storage import fresh_dir, materialize
 
@@ -112,8 +112,9 @@ def _first_pass(order: int):
                             held, size = [], 0
                     if held:
                         tally.add(np.concatenate(held))
-                for block in [k for k, t in tallies.items() if t.size > HELD and t._merge() is None and t.size > HELD]:
-                    yield out(block)
+                if sum(t.size for t in tallies.values()) > 3 * HELD:
+                    for block in list(tallies):
+                        yield out(block)
         for block in list(tallies):
             yield out(block)
 
@@ -166,20 +167,20 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
     ids = materialize(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("good", F.lit(True)), "trusted")
     side = F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("text").cast("string").alias("text"), lang.alias("lang")).join(side, "doc_id", "left")
-    seen = materialize(own.select("doc_id", "path", "text", "good").mapInArrow(_first_pass(order), "block long, gram long, n long"), "grams")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    seen = materialize(own.join(side, "doc_id", "left").select("doc_id", "path", "text", "good").mapInArrow(tidy(_first_pass(order)), "block long, gram long, n long"), "grams")
     counts = materialize(seen.where(F.col("block") == _TRUSTED).groupBy("gram").agg(F.sum("n").alias("c")), "counts")
     asked = seen.where(F.col("block") != _TRUSTED).select("block", "gram").distinct()
     known = materialize(probabilities(seen.where(F.col("block") != _TRUSTED).select("gram").distinct(), counts, order), "logp")
     uri = fresh_dir(spark, "answers")
     asked.join(known, "gram").withColumn("part", F.pmod("gram", F.lit(4))).repartition("block", "part").sortWithinPartitions("block", "gram").select("block", "gram", "logp").write.partitionBy("block").parquet(uri)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
 
     def score(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, logp = None, None, None
         for b in parts:
             rows = []
-            for doc_id, path, text, tongue, good in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, path, text, tongue in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 value = None
                 if raw:
@@ -187,11 +188,13 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> Dat
                         at = _block(path)
                         keys, logp = _answers(uri, at)
                     value = float(np.exp(-logp[np.searchsorted(keys, grams(raw, order))].mean()))
-                rows.append((doc_id, tongue, bool(good), len(raw), value))
+                rows.append((doc_id, tongue, len(raw), value))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return own.select("doc_id", "path", "text", "lang", "good").mapInArrow(score, "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double")
+    # the files' own order is kept, so a task changes its answers when its file changes; the flag comes after
+    scored = own.select("doc_id", "path", "text", "lang").mapInArrow(tidy(score), "doc_id long, lang string, n_bytes long, perplexity double")
+    return scored.join(side, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False))).drop("good")
 
 
 def _answers(uri: str, block: int) -> tuple[np.ndarray, np.ndarray]:
