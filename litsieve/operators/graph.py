@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if state == before or state[0] == 0:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
 
