@@ -2,8 +2,8 @@
 
 The byte-level pre-tokeniser never joins a piece across a single U+0020 that stands between two
 non-space characters: the space starts the next piece. So a text falls apart at those spaces, each
-segment (a word with its leading space) is encoded once by the library, and equal segments reuse
-their ids. Texts with other white space next to a space are cut only where both neighbours are
+segment (a word with its leading space, or the line end that takes its place) is encoded once by the
+library, and equal segments reuse their ids. Texts with other white space next to a space are cut only where both neighbours are
 non-space; texts with the special token's string go to the library undivided. The ids are those of
 one call on the whole text.
 """
@@ -14,6 +14,7 @@ import gc
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,15 @@ from litsieve.llm.common import ON_RELEASE
 
 TOKENIZER = "byte_bpe_50k.json"
 _LONG = 64
+#: Segments kept from one task to the next (about 200 bytes each).
+_COMMON = 100_000
 #: Fixed values of the byte-level scheme: how it cuts texts, and the printable character of each byte.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: b if b in _SHOWN else 256 + k for k, b in [(sum(x not in _SHOWN for x in range(b)), b) for b in range(256)]}
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_CHARS = [chr(_BYTES[b]) for b in range(256)]
+_MARKS = frozenset(".,;:!?")
 _LOADED: dict[tuple[str, bool], "SegmentEncoder"] = {}
 
 
@@ -38,15 +43,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _shown(piece: str) -> str:
+    """A piece in the scheme's printable characters."""
+    return "".join(map(_CHARS.__getitem__, piece.encode()))
+
+
 class SegmentEncoder:
     """``encode(text)`` gives little-endian unsigned 32-bit ids as bytes.
 
-    ``limit`` bounds the cached segments (about 150 bytes each); a full cache is emptied.
+    ``limit`` bounds the cached segments (about 200 bytes each); a full cache falls back to the common ones.
     ``special_as_text`` makes the special token's string in a text ordinary text (default: the
     library's own default, one special id).
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, limit: int = 800_000):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +73,7 @@ class SegmentEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after one space.
+        """Ids of each word after one space, or after the line end it starts with.
 
         Words of letters, digits and marks below U+0530 are cut by the pre-tokeniser's own pattern and
         their pieces go straight to the library's BPE model; all others go through its whole pipeline.
@@ -79,23 +89,29 @@ class SegmentEncoder:
                 later.append(len(out))
                 out.append(w)
                 continue
+            elif w.isalpha():
+                out.append(array("I", [t.id for t in tokenize("\u0120" + _shown(w))]).tobytes())
+                continue
+            # letters and one mark are two pieces; anything else is cut by the pattern
+            body = w[:-1]
             ids = b""
-            for piece in self.pattern.findall(" " + w):
+            for piece in (" " + body, w[-1]) if w[-1] in _MARKS and body.isalpha() else self.pattern.findall(w if w[0] == "\n" else " " + w):
                 own = small.get(piece) or (known.get(piece[1:]) if piece[0] == " " else None)
                 if own is None:
-                    raw = piece if piece.isascii() else piece.encode().decode("latin-1")
-                    own = small[piece] = array("I", [t.id for t in tokenize(raw.translate(_BYTES))]).tobytes()
+                    own = small[piece] = array("I", [t.id for t in tokenize(_shown(piece))]).tobytes()
                 ids += own
             out.append(ids)
         if len(small) > self.limit // 4:
             small.clear()
-        for k, ids in zip(later, self._library([" " + out[k] for k in later]), strict=True):
+        for k, ids in zip(later, self._library([out[k] if out[k][0] == "\n" else " " + out[k] for k in later]), strict=True):
             out[k] = ids
         return out
 
     def forget(self) -> None:
-        self.cache.clear()
-        self.small.clear()
+        """Keep the segments met first, which are the common ones; a dictionary remembers its order."""
+        keep = min(_COMMON, self.limit // 2)
+        self.cache = dict(islice(self.cache.items(), keep))
+        self.small = dict(islice(self.small.items(), keep))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -115,7 +131,8 @@ class SegmentEncoder:
             return []
         gc.disable()  # nothing here is cyclic, and the cache is long to walk
         try:
-            lists = pc.split_pattern(column, " ")
+            # a line end between two visible characters starts a segment too, one without a space
+            lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = pc.dictionary_encode(lists.flatten())
             words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
@@ -136,19 +153,20 @@ class SegmentEncoder:
             gc.enable()
 
     def _lookup(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
-        """Ids of each word after one space, and which words need the careful cut of their text."""
+        """Ids of each segment, and which ones need the careful cut of their text."""
         out = list(map(self.cache.get, words))
         odd = np.zeros(len(words), dtype=bool)
         missing = []
         for k, ids in enumerate(out):
             if ids is None:
                 w = words[k]
-                if not w or w[0].isspace() or w[-1].isspace() or any(s in w for s in self.special):
+                inner = w[1:] if w[:1] == "\n" else w
+                if not inner or inner[0].isspace() or inner[-1].isspace() or any(s in w for s in self.special):
                     odd[k], out[k] = True, b""
                 else:
                     missing.append(k)
         if len(self.cache) + len(missing) > self.limit:
-            self.cache.clear()
+            self.forget()
         for k, ids in zip(missing, self._words([words[k] for k in missing]), strict=True):
             out[k] = ids
             if len(words[k]) <= _LONG:
