@@ -261,7 +261,7 @@ def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, i
                 yield other, node
 
 
-def _join_tiles(rows: DataFrame, keys: list[str], components: bool) -> DataFrame:
+def _join_tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``a, b`` of the links found in each tile; rows: keys, side, node, component, z."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -275,7 +275,8 @@ def _join_tiles(rows: DataFrame, keys: list[str], components: bool) -> DataFrame
         found = list(tile_links(list(sides[0].values()), list(sides[1].values())))
         return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
-    return rows.select(*keys, "side", "node", "component", "z").groupBy(*keys).applyInArrow(run, "a long, b long")
+    # dealt by tile: rows that joins left by centre would bring all tiles of a star to one task
+    return rows.select(*keys, "side", "node", "component", "z").repartition(*keys).groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
 def _points(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -321,7 +322,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     both = heads.select(F.col("node").alias("centre"), "tile", F.lit(0).alias("side"), "node", F.col("node").alias("component"), "z").unionByName(
         right.select("centre", "tile", F.lit(1).alias("side"), "node", F.col("node").alias("component"), "z")
     )
-    found = materialize(_join_tiles(both, ["centre", "tile"], False), "links")
+    found = materialize(_join_tiles(both, ["centre", "tile"]), "links")
     missed = materialize(stars.join(found.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti"), "missed")
     if missed.isEmpty():
         return found
@@ -336,7 +337,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     sizes = _chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre")
     left = lost.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(0).alias("side"), "node", "component", "z")
     other = whole.join(sizes, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("nr")).cast("int").alias("j"), F.lit(1).alias("side"), "node", "component", "z")
-    return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"], True), "more"))
+    return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"]), "more"))
 
 
 def join(docs: DataFrame) -> DataFrame:
