@@ -17,6 +17,7 @@ that a third of all pieces share is dealt over many tasks.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -278,13 +279,24 @@ def layout(bins: list[Bins]) -> dict[str, np.ndarray]:
 
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``rank``: 0.. among the rows of each length, counted over hash buckets and not in one task."""
+    """Add ``rank``: 0.. among the rows of each length, counted over hash buckets and not in one task.
+
+    Bucket counts are summed in two levels, so that no window sees more than about the square root of the buckets.
+    """
     buckets = 4 * shuffle_width(rows.sparkSession)
+    width = math.isqrt(buckets - 1) + 1
     b = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = b.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    counts = b.groupBy("length", "bucket").count().withColumn("group", F.floor(F.col("bucket") / width).cast("int"))
+    so_far = lambda by, order: F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("length", "group").agg(F.sum("count").alias("count")).select("length", "group", so_far(["length"], "group").alias("before"))
+    base = counts.select("length", "bucket", "group", so_far(["length", "group"], "bucket").alias("base")).join(groups, ["length", "group"])
     inside = Window.partitionBy("length", "bucket").orderBy(*keys)
-    return b.withColumn("rank", F.row_number().over(inside) - 1).join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
+    return (
+        b.withColumn("rank", F.row_number().over(inside) - 1)
+        .join(base.select("length", "bucket", (F.col("base") + F.col("before")).alias("base")), ["length", "bucket"])
+        .withColumn("rank", F.col("rank") + F.col("base"))
+        .drop("base", "bucket")
+    )
 
 
 def pack(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, large_above: int = LARGE_ABOVE, groups: int = GROUPS) -> DataFrame:
