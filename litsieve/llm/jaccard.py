@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from litsieve.llm.common import BROADCAST_BYTES, batches, doc_groups, semi_join_checked, texts, tidy, tune
 from litsieve.operators.graph import connected_components
-from litsieve.storage import materialize
+from litsieve.storage import bounded, materialize
 
 SHINGLE, DIMENSIONS, LEAF = 3, 32, 16
 #: Link when PER_100 / 100 * union <= intersection.
 PER_100 = 90
 TILE_ROWS, TILE_BYTES = 256, 8 << 20
+#: Rows of a table of stars (a few numbers each) that are broadcast; larger ones are shuffled.
+STARS = 500_000
 _P = 0x9E3779B97F4A7C15 | 1
 _PI = pow(_P, -1, 1 << 64)
 _U = np.uint64
@@ -316,7 +318,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     points = materialize(_points(docs, wanted, n), "points")
     # each document against its star's centre
     members = stars.join(points, "node")
-    tiles = _chunks(members, "centre", "n")
+    tiles = bounded(_chunks(members, "centre", "n"), "tiles", STARS)
     right = members.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     heads = tiles.select(F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tile")).join(points, "node")
     both = heads.select(F.col("node").alias("centre"), "tile", F.lit(0).alias("side"), "node", F.col("node").alias("component"), "z").unionByName(
@@ -330,11 +332,12 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     near = connected_components(found, "a", "b").withColumnRenamed("component", "label")
     known = lambda df: df.join(near, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     lost = known(missed.join(points, "node"))
-    whole = known(stars.join(missed.select("centre").distinct(), "centre", "left_semi").join(points, "node"))
+    whole = known(stars.join(bounded(missed.select("centre").distinct(), "centres", STARS), "centre", "left_semi").join(points, "node"))
     # a star whose documents are all in one component has nothing left to find
     open_ = whole.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre")
+    open_ = bounded(open_, "open", STARS)
     lost, whole = lost.join(open_, "centre", "left_semi"), whole.join(open_, "centre", "left_semi")
-    sizes = _chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre")
+    sizes = bounded(_chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre"), "sizes", STARS)
     left = lost.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(0).alias("side"), "node", "component", "z")
     other = whole.join(sizes, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("nr")).cast("int").alias("j"), F.lit(1).alias("side"), "node", "component", "z")
     return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"]), "more"))
