@@ -293,7 +293,7 @@ def ensemble(df: DataFrame, key: str, vector: str, k: int, runs: int = 50, keep:
 
 def label_string(labels: Column) -> Column:
     """Labels as one printable character each (id mod 100), for edit distances."""
-    return F.array_join(F.transform(labels, lambda v: F.expr("char(33)") if v is None else F.chr((F.pmod(v, F.lit(100)) + 161).cast("int"))), "")
+    return F.array_join(F.transform(labels, lambda v: F.chr((F.pmod(v, F.lit(100)) + 33).cast("int"))), "")
 
 
 def edit_distances(df: DataFrame, key: str, labels: str, limit: float | None = None) -> DataFrame:
