@@ -1,14 +1,16 @@
 """Operator 6: n-gram Jaccard join with count vectors and R-trees, and its linked groups.
 
-A document's set is its distinct 3-word shingles. Two documents link when their sets' Jaccard similarity is
-at least 0.9. All links count; the result is exact.
-
-*Dealing out.* A link allows few differing shingles: at most ``a // 9`` for a smaller set of a. Shingles are
-hashed into one more group than that (and one to spare for empty groups), so two linked documents agree on
-all of some group. Sizes fall in classes, each document signs with its own class's groups and with those of
-the class below, and linked documents share a signature: pigeonholes instead of prefixes, so a passage that
-many documents share brings none of them together. Each signature's documents are linked as a star to the
-smallest of them, which makes no pairs within a group.
+A document's set is its distinct shingles of ``shingle`` words. Two documents link when their sets' Jaccard
+similarity is at least ``per_100`` hundredths. All links count; the result is exact. Operator 6's own query takes
+three words and 0.9, the pipeline's stage five words and 0.8.
+
+*Dealing out.* A link allows few differing shingles: at most ``a // 9`` for a smaller set of a at 0.9, ``a // 4``
+at 0.8. Shingles are hashed into more groups than that, so two linked documents agree on all of some group, and do
+so within the first groups that hold one more than may differ: each signs with those alone. Sizes fall in classes,
+each document signs with its own class's groups and, if a link reaches that far, with those of the class below, and
+linked documents share a signature: pigeonholes instead of prefixes, so a passage that many documents share brings
+few of them together (at 0.9 hardly any; at 0.8 groups are smaller). Each signature's documents are linked as a star
+to the smallest of them, which makes no pairs within a group.
 
 *Bounding and verifying.* Documents of a star meet in tiles of bounded size. A tile hashes shingles into
 ``DIMENSIONS`` groups, takes the group counts as a point, and holds one side's points in an R-tree. The
@@ -23,6 +25,7 @@ distinct sets one false union is expected in about three runs; shingles are 64-b
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ from litsieve.llm.common import BROADCAST_BYTES, batches, doc_groups, semi_join_
 from litsieve.operators.graph import connected_components
 from litsieve.storage import bounded, materialize
 
-SHINGLE, DIMENSIONS, LEAF = 3, 32, 16
-#: Link when PER_100 / 100 * union <= intersection.
-PER_100 = 90
+DIMENSIONS, LEAF = 32, 16
+#: Operator 6's own query: words in a shingle; link when PER_100 / 100 * union <= intersection.
+SHINGLE, PER_100 = 3, 90
 TILE_ROWS, TILE_BYTES = 256, 8 << 20
 #: Rows of a table of stars (a few numbers each) that are broadcast; larger ones are shuffled.
 STARS = 500_000
@@ -95,64 +98,70 @@ def _pieces(b: np.ndarray, size: int = 1 << 19) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], len(b)], strict=True))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """The sorted distinct shingle hashes; fewer than three words are one shingle, none are none."""
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct shingle hashes; fewer words than a shingle has are one shingle, none are none."""
     h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    return np.unique(_shingles(h))
+    return np.unique(_shingles(h, shingle))
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
+def _shingles(h: np.ndarray, shingle: int) -> np.ndarray:
     if not len(h):
         return h
-    n = min(SHINGLE, len(h))
+    n = min(shingle, len(h))
     out = np.full(len(h) - n + 1, n, dtype=_U)
     for k in range(n):
         out = mix(out * _U(0x2545F4914F6CDD1D) + h[k : k + len(out)])
     return out
 
 
-def shingle_sets(some: list[str]) -> list[np.ndarray]:
+def shingle_sets(some: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """``shingle_set`` of each text; the hashing runs over all of them at once."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in some]
     if sum(map(len, raw)) > 1 << 20:
-        return [np.unique(_shingles(word_hashes(r))) for r in raw]
+        return [np.unique(_shingles(word_hashes(r), shingle)) for r in raw]
     h = word_hashes(b" ".join(raw))
     out, at = [], 0
     for r in raw:
         n = len(r.split())
-        out.append(np.unique(_shingles(h[at : at + n])))
+        out.append(np.unique(_shingles(h[at : at + n], shingle)))
         at += n
     return out
 
 
-def size_classes(limit: int) -> np.ndarray:
-    """Upper ends of the size classes up to one that holds ``limit``."""
-    ends = [8]
-    while ends[-1] < limit:
-        ends.append(max(ends[-1] + 1, ends[-1] * 100 // PER_100))
-    return np.array(ends)
+_NONE = np.zeros(0, dtype=np.int64)
+#: A class's upper end is at least this many hundredths of the one below; wider classes sign fewer sets twice.
+WIDTH = 150
 
 
-_ENDS = size_classes(1 << 40)
+@cache
+def size_classes(per_100: int = PER_100, limit: int = 1 << 40) -> np.ndarray:
+    """Upper ends of the size classes up to one that holds ``limit``; sets of the first cannot differ and link."""
+    ends = [(per_100 - 1) // (100 - per_100)]
+    while ends[-1] < limit:
+        ends.append(max(ends[-1] + 1, ends[-1] * 100 // per_100, ends[-1] * WIDTH // 100 if per_100 < 90 else 0))
+    return np.array(ends)
 
 
-def signatures(u: np.ndarray) -> np.ndarray:
+def signatures(u: np.ndarray, per_100: int = PER_100) -> np.ndarray:
     """What a set signs with; linked sets that differ share one at least."""
-    own = int(np.searchsorted(_ENDS, len(u)))
-    return np.concatenate([_signed(u, c) for c in (own, own - 1) if c > 0] or [np.zeros(0, dtype=np.int64)])
+    ends = size_classes(per_100)
+    own = int(np.searchsorted(ends, len(u)))
+    below = own > 0 and len(u) * per_100 <= int(ends[own - 1]) * 100  # a link with a set of the class below is possible
+    return np.concatenate([_signed(u, c, int(ends[c]), per_100) for c in (own, own - 1)[: 1 + below] if c > 0] or [_NONE])
 
 
-def _signed(u: np.ndarray, c: int) -> np.ndarray:
-    differ = int(_ENDS[c]) * (100 - PER_100) // PER_100
-    if not differ:
-        return np.zeros(0, dtype=np.int64)
-    m = differ + 2  # two groups agree at least
+def _signed(u: np.ndarray, c: int, end: int, per_100: int) -> np.ndarray:
+    odd = 100 - per_100
+    most = end * odd // per_100
+    differ = min(len(u), end) * odd // per_100  # the smaller of two linked sets has at most so many shingles
+    m = most + 2 + int(7 * (most + 24) * np.exp(-per_100 / odd))  # the smaller the groups, the more of them are empty
     group = ((u >> _U(32)) * _U(m)) >> _U(32)  # rises with u
     at = np.searchsorted(group, np.arange(m + 1, dtype=_U))
     full = np.flatnonzero(at[1:] > at[:-1])
     total = np.zeros(m, dtype=_U)
     total[full] = np.add.reduceat(mix(u), at[full])
-    keep = full if m - len(full) < 2 else np.arange(m)  # both of a pair can lack two groups only if either emits them
+    # of the first groups that hold more than differ, one agrees and is not empty, on both sides; too few: all are signed with
+    keep = full[: differ + 1] if len(full) > differ else np.arange(m)
     return mix(total[keep] * _U(0x9FB21C651E98DF25) + keep.astype(_U) * _U(0xA24BAED4963EE407) + _U(c)).view(np.int64)
 
 
@@ -163,7 +172,7 @@ def node_of(u: np.ndarray) -> int | None:
     return int(mix(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)[None] + _U(len(u)))[0].view(np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame:
     """``doc_id, n_shingles, node, signatures``; copies within a task sign once."""
     tune(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signatures", pa.list_(pa.int64()))])
@@ -174,7 +183,7 @@ def sets(docs: DataFrame) -> DataFrame:
         for b in parts:
             ids, sizes, nodes, signed = [], [], [], []
             for doc_ids, some in doc_groups([b], 64):
-                for doc_id, u in zip(doc_ids, shingle_sets(some), strict=True):
+                for doc_id, u in zip(doc_ids, shingle_sets(some, shingle), strict=True):
                     node = node_of(u)
                     fresh = node is not None and doc_id is not None and node not in seen
                     if fresh and len(seen) < 1_000_000:
@@ -182,7 +191,7 @@ def sets(docs: DataFrame) -> DataFrame:
                     ids.append(doc_id)
                     sizes.append(len(u))
                     nodes.append(node)
-                    signed.append(signatures(u) if fresh else _NONE)
+                    signed.append(signatures(u, per_100) if fresh else _NONE)
             ends = np.cumsum([0, *map(len, signed)])
             flat = pa.array(np.concatenate([_NONE, *signed]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=schema)
@@ -190,13 +199,11 @@ def sets(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, signatures array<long>")
 
 
-_NONE = np.zeros(0, dtype=np.int64)
-
-
 class CountTree:
     """An R-tree over count vectors, packed by sorting (sort-tile-recursive on the widest coordinates)."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, per_100: int = PER_100):
+        self.per_100 = per_100
         order = self._tile(points, np.arange(len(points)))
         self.points, self.sizes, self.order = points[order], sizes[order], order
         self.levels = []  # (upper corner, least size) of each node, leaves first
@@ -228,21 +235,20 @@ class CountTree:
         rows = (nodes[:, None] * LEAF + np.arange(LEAF)).ravel()
         return rows[rows < n]
 
-    @staticmethod
-    def _may(top: np.ndarray, size: np.ndarray, point: np.ndarray, own: int) -> np.ndarray:
-        return (100 + PER_100) * np.minimum(top, point).sum(axis=1) >= PER_100 * (size + own)
+    def _may(self, top: np.ndarray, size: np.ndarray, point: np.ndarray, own: int) -> np.ndarray:
+        return (100 + self.per_100) * np.minimum(top, point).sum(axis=1) >= self.per_100 * (size + own)
 
 
 def count_vector(u: np.ndarray) -> np.ndarray:
     return np.bincount((u % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, per_100: int = PER_100) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PER_100 * (len(a) + len(b) - both)
+    return 100 * both >= per_100 * (len(a) + len(b) - both)
 
 
-def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, int, np.ndarray]], per_100: int = PER_100) -> Iterator[tuple[int, int]]:
     """Verified links (node, node) between the sides, each (node, component, set), that connect what is not yet connected."""
     if not left or not right:
         return
@@ -253,17 +259,17 @@ def tile_links(left: list[tuple[int, int, np.ndarray]], right: list[tuple[int, i
             root[x] = x = root.get(up, up)
         return x
 
-    tree = CountTree(np.array([count_vector(s) for _, _, s in left]), np.array([len(s) for _, _, s in left]))
+    tree = CountTree(np.array([count_vector(s) for _, _, s in left]), np.array([len(s) for _, _, s in left]), per_100)
     for node, comp, s in right:
         for k in tree.candidates(count_vector(s), len(s)).tolist():
             other, its, t = left[k]
             a, b = find(comp), find(its)
-            if a != b and linked(s, t):
+            if a != b and linked(s, t, per_100):
                 root[a] = b
                 yield other, node
 
 
-def _join_tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _join_tiles(rows: DataFrame, keys: list[str], shingle: int, per_100: int) -> DataFrame:
     """``a, b`` of the links found in each tile; rows: keys, side, node, component, z."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -273,15 +279,15 @@ def _join_tiles(rows: DataFrame, keys: list[str]) -> DataFrame:
         sides: tuple[dict, dict] = ({}, {})
         for side, node, comp, z in zip(col("side"), col("node"), col("component"), col("z"), strict=True):
             if node not in sides[side]:
-                sides[side][node] = (node, comp, shingle_set(zstandard.decompress(z).decode("utf-8", "surrogatepass")))
-        found = list(tile_links(list(sides[0].values()), list(sides[1].values())))
+                sides[side][node] = (node, comp, shingle_set(zstandard.decompress(z).decode("utf-8", "surrogatepass"), shingle))
+        found = list(tile_links(list(sides[0].values()), list(sides[1].values()), per_100))
         return pa.Table.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     # dealt by tile: rows that joins left by centre would bring all tiles of a star to one task
     return rows.select(*keys, "side", "node", "component", "z").repartition(*keys).groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def _points(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _points(docs: DataFrame, wanted: DataFrame, n: int, shingle: int) -> DataFrame:
     """``node, z, w``: the compressed text of each wanted document and its size."""
     schema = pa.schema([("node", pa.int64()), ("z", pa.binary()), ("w", pa.int64())])
 
@@ -290,7 +296,7 @@ def _points(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
         def rows():
             for _, some in doc_groups(parts):
-                for text, u in zip(some, shingle_sets(some), strict=True):
+                for text, u in zip(some, shingle_sets(some, shingle), strict=True):
                     z = zip_.compress(text.encode("utf-8", "surrogatepass"))
                     yield node_of(u), z, len(text)
 
@@ -304,7 +310,7 @@ def _chunks(rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE_ROWS)), F.ceil(F.sum("w") / F.lit(TILE_BYTES)), F.lit(1)).cast("int").alias(name))
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
+def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame | None:
     """``a, b``: links between nodes that connect all that is connected; none if nothing shares a signature."""
     rows = signed.where("doc_id is not null and size(signatures) > 0").select(F.explode("signatures").alias("sig"), "node")
     shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre")
@@ -315,7 +321,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     n = wanted.count()
     if not n:
         return None
-    points = materialize(_points(docs, wanted, n), "points")
+    points = materialize(_points(docs, wanted, n, shingle), "points")
     # each document against its star's centre
     members = stars.join(points, "node")
     tiles = bounded(_chunks(members, "centre", "n"), "tiles", STARS)
@@ -324,7 +330,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     both = heads.select(F.col("node").alias("centre"), "tile", F.lit(0).alias("side"), "node", F.col("node").alias("component"), "z").unionByName(
         right.select("centre", "tile", F.lit(1).alias("side"), "node", F.col("node").alias("component"), "z")
     )
-    found = materialize(_join_tiles(both, ["centre", "tile"]), "links")
+    found = materialize(_join_tiles(both, ["centre", "tile"], shingle, per_100), "links")
     missed = materialize(stars.join(found.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti"), "missed")
     if missed.isEmpty():
         return found
@@ -340,10 +346,10 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame | None:
     sizes = bounded(_chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre"), "sizes", STARS)
     left = lost.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(0).alias("side"), "node", "component", "z")
     other = whole.join(sizes, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("nr")).cast("int").alias("j"), F.lit(1).alias("side"), "node", "component", "z")
-    return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"]), "more"))
+    return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"], shingle, per_100), "more"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     ``component_id`` is the smallest doc_id that links reach. Documents without words (null or blank
@@ -351,9 +357,9 @@ def join(docs: DataFrame) -> DataFrame:
     links nothing. Rows that repeat a doc_id are nodes by their texts. An empty table gives no rows. Columns
     other than doc_id and text are not read.
     """
-    signed = materialize(sets(docs), "sets")
+    signed = materialize(sets(docs, shingle, per_100), "sets")
     nodes = signed.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    edges = links(docs, signed)
+    edges = links(docs, signed, shingle, per_100)
     if edges is None:
         least = nodes.select("node", F.col("first").alias("component_id"))
     else:
@@ -364,13 +370,13 @@ def join(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n_shingles", "node").join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame:
     """One document of each linked group (the smallest doc_id), in the columns they came with.
 
     Rows with a null doc_id stay. Rows that repeat a doc_id with an equal text become one; a doc_id whose
     rows have several texts goes only if each of them is linked to a smaller one.
     """
-    found = materialize(join(docs).where("doc_id is not null").select("doc_id", "component_id").distinct(), "groups")
+    found = materialize(join(docs, shingle, per_100).where("doc_id is not null").select("doc_id", "component_id").distinct(), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id")
     stay = found.where("doc_id = component_id").select("doc_id")
     gone = materialize(gone.join(stay, "doc_id", "left_anti").distinct(), "gone")
