@@ -9,7 +9,8 @@ rows. Only rows with ``crc32(doc_id as text) mod 5 <> 0`` are ever learnt from.
 The classifier pools over a document's distinct words: each word has a logit, linear in hashed
 features (the word, its prefixes, its character 4- and 5-grams), and the document's logit is a
 smooth maximum of them. So one toxic word marks a text of any length, and unseen inflections of
-known stems count. Labels, language, source and doc_id are no inputs of a score.
+known stems count. In a run of more than ``LONG`` letters (script without spaces, glued words) a word can
+start at every letter, so each letter starts a piece; of a document's pieces the highest counts in its score. Labels, language, source and doc_id are no inputs of a score.
 
 The fit sees a bounded sample: ``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` other training rows, those
 with the smallest hash of their id. Scoring covers every row and the whole of its text.
@@ -34,13 +35,22 @@ DIMENSIONS, FOLDS = 1 << 18, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Runs of more letters than LONG are taken as pieces of PIECE letters, one from each letter on.
+LONG, PIECE = 40, 12
+
+
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct runs of letters, long ones as pieces; pieces end in a hyphen."""
+    found = set(_WORD.findall(text.lower()))
+    for w in [w for w in found if len(w) > LONG]:
+        found.remove(w)
+        found.update(w[i : i + PIECE] + "-" for i in range(len(w) - 3))
+    return found
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of one word (at most its first 40 letters give n-grams)."""
-    w = f"<{word[:40]}>"
+    """Hashed features of one word, or of a piece, which does not end where its word does."""
+    w = f"<{word[:-1]}" if word[-1] == "-" else f"<{word}>"
     grams = {w, *(w[:n] for n in (4, 5, 6)), *(w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams]
 
@@ -61,7 +71,8 @@ class Model:
         return v
 
     def score(self, text: str) -> float:
-        s = sum(map(self.word, words(text)))
+        own = words(text)
+        s = sum(self.word(w) for w in own if w[-1] != "-") + max((self.word(w) for w in own if w[-1] == "-"), default=0.0)
         z = self.bias + float(np.log(s + FLOOR))
         return 1 / (1 + float(np.exp(-min(max(z, -60), 60))))
 
