@@ -33,8 +33,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
-_ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}")
-_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]+:[^\s/@]+(?=@)")
+_ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}+")
+#: Neither part holds a slash, so a scan ends before the next scheme; no part is ever given back.
+_USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++:[^\s/@]++(?=@)")
 _DIGITS = re.compile(r"[0-9]")
 _AUTOMATON: list = []
 
@@ -94,12 +95,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 10 <= len(_DIGITS.findall(m[0])) <= 15:
                     found.append(("phone", at, m.end()))
         elif tag == "url_user":
-            m = _USER.match(text, after, after + 512)
+            m = _USER.match(text, after)
             if m:
                 found.append(("url_user", after, m.end()))
         elif at >= done[tag] and not (at and text[at - 1].isalnum()):
             start = _CUE_GAP.match(text, after).end()
-            m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[tag].match(text, start, start + 128)
+            m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[tag].match(text, start)
             if m and start > after and (tag != "iban" or _iban_ok(m[0])):
                 found.append((tag, start, m.end()))
                 done[tag] = m.end()
