@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.storage import materialize
+from litsieve.storage import drop, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = materialize(e, "cc")
     before = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_large_star(e)), "cc")
+        last, e = e, materialize(_small_star(_large_star(e)), "cc")
+        drop(last)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first()
         if state == before or state[0] == 0:
             break
