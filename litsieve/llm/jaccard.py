@@ -12,14 +12,16 @@ linked documents share a signature: pigeonholes instead of prefixes, so a passag
 few of them together (at 0.9 hardly any; at 0.8 groups are smaller). Each signature's documents are linked as a star
 to the smallest of them, which makes no pairs within a group.
 
-*Bounding and verifying.* Documents of a star meet in tiles of bounded size. A tile hashes shingles into
-``DIMENSIONS`` groups, takes the group counts as a point, and holds one side's points in an R-tree. The
-summed coordinate minima of a point and a node's upper corner bound the overlap; pairs that survive are
-verified on their sets. First each document meets its star's centre. Only where that fails, the failing
-documents meet the whole star, tile by tile, and pairs that are already connected are passed over.
-
-Exact copies are one node throughout: nodes are 64-bit hashes of the whole set (at ten thousand million
-distinct sets one false union is expected in about three runs; shingles are 64-bit hashes likewise).
+*Bounding and verifying.* A document's shingles are hashed into groups, and the group counts are its point; the
+summed coordinate minima of a point and of an R-tree node's upper corner bound the overlap. Points have 32 coordinates
+and more for larger sets (``dims``), so sets that are no more alike than two templated texts stay apart. First each
+document's point meets its star's centre; pairs that may link are verified on their sets. The documents that fail
+there meet the whole star, points only, in tiles of bounded size, passing over what is already connected. Texts
+are copied only to tiles where a point's bound leaves a pair to verify.
+
+Exact copies are one node throughout. A node is a 64-bit hash of the whole set; a second, independent hash of the set
+is compared over all documents of a node, and nodes that turn out to hold two sets are renamed (``clashes``, ``told_apart``), so only
+sets with 128 equal bits could be taken for one. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,12 +37,16 @@ from pyspark.sql import functions as F
 
 from litsieve.llm.common import BROADCAST_BYTES, batches, doc_groups, semi_join_checked, texts, tidy, tune
 from litsieve.operators.graph import connected_components
-from litsieve.storage import bounded, materialize
+from litsieve.storage import bounded, drop, let_go, materialize, scratch
 
 DIMENSIONS, LEAF = 32, 16
 #: Operator 6's own query: words in a shingle; link when PER_100 / 100 * union <= intersection.
 SHINGLE, PER_100 = 3, 90
 TILE_ROWS, TILE_BYTES = 256, 8 << 20
+#: A tile of points.
+POINT_ROWS, POINT_BYTES = 2048, 8 << 20
+#: Signatures are dealt out in so many rounds, each over its share of their values; a round's shuffle goes before the next.
+SLICES = 4
 #: Rows of a table of stars (a few numbers each) that are broadcast; larger ones are shuffled.
 STARS = 500_000
 _P = 0x9E3779B97F4A7C15 | 1
@@ -165,38 +171,64 @@ def _signed(u: np.ndarray, c: int, end: int, per_100: int) -> np.ndarray:
     return mix(total[keep] * _U(0x9FB21C651E98DF25) + keep.astype(_U) * _U(0xA24BAED4963EE407) + _U(c)).view(np.int64)
 
 
-def node_of(u: np.ndarray) -> int | None:
+def _digest(u: np.ndarray, key: int) -> int | None:
     """The set as one number; none for the empty set."""
     if not len(u):
         return None
-    return int(mix(mix(u ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U)[None] + _U(len(u)))[0].view(np.int64))
+    return int(mix(mix(u ^ _U(key)).sum(dtype=_U)[None] + _U(len(u)))[0].view(np.int64))
+
+
+def node_of(u: np.ndarray) -> int | None:
+    return _digest(u, 0x5851F42D4C957F2D)
+
+
+def check_of(u: np.ndarray) -> int | None:
+    return _digest(u, 0x14057B7EF767814F)
 
 
 def sets(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame:
-    """``doc_id, n_shingles, node, signatures``; copies within a task sign once."""
+    """``doc_id, n_shingles, node, chk, s0 .. s<SLICES - 1>``: signatures by slice; copies within a task sign once."""
     tune(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+    names = [f"s{k}" for k in range(SLICES)]
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_shingles", "node", "chk")), *((c, pa.list_(pa.int64())) for c in names)])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
 
         for b in parts:
-            ids, sizes, nodes, signed = [], [], [], []
+            rows: list[tuple] = []
+            signed: list[list[np.ndarray]] = [[] for _ in names]
             for doc_ids, some in doc_groups([b], 64):
                 for doc_id, u in zip(doc_ids, shingle_sets(some, shingle), strict=True):
                     node = node_of(u)
                     fresh = node is not None and doc_id is not None and node not in seen
                     if fresh and len(seen) < 1_000_000:
                         seen.add(node)
-                    ids.append(doc_id)
-                    sizes.append(len(u))
-                    nodes.append(node)
-                    signed.append(signatures(u, per_100) if fresh else _NONE)
-            ends = np.cumsum([0, *map(len, signed)])
-            flat = pa.array(np.concatenate([_NONE, *signed]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=schema)
+                    rows.append((doc_id, len(u), node, check_of(u)))
+                    sig = signatures(u, per_100) if fresh else _NONE
+                    of = sig.view(_U) % _U(SLICES)
+                    for k, held in enumerate(signed):
+                        held.append(sig[of == _U(k)])
+            if rows:
+                flat = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate([_NONE, *held]))) for held in signed]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), *flat], schema=schema)
+
+    kinds = ", ".join([*(f"{c} long" for c in ("doc_id", "n_shingles", "node", "chk")), *(f"{c} array<long>" for c in names)])
+    return texts(docs).mapInArrow(tidy(run), kinds)
+
 
-    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, signatures array<long>")
+def clashes(signed: DataFrame) -> DataFrame | None:
+    """``node`` of documents that share a node but not the second hash; none, as good as always, if there are no such."""
+    found = signed.where("node is not null").groupBy("node").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).where("x <> y").select("node", F.lit(True).alias("clash"))
+    found = materialize(found, "clashes")
+    return None if found.isEmpty() else found
+
+
+def told_apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """The rows with clashing nodes renamed by both hashes."""
+    if clash is None:
+        return rows
+    return rows.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "chk")).otherwise(F.col("node"))).drop("clash")
 
 
 class CountTree:
@@ -239,8 +271,33 @@ class CountTree:
         return (100 + self.per_100) * np.minimum(top, point).sum(axis=1) >= self.per_100 * (size + own)
 
 
-def count_vector(u: np.ndarray) -> np.ndarray:
-    return np.bincount((u % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+def count_vector(u: np.ndarray, d: int = DIMENSIONS) -> np.ndarray:
+    return np.bincount((u % _U(d)).astype(np.int64), minlength=d)
+
+
+def dims(n: int) -> int:
+    """Coordinates of the point of a set of n: about four shingles to each, a power of two, so larger points fold."""
+    return max(DIMENSIONS, 1 << max(n - 1, 0).bit_length() >> 2)
+
+
+def packed(u: np.ndarray) -> bytes:
+    """The point of a set in one byte a coordinate, in four where a count is larger."""
+    v = count_vector(u, dims(len(u)))
+    return v.astype(np.uint8 if v.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(n: int, raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=np.uint8 if len(raw) == dims(n) else np.uint32).astype(np.int32)
+
+
+def folded(v: np.ndarray, d: int) -> np.ndarray:
+    return v if len(v) == d else v.reshape(-1, d).sum(axis=0)
+
+
+def may_link(n: int, v: np.ndarray, m: int, w: np.ndarray, per_100: int) -> bool:
+    """Whether the bound of two points leaves a link possible."""
+    d = min(len(v), len(w))
+    return (100 + per_100) * int(np.minimum(folded(v, d), folded(w, d)).sum()) >= per_100 * (n + m)
 
 
 def linked(a: np.ndarray, b: np.ndarray, per_100: int = PER_100) -> bool:
@@ -288,8 +345,8 @@ def _join_tiles(rows: DataFrame, keys: list[str], shingle: int, per_100: int) ->
 
 
 def _points(docs: DataFrame, wanted: DataFrame, n: int, shingle: int) -> DataFrame:
-    """``node, z, w``: the compressed text of each wanted document and its size."""
-    schema = pa.schema([("node", pa.int64()), ("z", pa.binary()), ("w", pa.int64())])
+    """``node, chk, z, w, n, v``: the compressed text of each wanted document and its length, its set's size and its point."""
+    schema = pa.schema([("node", pa.int64()), ("chk", pa.int64()), ("z", pa.binary()), ("w", pa.int64()), ("n", pa.int64()), ("v", pa.binary())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -297,56 +354,150 @@ def _points(docs: DataFrame, wanted: DataFrame, n: int, shingle: int) -> DataFra
         def rows():
             for _, some in doc_groups(parts):
                 for text, u in zip(some, shingle_sets(some, shingle), strict=True):
-                    z = zip_.compress(text.encode("utf-8", "surrogatepass"))
-                    yield node_of(u), z, len(text)
+                    if len(u):
+                        yield node_of(u), check_of(u), zip_.compress(text.encode("utf-8", "surrogatepass")), len(text), len(u), packed(u)
 
         yield from batches(rows(), schema)
 
-    return semi_join_checked(texts(docs), wanted, "doc_id", n).select("doc_id", "text").mapInArrow(tidy(run), "node long, z binary, w long").where("node is not null").dropDuplicates(["node"])
+    kinds = "node long, chk long, z binary, w long, n long, v binary"
+    return semi_join_checked(texts(docs), wanted, "doc_id", n).select("doc_id", "text").mapInArrow(tidy(run), kinds).dropDuplicates(["node", "chk"])
 
 
-def _chunks(rows: DataFrame, by: str, name: str) -> DataFrame:
+def _chunks(rows: DataFrame, by: str, name: str, weight: str = "w", most: int = 0, size: int = 0) -> DataFrame:
     """How many tiles one side of each star takes: by rows and by bytes."""
-    return rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / F.lit(TILE_ROWS)), F.ceil(F.sum("w") / F.lit(TILE_BYTES)), F.lit(1)).cast("int").alias(name))
+    return rows.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / F.lit(most or TILE_ROWS)), F.ceil(F.sum(weight) / F.lit(size or TILE_BYTES)), F.lit(1)).cast("int").alias(name))
+
 
+def _pairs_that_may(pairs: DataFrame, per_100: int) -> DataFrame:
+    """``centre, node`` of pairs whose points leave a link possible; rows: centre, node, n, v, m, u."""
+    schema = pa.schema([("centre", pa.int64()), ("node", pa.int64())])
 
-def links(docs: DataFrame, signed: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame | None:
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            rows = zip(*(c.to_pylist() for c in b.columns[2:6]), strict=True)
+            stay = pa.array([may_link(n, unpacked(n, v), m, unpacked(m, u), per_100) for n, v, m, u in rows], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays(list(b.columns[:2]), schema=schema).filter(stay)
+
+    return pairs.select("centre", "node", "n", "v", "m", "u").mapInArrow(tidy(run), "centre long, node long")
+
+
+def _forest(rows: list[tuple], per_100: int) -> dict[tuple[int, int], tuple[CountTree, np.ndarray]]:
+    """Trees of points by (coordinates compared, coordinates held); links join sets whose coordinates differ twofold at most."""
+    by: dict[int, list[int]] = {}
+    for k, row in enumerate(rows):
+        by.setdefault(len(row[2]), []).append(k)
+    out = {}
+    for d, at in by.items():
+        sizes = np.array([rows[k][1] for k in at])
+        for e in (d, d // 2) if d > DIMENSIONS else (d,):
+            out[e, d] = CountTree(np.array([folded(rows[k][2], e) for k in at]), sizes, per_100), np.array(at)
+    return out
+
+
+def near_tiles(left: list[tuple], right: list[tuple], per_100: int) -> tuple[np.ndarray, np.ndarray]:
+    """What must be verified: (row of left, text tile of right) and (row of right, text tile of left).
+
+    Rows are (component, set size, point, text tile). Pairs of one component are passed over.
+    """
+    forest = _forest(left, per_100)
+    comp, tile = np.array([r[0] for r in left]), np.array([r[3] for r in left])
+    need_left = np.zeros((len(left), 1 + max(r[3] for r in right)), dtype=bool)
+    need_right = np.zeros((len(right), 1 + int(tile.max())), dtype=bool)
+    for k, (its, n, v, t) in enumerate(right):
+        d = len(v)
+        for e, held in ((d, d), (d, 2 * d), (d // 2, d // 2)):
+            if (found := forest.get((e, held))) is None:
+                continue
+            rows = found[1][found[0].candidates(folded(v, e), n)]
+            rows = rows[comp[rows] != its]
+            need_left[rows, t] = True
+            need_right[k, tile[rows]] = True
+    return np.argwhere(need_left), np.argwhere(need_right)
+
+
+def _near_rows(rows: DataFrame, per_100: int) -> DataFrame:
+    """``centre, i, j, side, node, component`` of the texts that each text tile needs; rows: centre, vi, vj, side, tile, node, component, n, v."""
+    schema = pa.schema([("centre", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        col = {c: table.column(k).to_pylist() for k, c in enumerate(table.column_names)}
+        sides: tuple[list, list] = ([], [])
+        names: tuple[list, list] = ([], [])
+        for side, tile, node, comp, n, v in zip(*(col[c] for c in ("side", "tile", "node", "component", "n", "v")), strict=True):
+            sides[side].append((comp, n, unpacked(n, v), tile))
+            names[side].append(node)
+        found = []
+        if sides[0] and sides[1]:
+            for side, need in enumerate(near_tiles(*sides, per_100)):
+                for k, other in need.tolist():
+                    own = sides[side][k]
+                    found.append((col["centre"][0], *((own[3], other) if side == 0 else (other, own[3])), side, names[side][k], own[0]))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else [[]] * 6, schema, strict=True)], schema=schema)
+
+    keys = ["centre", "vi", "vj"]
+    return rows.select(*keys, "side", "tile", "node", "component", "n", "v").repartition(*keys).groupBy(*keys).applyInArrow(run, "centre long, i int, j int, side int, node long, component long")
+
+
+def stars_of(signed: DataFrame) -> DataFrame:
+    """``centre, node``: each signature's nodes around the smallest of them, slice by slice of the signatures."""
+    out = None
+    for k in range(SLICES):
+        rows = signed.where(f"doc_id is not null and size(s{k}) > 0").select(F.explode(f"s{k}").alias("sig"), "node")
+        shared = materialize(rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre"), "shared")
+        let_go(signed.sparkSession)
+        part = materialize(rows.join(shared, "sig").where("node <> centre").select("centre", "node").distinct(), "stars")
+        let_go(signed.sparkSession)
+        out = part if out is None else out.unionByName(part)
+    return materialize(out.distinct(), "stars")
+
+
+def links(docs: DataFrame, signed: DataFrame, stars: DataFrame, clash: DataFrame | None, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame | None:
     """``a, b``: links between nodes that connect all that is connected; none if nothing shares a signature."""
-    rows = signed.where("doc_id is not null and size(signatures) > 0").select(F.explode("signatures").alias("sig"), "node")
-    shared = rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre")
-    stars = materialize(rows.join(shared, "sig").where("node <> centre").select("centre", "node").distinct(), "stars")
     ends = stars.select("node").union(stars.select("centre")).distinct()
-    first = signed.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = signed.where("doc_id is not null and node is not null").groupBy("node", "chk").agg(F.min("doc_id").alias("doc_id"))
     wanted = materialize(first.join(ends, "node").select("doc_id").distinct(), "wanted")
     n = wanted.count()
     if not n:
         return None
-    points = materialize(_points(docs, wanted, n, shingle), "points")
+    points = materialize(told_apart(_points(docs, wanted, n, shingle), clash), "points")
     # each document against its star's centre
-    members = stars.join(points, "node")
-    tiles = bounded(_chunks(members, "centre", "n"), "tiles", STARS)
-    right = members.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    heads = tiles.select(F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tile")).join(points, "node")
+    light = points.select("node", "n", "v")
+    pairs = stars.join(light, "node").join(light.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("v").alias("u")), "centre")
+    members = materialize(_pairs_that_may(pairs, per_100), "may")
+    let_go(docs.sparkSession)
+    members = members.join(points.select("node", "z", "w"), "node")
+    tiles = bounded(_chunks(members, "centre", "k"), "tiles", STARS)
+    right = members.join(tiles, "centre").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    heads = tiles.select(F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("tile")).join(points, "node")
     both = heads.select(F.col("node").alias("centre"), "tile", F.lit(0).alias("side"), "node", F.col("node").alias("component"), "z").unionByName(
         right.select("centre", "tile", F.lit(1).alias("side"), "node", F.col("node").alias("component"), "z")
     )
     found = materialize(_join_tiles(both, ["centre", "tile"], shingle, per_100), "links")
+    let_go(docs.sparkSession)
     missed = materialize(stars.join(found.select(F.col("a").alias("centre"), F.col("b").alias("node")), ["centre", "node"], "left_anti"), "missed")
     if missed.isEmpty():
         return found
     # what failed there against the rest of the star, unless connected by now
     near = connected_components(found, "a", "b").withColumnRenamed("component", "label")
     known = lambda df: df.join(near, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
-    lost = known(missed.join(points, "node"))
-    whole = known(stars.join(bounded(missed.select("centre").distinct(), "centres", STARS), "centre", "left_semi").join(points, "node"))
+    whole = known(stars.join(bounded(missed.select("centre").distinct(), "centres", STARS), "centre", "left_semi"))
     # a star whose documents are all in one component has nothing left to find
-    open_ = whole.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre")
-    open_ = bounded(open_, "open", STARS)
-    lost, whole = lost.join(open_, "centre", "left_semi"), whole.join(open_, "centre", "left_semi")
-    sizes = bounded(_chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre"), "sizes", STARS)
-    left = lost.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("nl")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(0).alias("side"), "node", "component", "z")
-    other = whole.join(sizes, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("nr")).cast("int").alias("j"), F.lit(1).alias("side"), "node", "component", "z")
-    return found.unionByName(materialize(_join_tiles(left.unionByName(other), ["centre", "i", "j"], shingle, per_100), "more"))
+    open_ = bounded(whole.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre"), "open", STARS)
+    size = F.length("v")
+    lost = materialize(known(missed.join(open_, "centre", "left_semi")).join(points.select("node", "n", "v", "w"), "node").withColumn("b", size), "lost")
+    whole = materialize(whole.join(open_, "centre", "left_semi").join(points.select("node", "n", "v", "w"), "node").withColumn("b", size), "whole")
+    sizes = _chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre")
+    sizes = sizes.join(_chunks(lost, "centre", "pl", "b", POINT_ROWS, POINT_BYTES), "centre").join(_chunks(whole, "centre", "pr", "b", POINT_ROWS, POINT_BYTES), "centre")
+    sizes = bounded(sizes, "sizes", STARS)
+    at = lambda salt, k: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = lost.join(sizes, "centre").select("centre", at(1, "pl").alias("vi"), every("pr").alias("vj"), F.lit(0).alias("side"), at(2, "nl").alias("tile"), "node", "component", "n", "v")
+    other = whole.join(sizes, "centre").select("centre", every("pl").alias("vi"), at(1, "pr").alias("vj"), F.lit(1).alias("side"), at(2, "nr").alias("tile"), "node", "component", "n", "v")
+    needed = materialize(_near_rows(left.unionByName(other), per_100).distinct(), "needed")
+    let_go(docs.sparkSession)
+    more = materialize(_join_tiles(needed.join(points.select("node", "z"), "node"), ["centre", "i", "j"], shingle, per_100), "more")
+    let_go(docs.sparkSession)
+    return materialize(found.unionByName(more), "links")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame:
@@ -357,16 +508,25 @@ def join(docs: DataFrame, shingle: int = SHINGLE, per_100: int = PER_100) -> Dat
     links nothing. Rows that repeat a doc_id are nodes by their texts. An empty table gives no rows. Columns
     other than doc_id and text are not read.
     """
-    signed = materialize(sets(docs, shingle, per_100), "sets")
-    nodes = signed.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    edges = links(docs, signed, shingle, per_100)
-    if edges is None:
-        least = nodes.select("node", F.col("first").alias("component_id"))
-    else:
-        near = materialize(connected_components(edges, "a", "b"), "components")
-        labelled = nodes.join(near, "node", "left").select("node", "first", F.coalesce("component", "node").alias("label"))
-        lowest = labelled.join(near.select(F.col("component").alias("label")).distinct(), "label").groupBy("label").agg(F.min("first").alias("lowest"))
-        least = labelled.join(lowest, "label", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        raw = materialize(sets(docs, shingle, per_100), "sets")
+        clash = clashes(raw)
+        told = told_apart(raw, clash)
+        stars = stars_of(told)
+        signed = keep(materialize(told.select("doc_id", "n_shingles", "node", "chk"), "nodes"))
+        drop(raw)  # its signatures are of no more use
+        edges = links(docs, signed, stars, clash, shingle, per_100)
+        nodes = signed.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+        if edges is None:
+            least = nodes.select("node", F.col("first").alias("component_id"))
+        else:
+            near = materialize(connected_components(edges, "a", "b"), "components")
+            labelled = nodes.join(near, "node", "left").select("node", "first", F.coalesce("component", "node").alias("label"))
+            lowest = labelled.join(near.select(F.col("component").alias("label")).distinct(), "label").groupBy("label").agg(F.min("first").alias("lowest"))
+            least = labelled.join(lowest, "label", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
+        least = keep(materialize(least, "least"))
+    let_go(spark)
     return signed.select("doc_id", "n_shingles", "node").join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

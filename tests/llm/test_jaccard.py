@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from litsieve.llm import jaccard
+from litsieve.storage import materialize
 
 from .corpus import LONG, ODD, documents, empty
 
@@ -113,3 +114,42 @@ def test_nothing_and_one_of_each(spark):
     assert kept.columns == documents(spark, rows).columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert 8 not in ids and 77 not in ids and ids[5] == 1 and ids[78] == 1 and ids[None] == 1
+
+
+def test_sets_of_one_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 8, 80), (4, 8, 80), (5, None, None)], "doc_id long, node long, chk long")
+    clash = jaccard.clashes(rows)
+    got = {r.doc_id: r.node for r in jaccard.told_apart(rows, clash).collect()}
+    assert got[1] != got[2] and got[3] == got[4] == 8 and got[5] is None
+    assert jaccard.clashes(rows.where("doc_id > 1")) is None
+
+
+def test_points_bound_the_overlap_at_every_size():
+    rng = random.Random(12)
+    for _ in range(400):
+        n = rng.choice([3, 60, 127, 128, 129, 250, 257, 2000])
+        s = [rng.getrandbits(64) for _ in range(n)]
+        t = s[: n - rng.randrange(n // 5 + 1)] + [rng.getrandbits(64) for _ in range(rng.randrange(n // 5 + 1))]
+        a, b = (np.unique(np.array(x, dtype=np.uint64)) for x in (s, t))
+        va, vb = (jaccard.unpacked(len(x), jaccard.packed(x)) for x in (a, b))
+        for per in (80, 90):
+            if jaccard.linked(a, b, per):
+                assert jaccard.may_link(len(a), va, len(b), vb, per)
+                need_left, need_right = jaccard.near_tiles([(1, len(a), va, 3)], [(2, len(b), vb, 5)], per)
+                assert need_left.tolist() == [[0, 5]] and need_right.tolist() == [[0, 3]]
+
+
+def test_texts_of_templated_documents_are_not_copied(spark):
+    """5000 short documents with half their words in common share signatures, but no text goes to a tile."""
+    rng = random.Random(3)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, *(f"own{rng.randrange(10**9)}" for _ in range(50))])) for k in range(5000)]
+    signed = materialize(jaccard.sets(documents(spark, rows), 5, 80), "sets")
+    stars = jaccard.stars_of(signed)
+    assert stars.count() >= 4000
+    u = [(k, jaccard.shingle_set(t, 5)) for k, t in rows[:2500]]
+    points = [(k, len(x), jaccard.count_vector(x, jaccard.dims(len(x))), k // 256) for k, x in u]
+    need_left, need_right = jaccard.near_tiles(points[:1250], points[1250:], 80)
+    assert len(need_left) + len(need_right) < len(points)
+    got = jaccard.join(documents(spark, rows), 5, 80)
+    assert got.where("doc_id = component_id").count() == len(rows)
