@@ -10,7 +10,7 @@ from litsieve.llm.tokens import tokenizer_path
 from litsieve.storage import materialize
 
 from .test_decontam_pii import brute as contaminated
-from .test_jaccard import brute as components
+from .test_stage_jaccard import components
 
 
 def test_pipeline_equals_the_stages_by_brute_force(spark, sf):
@@ -19,7 +19,7 @@ def test_pipeline_equals_the_stages_by_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rows = [(i, t) for i, t in rows if model.score(t or "") < 0.5]
     assert len(rows) > 100
-    first = {i: c for i, _, c in components(rows)}
+    first = components(rows)
     rows = [(i, t) for i, t in rows if first[i] == i]
     items = [(r.item_id, r.text) for r in bench.collect()]
     rows = [(i, t) for i, t in rows if not contaminated(t, items)[4]]
