@@ -10,11 +10,11 @@ so within the first groups that hold one more than may differ: each signs with t
 each document signs with its own class's groups and, if a link reaches that far, with those of the class below, and
 linked documents share a signature: pigeonholes instead of prefixes, so a passage that many documents share brings
 few of them together (at 0.9 hardly any; at 0.8 groups are smaller). Each signature's documents are linked as a star
-to the smallest of them, which makes no pairs within a group.
+to one of them, which makes no pairs within a group.
 
 *Bounding and verifying.* A document's shingles are hashed into groups, and the group counts are its point; the
-summed coordinate minima of a point and of an R-tree node's upper corner bound the overlap. Points have 32 coordinates
-and more for larger sets (``dims``), so sets that are no more alike than two templated texts stay apart. First each
+summed coordinate minima of a point and of an R-tree node's upper corner bound the overlap. Points have about as many coordinates
+as the set has shingles (``dims``), so sets that are no more alike than two templated texts stay apart. First each
 document's point meets its star's centre; pairs that may link are verified on their sets. The documents that fail
 there meet the whole star, points only, in tiles of bounded size, passing over what is already connected. Texts
 are copied only to tiles where a point's bound leaves a pair to verify.
@@ -276,8 +276,8 @@ def count_vector(u: np.ndarray, d: int = DIMENSIONS) -> np.ndarray:
 
 
 def dims(n: int) -> int:
-    """Coordinates of the point of a set of n: about four shingles to each, a power of two, so larger points fold."""
-    return max(DIMENSIONS, 1 << max(n - 1, 0).bit_length() >> 2)
+    """Coordinates of the point of a set of n: about one shingle to each, a power of two, so larger points fold."""
+    return max(DIMENSIONS, 1 << max(n - 1, 0).bit_length())
 
 
 def packed(u: np.ndarray) -> bytes:
@@ -439,16 +439,22 @@ def _near_rows(rows: DataFrame, per_100: int) -> DataFrame:
 
 
 def stars_of(signed: DataFrame) -> DataFrame:
-    """``centre, node``: each signature's nodes around the smallest of them, slice by slice of the signatures."""
-    out = None
+    """``centre, node``: each signature's nodes around one of them, slice by slice of the signatures.
+
+    The centre is the node that shares the most signatures, ties to the larger: the text that others are edits of comes
+    before the edits, which often link with it and not with each other.
+    """
+    sharing = None
     for k in range(SLICES):
         rows = signed.where(f"doc_id is not null and size(s{k}) > 0").select(F.explode(f"s{k}").alias("sig"), "node")
-        shared = materialize(rows.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre <> last").select("sig", "centre"), "shared")
+        sigs = materialize(rows.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig"), "shared")
         let_go(signed.sparkSession)
-        part = materialize(rows.join(shared, "sig").where("node <> centre").select("centre", "node").distinct(), "stars")
+        part = materialize(rows.join(sigs, "sig", "left_semi"), "sharing")
         let_go(signed.sparkSession)
-        out = part if out is None else out.unionByName(part)
-    return materialize(out.distinct(), "stars")
+        sharing = part if sharing is None else sharing.unionByName(part)
+    degree = sharing.groupBy("node").agg(F.count("*").alias("degree"))
+    centres = materialize(sharing.join(degree, "node").groupBy("sig").agg(F.max_by("node", F.struct("degree", "node")).alias("centre")), "centres")
+    return materialize(sharing.join(centres, "sig").where("node <> centre").select("centre", "node").distinct(), "stars")
 
 
 def links(docs: DataFrame, signed: DataFrame, stars: DataFrame, clash: DataFrame | None, shingle: int = SHINGLE, per_100: int = PER_100) -> DataFrame | None:
@@ -481,19 +487,20 @@ def links(docs: DataFrame, signed: DataFrame, stars: DataFrame, clash: DataFrame
     near = connected_components(found, "a", "b").withColumnRenamed("component", "label")
     known = lambda df: df.join(near, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
     whole = known(stars.join(bounded(missed.select("centre").distinct(), "centres", STARS), "centre", "left_semi"))
-    # a star whose documents are all in one component has nothing left to find
-    open_ = bounded(whole.groupBy("centre").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("centre"), "open", STARS)
-    size = F.length("v")
-    lost = materialize(known(missed.join(open_, "centre", "left_semi")).join(points.select("node", "n", "v", "w"), "node").withColumn("b", size), "lost")
-    whole = materialize(whole.join(open_, "centre", "left_semi").join(points.select("node", "n", "v", "w"), "node").withColumn("b", size), "whole")
+    # two documents that are not connected are not both in the star's largest component; a star of one component is done
+    most = whole.groupBy("centre", "component").count().groupBy("centre").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("centre", "main")
+    whole = whole.join(bounded(most, "open", STARS), "centre").join(points.select("node", "n", "v", "w"), "node").withColumn("b", F.length("v"))
+    whole = materialize(whole, "whole")
+    lost = whole.where("component <> main")
     sizes = _chunks(lost, "centre", "nl").join(_chunks(whole, "centre", "nr"), "centre")
     sizes = sizes.join(_chunks(lost, "centre", "pl", "b", POINT_ROWS, POINT_BYTES), "centre").join(_chunks(whole, "centre", "pr", "b", POINT_ROWS, POINT_BYTES), "centre")
     sizes = bounded(sizes, "sizes", STARS)
-    at = lambda salt, k: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    left = lost.join(sizes, "centre").select("centre", at(1, "pl").alias("vi"), every("pr").alias("vj"), F.lit(0).alias("side"), at(2, "nl").alias("tile"), "node", "component", "n", "v")
-    other = whole.join(sizes, "centre").select("centre", every("pl").alias("vi"), at(1, "pr").alias("vj"), F.lit(1).alias("side"), at(2, "nr").alias("tile"), "node", "component", "n", "v")
-    needed = materialize(_near_rows(left.unionByName(other), per_100).distinct(), "needed")
+    at = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int").alias("tile")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.least(F.col(f"p{k}"), F.col(f"n{k}")) - 1))
+    own = lambda k: F.pmod("tile", F.least(F.col(f"p{k}"), F.col(f"n{k}")))  # noqa: E731  # a text tile is in one tile of points
+    left = lost.join(sizes, "centre").select("*", at("nl")).select("centre", own("l").alias("vi"), every("r").alias("vj"), F.lit(0).alias("side"), "tile", "node", "component", "n", "v")
+    other = whole.join(sizes, "centre").select("*", at("nr")).select("centre", every("l").alias("vi"), own("r").alias("vj"), F.lit(1).alias("side"), "tile", "node", "component", "n", "v")
+    needed = materialize(_near_rows(left.unionByName(other), per_100), "needed")
     let_go(docs.sparkSession)
     more = materialize(_join_tiles(needed.join(points.select("node", "z"), "node"), ["centre", "i", "j"], shingle, per_100), "more")
     let_go(docs.sparkSession)
