@@ -12,8 +12,12 @@ smooth maximum of them. So one toxic word marks a text of any length, and unseen
 known stems count. In a run of more than ``LONG`` letters (script without spaces, glued words) a word can
 start at every letter, so each letter starts a piece; of a document's pieces the highest counts in its score. Labels, language, source and doc_id are no inputs of a score.
 
-The fit sees a bounded sample: ``MAX_POSITIVE`` toxic and ``MAX_UNLABELLED`` other training rows, those
-with the smallest hash of their id. Scoring covers every row and the whole of its text.
+The fit sees a bounded sample of the labelled training rows: at most ``MAX_POSITIVE`` toxic ones as P and ``MAX_UNLABELLED`` of
+all of them, whatever their label, as U, those with the smallest hash of their id. Scoring covers every row and the whole of
+its text.
+
+Steps, rate and decay are chosen by ``choose`` on an inner split of the training rows (remainder 1 judges what remainders 2 to 4
+teach); the held-out rows (remainder 0) have no part in it.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.llm.common import batches, doc_rows, texts, tidy, tune
 
-MAX_POSITIVE, MAX_UNLABELLED = 1500, 5000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
+#: The fit's settings, as ``choose`` found them.
+STEPS, RATE, DECAY = 40, 0.1, 1e-4
 DIMENSIONS, FOLDS = 1 << 18, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,82 +61,123 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams]
 
 
+class _Weights(dict):
+    """``exp`` of a word's logit, computed when it is first asked for."""
+
+    def __init__(self, theta: np.ndarray):
+        super().__init__()
+        self.theta = theta
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > 250_000:
+            self.clear()
+        v = self[w] = float(np.exp(min(30.0, float(self.theta[features(w)].sum()) - OFFSET)))
+        return v
+
+
 class Model:
     """Word logits are sums of ``theta`` over a word's features, less ``OFFSET``; documents pool them."""
 
     def __init__(self, theta: np.ndarray, bias: float):
         self.theta, self.bias = theta, bias
-        self._cache: dict[str, float] = {}
-
-    def word(self, w: str) -> float:
-        v = self._cache.get(w)
-        if v is None:
-            if len(self._cache) > 250_000:
-                self._cache.clear()
-            v = self._cache[w] = float(np.exp(min(30.0, float(self.theta[features(w)].sum()) - OFFSET)))
-        return v
+        self._weights = _Weights(theta)
 
     def score(self, text: str) -> float:
-        own = words(text)
-        s = sum(self.word(w) for w in own if w[-1] != "-") + max((self.word(w) for w in own if w[-1] == "-"), default=0.0)
+        return self.of_words(words(text), len(text) > LONG)
+
+    def of_words(self, own: set[str], may_be_cut: bool = True) -> float:
+        weigh = self._weights.__getitem__
+        if may_be_cut and (cut := [w for w in own if w[-1] == "-"]):
+            s = sum(map(weigh, own.difference(cut))) + max(map(weigh, cut))
+        else:
+            s = sum(map(weigh, own))
         z = self.bias + float(np.log(s + FLOOR))
         return 1 / (1 + float(np.exp(-min(max(z, -60), 60))))
 
     def __getstate__(self):
-        return {"theta": self.theta, "bias": self.bias, "_cache": {}}
+        return {"theta": self.theta, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.__init__(state["theta"], state["bias"])
 
 
 #: A word's logit starts this far below zero; the pool of an empty text is the floor.
 OFFSET, FLOOR = 8.0, float(np.exp(-6.0))
 
 
-def fit(documents: list[tuple[bool, str]], prior: float, steps: int = 80, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of document logits, and the step's direction for each.
+
+    With the logistic loss ``l(+) = log(1 + e^-z)``, ``l(-) = log(1 + e^z)``. Where ``E_U[l(-)] - prior * E_P[l(-)]`` is below
+    zero the direction is the gradient of its negative, alone; else that of the risk.
+    """
+    up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # the derivative of l(-)
+    neg = np.logaddexp(0, z)
+    n_p, n_u = is_p.sum(), (~is_p).sum()
+    first = prior * np.logaddexp(0, -z[is_p]).mean()
+    rest = neg[~is_p].mean() - prior * neg[is_p].mean()
+    g = np.zeros(len(z))
+    if rest >= 0:
+        g[is_p] = prior * (up[is_p] - 1) / n_p - prior * up[is_p] / n_p
+        g[~is_p] = up[~is_p] / n_u
+    else:
+        g[is_p] = prior * up[is_p] / n_p
+        g[~is_p] = -up[~is_p] / n_u
+    return float(first + max(0.0, rest)), g
+
+
+class Bags:
+    """Documents as bags of distinct words with hashed features, in flat arrays."""
+
+    def __init__(self, documents: list[tuple[bool, str]]):
+        vocab: dict[str, int] = {}
+        held, f_held, sizes, f_sizes = array("i"), array("i"), [], []  # flat, as lists would take ten times the memory
+        for _, said in documents:
+            own = said.split()
+            sizes.append(len(own))
+            held.extend(vocab.setdefault(w, len(vocab)) for w in own)
+        for w in vocab:
+            own = features(w)
+            f_sizes.append(len(own))
+            f_held.extend(own)
+        self.n, self.n_words = len(documents), len(vocab)
+        self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.frombuffer(f_held, dtype=np.int32)
+        self.doc_of = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.f_sizes = np.array(f_sizes, dtype=np.int64)
+        self.f_starts = np.cumsum(self.f_sizes) - self.f_sizes
+
+    def logits(self, theta: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document logits, their pools, and the words' weights."""
+        e = np.exp(np.minimum(np.add.reduceat(theta[self.f_flat], self.f_starts) - OFFSET, 30))
+        pooled = np.bincount(self.doc_of, e[self.flat], self.n) + FLOOR
+        return bias + np.log(pooled), pooled, e
+
+    def gradient(self, g: np.ndarray, pooled: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """The gradient by ``theta`` of what has gradient ``g`` by document logits (words at the cap of 30 count as below it)."""
+        gw = np.bincount(self.flat, (g / pooled)[self.doc_of], self.n_words) * e
+        grad = np.zeros(DIMENSIONS)
+        for i in range(0, self.n_words, 50_000):  # what is as long as all features is made in pieces
+            j = min(i + 50_000, self.n_words)
+            own = self.f_flat[self.f_starts[i] : self.f_starts[j - 1] + self.f_sizes[j - 1]]
+            grad += np.bincount(own, np.repeat(gw[i:j], self.f_sizes[i:j]), DIMENSIONS)
+        return grad
+
+
+def fit(documents: list[tuple[bool, str]], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
     """nnPU by full-batch Adam; ``documents``: (is positive, distinct words joined by spaces)."""
     theta, bias = np.zeros(DIMENSIONS, dtype=np.float32), 0.0
     is_p = np.array([p for p, _ in documents], dtype=bool)
     if not is_p.any() or is_p.all() or not 0 < prior < 1:
         return Model(theta, -40.0 if not is_p.any() or prior <= 0 else 0.0)
-    vocab: dict[str, int] = {}
-    held, f_held, sizes, f_sizes = array("i"), array("i"), [], []  # flat, as lists would take ten times the memory
-    for _, said in documents:
-        own = said.split()
-        sizes.append(len(own))
-        held.extend(vocab.setdefault(w, len(vocab)) for w in own)
-    for w in vocab:
-        own = features(w)
-        f_sizes.append(len(own))
-        f_held.extend(own)
-    n_words = len(vocab)
-    vocab.clear()
-    flat, f_flat = np.frombuffer(held, dtype=np.int32), np.frombuffer(f_held, dtype=np.int32)
-    if not len(flat):
+    bags = Bags(documents)
+    if not len(bags.flat):
         return Model(theta, 0.0)
-    doc_of = np.repeat(np.arange(len(documents), dtype=np.int32), sizes)
-    f_sizes = np.array(f_sizes)
-    f_starts = np.cumsum(f_sizes) - f_sizes
-    blocks = [(i, min(i + 50_000, n_words)) for i in range(0, n_words, 50_000)]  # what is as long as all features is made in pieces
-    n_p, n_u = is_p.sum(), (~is_p).sum()
     m, v = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     mb = vb = 0.0
     for t in range(1, steps + 1):
-        e = np.exp(np.minimum(np.add.reduceat(theta[f_flat], f_starts) - OFFSET, 30))
-        pooled = np.bincount(doc_of, e[flat], len(documents)) + FLOOR
-        z = bias + np.log(pooled)
-        up = 1 / (1 + np.exp(-np.clip(z, -60, 60)))  # d softplus(z) = l(-)'
-        loss_neg = np.logaddexp(0, z)
-        rest = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
-        g = np.zeros(len(documents))
-        if rest >= 0:
-            g[is_p] = prior * (up[is_p] - 1) / n_p - prior * up[is_p] / n_p
-            g[~is_p] = up[~is_p] / n_u
-        else:
-            g[is_p] = prior * up[is_p] / n_p
-            g[~is_p] = -up[~is_p] / n_u
-        gw = np.bincount(flat, (g / pooled)[doc_of], n_words) * e
-        grad = decay * theta.astype(np.float64)
-        for i, j in blocks:
-            own = f_flat[f_starts[i] : f_starts[j - 1] + f_sizes[j - 1]]
-            grad += np.bincount(own, np.repeat(gw[i:j], f_sizes[i:j]), DIMENSIONS)
+        z, pooled, e = bags.logits(theta, bias)
+        _, g = risk(z, is_p, prior)
+        grad = decay * theta.astype(np.float64) + bags.gradient(g, pooled, e)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         gb = g.sum()
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -139,34 +186,59 @@ def fit(documents: list[tuple[bool, str]], prior: float, steps: int = 80, rate:
     return Model(theta, float(bias))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[list[tuple[bool, str]], float]:
-    """The bounded training sample as sets of words, and the class prior.
+def remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
+
 
-    Ids are chosen first, from the id columns alone; the chosen ones (at most the two bounds) are broadcast
-    and only their texts are read out.
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, use: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[list[tuple[bool, str]], float]:
+    """The bounded training sample as sets of words, and the class prior; ``use``: remainders learnt from.
+
+    Ids are chosen first, from the labels alone; the chosen ones (at most the two bounds) are broadcast and only their
+    texts are read out, one for each id (of several texts the one whose words sort first).
     """
-    learn = lambda df: df.select(F.col("doc_id").cast("long"), *[c for c in ("toxic",) if c in df.columns]).where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0))
-    known = learn(labels).where("toxic is not null")
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
+    if not set(use) <= set(range(1, FOLDS)):
+        raise ValueError("held-out rows are not to be learnt from")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & remainder().isin(*use))
+    known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
         return [], 0.0
-    few = lambda df, salt, k: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(k)
-    marked = few(known.where("toxic = 1"), 1, max_positive).withColumn("p", F.lit(True)).union(few(learn(docs.select("doc_id")), 2, max_unlabelled).withColumn("p", F.lit(False)))
+    few = lambda df, salt, k: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(k)
+    marked = few(known.where("toxic = 1"), 1, max_positive).withColumn("p", F.lit(True)).union(few(known, 2, max_unlabelled).withColumn("p", F.lit(False)))
     ids = [(r[0], r[1]) for r in marked.collect()]  # at most max_positive + max_unlabelled
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, p boolean")
-    schema = pa.schema([("p", pa.bool_()), ("words", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("p", pa.bool_()), ("words", pa.string())])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in parts:
                 for at in range(0, b.num_rows, 64):
-                    for text, p in zip(b.column(1).slice(at, 64).to_pylist(), b.column(2).slice(at, 64).to_pylist(), strict=True):
-                        yield p, " ".join(sorted(words(text or "")))
+                    for doc_id, text, p in zip(*(c.slice(at, 64).to_pylist() for c in b.columns), strict=True):
+                        yield doc_id, p, " ".join(sorted(words(text or "")))
 
         yield from batches(rows(), schema)
 
-    got = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "p").mapInArrow(tidy(run), "p boolean, words string").collect()
-    return sorted((r[0], r[1]) for r in got), toxic / n
+    said = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "p").mapInArrow(tidy(run), "doc_id long, p boolean, words string")
+    got = said.groupBy("doc_id", "p").agg(F.min("words").alias("words")).collect()
+    return sorted((r.p, r.words) for r in got), toxic / n
+
+
+def choose(docs: DataFrame, labels: DataFrame, grid: list[tuple[int, float, float]], max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> list[tuple[float, tuple[int, float, float]]]:
+    """Balanced accuracy of each ``(steps, rate, decay)`` on the inner split, best first; ties to the earlier one.
+
+    Models learn from remainders 2 to 4 and are judged on the labelled rows of remainder 1, at most the two bounds of them.
+    """
+    taught, prior = training_rows(docs, labels, max_positive, max_unlabelled, (2, 3, 4))
+    judged, _ = training_rows(docs, labels, max_positive, max_unlabelled, (1,))
+    toxic = [w for p, w in judged if p]
+    clean = sorted({w for p, w in judged if not p} - set(toxic))
+    out = []
+    for setting in grid:
+        model = fit(taught, prior, *setting)
+        caught = np.mean([model.of_words(set(w.split())) >= 0.5 for w in toxic]) if toxic else 0.0
+        left = np.mean([model.of_words(set(w.split())) < 0.5 for w in clean]) if clean else 0.0
+        out.append((float(caught + left) / 2, setting))
+    return sorted(out, key=lambda x: -x[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
