@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -40,7 +41,7 @@ def tables(spark):
     return rows, [x for x in items if x[1]], bench
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 700])
+@pytest.mark.parametrize("chunk", [1 << 20, 1500])
 def test_hits_equal_brute_force(spark, tables, chunk):
     rows, items, bench = tables
     got = [tuple(r) for r in decontam.scan(documents(spark, rows), bench, chunk_bytes=chunk).collect()]
@@ -62,6 +63,19 @@ def test_clean_leaves_no_window(spark, tables, mode):
         assert all(r.text is None or r.n_chars == len(r.text) for r in kept)
 
 
+def test_windows_take_few_bytes():
+    """Items of 4 MB in short, mostly distinct words: the arrays stay within what the size check counts."""
+    rng = random.Random(2)
+    items = [(str(k), " ".join(f"{rng.randrange(10**5):x}" for _ in range(200))) for k in range(4000)]
+    text = sum(len(t) + len(i) + 64 for i, t in items)
+    built = decontam.Windows(items)
+    assert built.nbytes() <= text + decontam.WORD_BYTES * 200 * len(items)
+    assert len(pickle.dumps(built)) < 1.1 * built.nbytes() + 100 * len(items)
+    own = [f"x {items[7][1]} y".encode(), b"", items[9][1].encode()]
+    (a, found), (b, none), (c, also) = decontam.judge(own, [built])
+    assert (a.sum(), found, len(b), none, c.all(), also) == (200, {"7"}, 0, set(), True, {"9"})
+
+
 def test_decontam_of_nothing(spark, tables):
     _, _, bench = tables
     assert decontam.scan(empty(spark), bench).count() == 0
