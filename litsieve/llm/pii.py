@@ -1,12 +1,13 @@
 """Operator 10: personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, URL schemes, and identifier
-cues such as "iban". From each anchor a deterministic local parser grows the span to its boundaries and
-validates it. Runs of digits, the anchors of addresses and account numbers, are found by one linear scan.
+An Aho-Corasick automaton finds anchors in one pass: at-signs, plus signs, URL schemes, identifier cues such as "iban",
+a dot between two digits (addresses), and two digits with at most a space or a hyphen between them (account numbers).
+From each anchor a deterministic local parser grows the span to its boundaries and validates it.
 The four base kinds (email, ip, card, phone) equal the leftmost non-overlapping matches of their
 patterns; parsers look at each character a bounded number of times, also in one very long run.
 The method's own kinds follow them: ``url_user`` (user:password in a URL), ``iban`` (mod-97
-checked), ``ssn`` and ``account`` (digits after a cue). They add spans and never replace base ones.
+checked), ``ssn`` and ``account`` (digits after a cue), ``secret`` (a key of 16 or more characters with letters and digits after
+a cue such as "token ="). They add spans and never replace base ones.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from litsieve.llm.common import batches, doc_rows, texts, tidy, tune
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url_user", "iban", "ssn", "account")
+KINDS = (*BASE, "url_user", "iban", "ssn", "account", "secret")
 #: Identifier cues, matched in lower case with an optional separator behind.
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account"}
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api key": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret", "access key": "secret", "access_key": "secret", "bearer": "secret"}
 _CUE_GAP = re.compile(r"(?: ?(?:number|no|nr|num|id)\b\.?)? ?[:=#]? ?", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
@@ -36,14 +37,21 @@ _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}+")
 #: Neither part holds a slash, so a scan ends before the next scheme; no part is ever given back.
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++:[^\s/@]++(?=@)")
+#: What stands between a cue and its secret: a sign of assignment, or white space after "bearer" and the like.
+_SET = re.compile(r"[\"']? ?(?:[:=]|=>| is )? ?[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{16,}+")
 _DIGITS = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[A-Za-z]")
+_DECIMAL = frozenset("0123456789")
 _AUTOMATON: list = []
 
 
 def automaton():
     if not _AUTOMATON:
         a = ahocorasick.Automaton()
-        for word, tag in [("@", "email"), ("+", "phone"), ("://", "url_user"), *CUES.items()]:
+        pairs = [(x, y) for x in "0123456789" for y in "0123456789"]
+        digits = [(f"{x}{mark}{y}", tag) for x, y in pairs for mark, tag in (("", "card"), (" ", "card"), ("-", "card"), (".", "ip"))]
+        for word, tag in [("@", "email"), ("+", "phone"), ("://", "url_user"), *digits, *CUES.items()]:
             a.add_word(word, (tag, len(word)))
         a.make_automaton()
         _AUTOMATON.append(a)
@@ -75,10 +83,28 @@ def _iban_ok(s: str) -> bool:
 def find(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by start, then kind as listed; offsets count code points, the end is exclusive."""
     found: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(("email", "phone", "url_user", "account", "ssn", "iban"), 0)
+    done = dict.fromkeys(KINDS, 0)
     for end, (tag, size) in automaton().iter(_same_length_lower(text)):
         at, after = end - size + 1, end + 1
-        if tag == "email":
+        if tag == "card":
+            if at < done["card"]:
+                continue
+            m = _CARD.match(text, at)  # the first anchor of a run is at its first digit
+            done["card"] = m.end()
+            if m.end() - at >= 14 and 14 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
+                found.append(("card", at, m.end()))
+        elif tag == "ip":
+            if at < done["ip"]:
+                continue
+            start = at
+            while start > done["ip"] and text[start - 1] in _DECIMAL:
+                start -= 1
+            m = _IP.match(text, start)
+            if m:
+                done["ip"] = m.end()
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                    found.append(("ip", start, m.end()))
+        elif tag == "email":
             if at < done["email"]:
                 continue
             start = at
@@ -98,21 +124,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
             m = _USER.match(text, after)
             if m:
                 found.append(("url_user", after, m.end()))
+        elif tag == "secret":
+            if at < done["secret"] or (at and text[at - 1].isalnum()):
+                continue
+            start = _SET.match(text, after).end()
+            m = start > after and _SECRET.match(text, start)
+            if m:
+                done["secret"] = m.end()  # what a failed run ends with fails too
+                if _DIGITS.search(m[0]) and _LETTERS.search(m[0]):
+                    found.append(("secret", start, m.end()))
         elif at >= done[tag] and not (at and text[at - 1].isalnum()):
             start = _CUE_GAP.match(text, after).end()
             m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[tag].match(text, start)
             if m and start > after and (tag != "iban" or _iban_ok(m[0])):
                 found.append((tag, start, m.end()))
                 done[tag] = m.end()
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() < 14:
-            continue
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", m.start(), m.end()))
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            found.append(("ip", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -155,7 +181,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with spans replaced; other columns pass through, ``n_chars`` follows the text if there."""
+    """The documents with spans replaced; other columns pass through, ``n_chars`` follows the text if there.
+
+    Null texts stay null; rows with a null or repeated doc_id are each redacted; an empty table gives no rows.
+    """
     tune(docs.sparkSession)
     names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None

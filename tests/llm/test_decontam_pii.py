@@ -119,8 +119,24 @@ def test_added_kinds_and_redaction():
     assert "secret" not in out and "6789" not in out and "0532" not in out and "12345678" not in out
 
 
+def test_secrets_follow_their_cues():
+    key = "a1" * 12
+    for text in (f'token = "{key}"', f"API_KEY: {key}", f"Authorization: Bearer {key}", f"password={key}", f'"secret": "{key}"'):
+        (span,) = [s for s in pii.find(text) if s[0] == "secret"]
+        assert text[span[1] : span[2]] == key
+    for text in ("the token of gratitude", "a secret", "token = short1", "tokens are counted", "password: onlylettersinthisone", f"mytoken {key}"):
+        assert not [s for s in pii.find(text) if s[0] == "secret"]
+
+
+def test_digit_anchors_equal_the_patterns():
+    rng = random.Random(19)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0011 25 5..--+x") for _ in range(rng.randrange(40)))
+        assert [s for s in pii.find(text) if s[0] in pii.BASE] == regexes(text), text
+
+
 def test_long_runs_are_linear():
-    for unit in ("a", "1", "1.", "+1", "@", "a@", "1 ", "-", "+1("):
+    for unit in ("a", "1", "1.", "+1", "@", "a@", "1 ", "-", "+1(", "1.1", "token=", "token a1", "secret: ", "1-1 ", "11.11.x"):
         pii.find(unit * 200_000)
 
 
