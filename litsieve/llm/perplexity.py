@@ -4,32 +4,40 @@ An interpolated modified Kneser-Ney model (Chen and Goodman) of byte n-grams is
 a long exactly, its context is a shift and its shorter grams are masks, so every count table is a DataFrame keyed by
 longs and the model is joins of counts, dealt by gram.
 
-1. One pass over the documents counts the grams of trusted ones and lists the distinct grams of each input file.
+Trusted documents are dealt into ``FOLDS`` folds by their id. A trusted document is judged by the model of the other folds,
+every other document by the model of all, so a threshold rests on text that its model has not seen.
+
+1. One pass over the documents counts the grams of trusted ones by fold and lists the distinct grams that each block of
+   the input (a split of a file) asks of each model.
 2. Counts become continuation counts order by order, discounts come from counts of counts, and the distinct grams of the
-   corpus get their probability by joins with the sharded count tables, lowest order first.
-3. Each file's grams go back with their log-probabilities to a folder of that file's own; a second pass over the
-   documents looks them up there. No text is shuffled, no table is gathered on the driver, and what a task holds is one
-   file's distinct grams.
+   corpus get their probability by joins with the sharded count tables, lowest order first. Tables are dealt by model and gram.
+3. Each block's grams go back with their log-probabilities to files sorted by block, in at most ``FOLDERS`` folders; a second pass
+   over the documents looks them up there. No text is shuffled while the trusted ids can be broadcast (beyond that the
+   flagged documents are written once), no table is gathered on the driver, and what a task holds is one block's distinct
+   grams.
 4. A document stays if its perplexity is at most the given quantile of the trusted documents of its language (of
    all its documents, where none is trusted).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.llm.common import BROADCAST_BYTES, tidy, tune
 from litsieve.llm.files import locate
-from litsieve.storage import fresh_dir, materialize
+from litsieve.storage import fresh_dir, materialize, remove_tree, scratch
 
-ORDER, QUANTILE = 5, 0.99
+ORDER, QUANTILE, FOLDS = 5, 0.99, 2
+#: Most folders of answers.
+FOLDERS = 4096
 #: Bytes of text whose grams are sorted at once, and distinct grams a task holds before it hands them on.
 CHUNK, HELD = 2 << 20, 1_000_000
 
@@ -74,35 +82,30 @@ class _Tally:
         return out
 
 
-_SEEN = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
-#: Marks trusted counts among the rows of the first pass.
-_TRUSTED = -1
-
+_SEEN = pa.schema([("block", pa.int64()), ("model", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
-def _block(path: str) -> int:
-    raw = path.encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) << 31 | zlib.adler32(raw) >> 1
 
+def _first_pass(order: int, folds: int):
+    """Rows: doc_id, block, text, model. Models up to ``folds`` are asked; the counts of fold f have number ``folds + 1 + f``."""
 
-def _first_pass(order: int):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: dict[int, _Tally] = {}
+        tallies: dict[tuple[int, int], _Tally] = {}
 
-        def out(block: int) -> pa.RecordBatch:
-            k, n = tallies.pop(block).take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, dtype=np.int64)), pa.array(k), pa.array(n.astype(np.int64))], schema=_SEEN)
+        def out(key: tuple[int, int]) -> pa.RecordBatch:
+            k, n = tallies.pop(key).take()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), key[0], dtype=np.int64)), pa.array(np.full(len(k), key[1], dtype=np.int32)), pa.array(k), pa.array(n.astype(np.int64))], schema=_SEEN)
 
         for b in parts:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                groups: dict[int, list[bytes]] = {}
-                for path, text, good in zip(*(c.to_pylist() for c in some.columns[1:4]), strict=True):
+                groups: dict[tuple[int, int], list[bytes]] = {}
+                for block, text, model in zip(*(c.to_pylist() for c in some.columns[1:4]), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    groups.setdefault(_block(path), []).append(raw)
-                    if good:
-                        groups.setdefault(_TRUSTED, []).append(raw)
-                for block, raws in groups.items():
-                    tally = tallies.setdefault(block, _Tally())
+                    groups.setdefault((block, model), []).append(raw)
+                    if model < folds:
+                        groups.setdefault((0, folds + 1 + model), []).append(raw)
+                for key, raws in groups.items():
+                    tally = tallies.setdefault(key, _Tally())
                     held, size = [], 0
                     for raw in raws:
                         held.append(grams(raw, order))
@@ -113,18 +116,18 @@ def _first_pass(order: int):
                     if held:
                         tally.add(np.concatenate(held))
                 if sum(t.size for t in tallies.values()) > 3 * HELD:
-                    for block in list(tallies):
-                        yield out(block)
-        for block in list(tallies):
-            yield out(block)
+                    for key in list(tallies):
+                        yield out(key)
+        for key in list(tallies):
+            yield out(key)
 
     return run
 
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """D1, D2, D3+ from how many grams have counts 1 to 4 (one row); kept within 0 and the count."""
-    row = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    return discounts_of(*row)
+def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """D1, D2, D3+ of each model from how many of its grams have counts 1 to 4 (a row for each model)."""
+    rows = counts.groupBy("model").agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
+    return {r[0]: discounts_of(*r[1:]) for r in rows}
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -135,85 +138,145 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(d, 0.01), k - 0.01) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def _discount(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+def _discount(c: Column, d: dict[int, tuple[float, float, float]]) -> Column:
+    out = F.lit(None).cast("double")
+    for model, (one, two, more) in sorted(d.items()):
+        out = F.when(F.col("model") == model, F.when(c == 1, one).when(c == 2, two).otherwise(more)).otherwise(out)
+    return out
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, logp`` of the wanted grams under the model of the trusted ``gram, c``.
+    """``model, gram, logp`` of the wanted ``model, gram`` under the models of the trusted ``model, gram, c``.
 
     Each order is two joins of the wanted grams: with the order's counts by gram and with its totals by context.
     """
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         mask = (1 << 8 * k) - 1
-        tables[k] = materialize(tables[k + 1].select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c")), f"order{k}")
-    q = wanted.select("gram").withColumn("p", F.lit(1 / 256))
+        tables[k] = materialize(tables[k + 1].select("model", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("model", "gram").agg(F.count("*").alias("c")), f"order{k}")
+    q = wanted.select("model", "gram").withColumn("p", F.lit(1 / 256))
     for k in range(1, order + 1):
         t, mask = tables[k], (1 << 8 * k) - 1
         d = discounts(t)
-        per = t.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("mass"))
+        per = t.groupBy("model", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("mass"))
         q = q.withColumns({"g": F.col("gram").bitwiseAND(F.lit(mask)), "ctx": F.shiftright(F.col("gram").bitwiseAND(F.lit(mask)), 8)})
-        q = q.join(t.select(F.col("gram").alias("g"), "c"), "g", "left").join(per, "ctx", "left")
+        q = q.join(t.select("model", F.col("gram").alias("g"), "c"), ["model", "g"], "left").join(per, ["model", "ctx"], "left")
         own = F.coalesce(F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)), F.lit(0.0))
-        q = q.select("gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(own / F.col("total") + F.col("mass") / F.col("total") * F.col("p")).alias("p"))
-    return q.select("gram", F.log("p").alias("logp"))
+        q = q.select("model", "gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(own / F.col("total") + F.col("mass") / F.col("total") * F.col("p")).alias("p"))
+    return q.select("model", "gram", F.log("p").alias("logp"))
+
+
+def fold_of(doc_id: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(folds)).cast("int")
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Both passes cut files alike, also where the number of executors changes between them."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
+def _own(docs: DataFrame, *more: str) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    block = F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), block.alias("block"), F.col("text").cast("string").alias("text"), lang.alias("lang"), *more)
+
+
+def _from_files(docs: DataFrame) -> DataFrame:
+    """The rows as they lie in files; rows that come from elsewhere are written first."""
+    try:
+        return _own(docs)
+    except AnalysisException:
+        return _own(materialize(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]), "documents"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
     """``doc_id, lang, trusted, n_bytes, perplexity`` of every row; ``trusted``: doc_id of trusted documents."""
     spark = docs.sparkSession
     tune(spark)
-    ids = materialize(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("good", F.lit(True)), "trusted")
-    side = F.broadcast(ids) if ids.count() * 32 <= BROADCAST_BYTES else ids
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
-    seen = materialize(own.join(side, "doc_id", "left").select("doc_id", "path", "text", "good").mapInArrow(tidy(_first_pass(order)), "block long, gram long, n long"), "grams")
-    counts = materialize(seen.where(F.col("block") == _TRUSTED).groupBy("gram").agg(F.sum("n").alias("c")), "counts")
-    asked = seen.where(F.col("block") != _TRUSTED).select("block", "gram").distinct()
-    known = materialize(probabilities(seen.where(F.col("block") != _TRUSTED).select("gram").distinct(), counts, order), "logp")
-    uri = fresh_dir(spark, "answers")
-    asked.join(known, "gram").withColumn("part", F.pmod("gram", F.lit(4))).repartition("block", "part").sortWithinPartitions("block", "gram").select("block", "gram", "logp").write.partitionBy("block").parquet(uri)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
-
-    def score(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, logp = None, None, None
-        for b in parts:
-            rows = []
-            for doc_id, path, text, tongue in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                value = None
-                if raw:
-                    if _block(path) != at:
-                        at = _block(path)
-                        keys, logp = _answers(uri, at)
-                    value = float(np.exp(-logp[np.searchsorted(keys, grams(raw, order))].mean()))
-                rows.append((doc_id, tongue, len(raw), value))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    # the files' own order is kept, so a task changes its answers when its file changes; the flag comes after
-    scored = own.select("doc_id", "path", "text", "lang").mapInArrow(tidy(score), "doc_id long, lang string, n_bytes long, perplexity double")
-    return scored.join(side, "doc_id", "left").withColumn("trusted", F.coalesce("good", F.lit(False))).drop("good")
-
-
-def _answers(uri: str, block: int) -> tuple[np.ndarray, np.ndarray]:
-    fs, path = locate(f"{uri}/block={block}")
-    t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["gram", "logp"])
-    k, v = t.column("gram").to_numpy(), t.column("logp").to_numpy()
-    order = np.argsort(k, kind="stable")
-    return k[order], v[order]
-
-
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
+    with scratch(spark) as keep, _same_splits(spark):
+        ids = materialize(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().withColumn("good", F.lit(True)), "trusted")
+        if ids.count() * 32 <= BROADCAST_BYTES:
+            own = _from_files(docs).join(F.broadcast(ids), "doc_id", "left")
+        else:
+            flagged = materialize(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]).join(ids, "doc_id", "left"), "flagged")
+            own = _own(flagged, "good")
+        own = own.withColumn("model", F.when(F.col("good"), fold_of(F.col("doc_id"), folds)).otherwise(F.lit(folds)))
+        seen = materialize(own.select("doc_id", "block", "text", "model").mapInArrow(tidy(_first_pass(order, folds)), "block long, model int, gram long, n long"), "grams")
+        # the counts of a fold are part of the whole model and of every other fold's
+        fold = F.col("model") - (folds + 1)
+        models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != fold)
+        counts = materialize(seen.where(F.col("model") > folds).select(F.explode(models).alias("model"), "gram", "n").groupBy("model", "gram").agg(F.sum("n").alias("c")), "counts")
+        asked = seen.where(F.col("model") <= folds).select("block", "model", "gram").distinct()
+        known = materialize(probabilities(seen.where(F.col("model") <= folds).select("model", "gram").distinct(), counts, order), "logp")
+        blocks, rows = seen.where(F.col("model") <= folds).agg(F.count_distinct("block"), F.count("*")).first()
+        folders = max(1, min(FOLDERS, blocks))
+        uri = fresh_dir(spark, "answers")
+        answers = asked.join(known, ["model", "gram"]).withColumn("bucket", F.pmod("block", F.lit(folders)))
+        # several tasks for a folder of many rows
+        answers = answers.repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + rows // (folders * 2 * HELD))))
+        answers.sortWithinPartitions("bucket", "block", "model", "gram").write.partitionBy("bucket").parquet(uri)
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
+
+        def score(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, tables = None, {}
+            for b in parts:
+                out = []
+                for doc_id, block, text, tongue, model in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    raw = (text or "").encode("utf-8", "surrogatepass")
+                    value = None
+                    if raw:
+                        if block != at:
+                            tables.clear()  # before the next ones come
+                            at, tables = block, _answers(f"{uri}/bucket={block % folders}", block)
+                        keys, logp = tables[model]
+                        own = grams(raw, order)
+                        place = np.searchsorted(keys, own)
+                        if place.max() >= len(keys) or (keys[place] != own).any():
+                            raise RuntimeError("the files were split otherwise than in the first pass")
+                        value = float(np.exp(-logp[place].mean()))
+                    out.append((doc_id, tongue, model < folds, len(raw), value))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        # the files' own order is kept, so a task changes its answers when its block changes
+        scored = own.select("doc_id", "block", "text", "lang", "model").mapInArrow(tidy(score), "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double")
+        scored = keep(materialize(scored, "perplexity"))
+        remove_tree(spark, uri)
+    return scored
+
+
+def _answers(folder: str, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A block's grams and log-probabilities by model."""
+    fs, path = locate(folder)
+    t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["model", "gram", "logp"], filter=ds.field("block") == block)
+    m, k, v = (t.column(c).to_numpy() for c in ("model", "gram", "logp"))
+    out = {}
+    for model in np.unique(m).tolist():
+        own = m == model
+        order = np.argsort(k[own], kind="stable")
+        out[model] = k[own][order], v[own][order]
+    return out
+
+
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
     """``doc_id, lang, perplexity, threshold, keep`` for every row.
 
-    Thresholds are ``percentile_approx`` (bounded memory; exact up to its accuracy of 10,000) by language. A null or
-    empty text has a null perplexity and is not kept; a null language is a language of its own; rows with a null or
-    repeated doc_id are each judged. Without trusted text every byte is as likely as any other. An empty table gives
-    no rows. ``docs`` must come from files (a pipeline's stages do).
+    Thresholds are ``percentile_approx`` (bounded memory; exact up to its accuracy of 10,000) by language, of trusted
+    documents under models that did not learn from them. A null or empty text has a null perplexity and is not kept; a null
+    language is a language of its own; rows with a null or repeated doc_id are each judged. Without trusted text every byte
+    is as likely as any other. An empty table gives no rows. Other columns are not read. Rows that don't come from files are
+    written to the shared folder first.
     """
-    scored = materialize(perplexities(docs, trusted, order), "perplexity")
+    scored = perplexities(docs, trusted, order, folds)
     near = lambda c: F.percentile_approx(c, F.lit(quantile), F.lit(10_000))
     limits = scored.groupBy("lang").agg(F.coalesce(near(F.when(F.col("trusted"), F.col("perplexity"))), near(F.col("perplexity"))).alias("threshold"))
     limits = F.broadcast(limits.withColumnRenamed("lang", "__lang")) if scored.select("lang").distinct().count() <= 10_000 else limits.withColumnRenamed("lang", "__lang")

@@ -4,6 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from litsieve.llm import licenses, perplexity, toxicity
 from litsieve.storage import materialize
 
@@ -103,24 +105,55 @@ def brute_perplexities(rows, trusted, order):
     return out
 
 
-def test_perplexity_equals_brute_force(spark):
+@pytest.mark.parametrize("folds", [2, 4])
+def test_perplexity_equals_brute_force(spark, folds):
     rng = random.Random(2)
     words = ["the", "and", "été", "of", "sand", "thing", "ring"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for i in range(60)] + [(70, "zzqx##!"), (71, ""), (72, None), (73, "the")]
-    docs = materialize(documents(spark, rows), "t")
+    docs = documents(spark, rows)  # not from files
     trusted = set(range(0, 60, 2))
-    got = {r.doc_id: r for r in perplexity.judge(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), quantile=0.9).collect()}
-    for i, want in brute_perplexities(rows, trusted, perplexity.ORDER):
-        assert (got[i].perplexity is None) if want is None else got[i].perplexity == pytest.approx(want, rel=1e-9)
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    fold = {r[0]: r[1] for r in ids.select("doc_id", perplexity.fold_of(F.col("doc_id"), folds)).collect()}
+    assert len(set(fold.values())) == folds
+    got = {r.doc_id: r for r in perplexity.judge(docs, ids, quantile=0.9, folds=folds).collect()}
+    want = dict(brute_perplexities(rows, trusted, perplexity.ORDER))
+    for f in range(folds):  # a trusted document is judged by the other folds
+        other = dict(brute_perplexities(rows, {i for i in trusted if fold[i] != f}, perplexity.ORDER))
+        want |= {i: other[i] for i in trusted if fold[i] == f}
+    for i, value in want.items():
+        assert (got[i].perplexity is None) if value is None else got[i].perplexity == pytest.approx(value, rel=1e-9)
+    by_value = sorted(want[i] for i in trusted)
+    limit = by_value[math.ceil(0.9 * len(by_value)) - 1]
+    assert {round(r.threshold, 9) for r in got.values()} == {round(limit, 9)}
+    assert {i: r.keep for i, r in got.items()} == {i: v is not None and v <= limit * (1 + 1e-12) for i, v in want.items()}
     assert not got[70].keep and not got[71].keep and not got[72].keep
-    kept = [i for i in trusted if got[i].keep]
-    assert 0.85 * len(trusted) <= len(kept) <= len(trusted)
+
+
+def test_unseen_good_text_is_kept_as_trusted_text_is(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 8))) for _ in range(4000)]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randrange(30, 90))) for _ in range(300)]
+    rows = list(enumerate(good)) + [(1000 + k, "".join(rng.choice("nopqrstuvwxyz .") for _ in range(300))) for k in range(40)]
+    got = perplexity.judge(documents(spark, rows), spark.range(0, 300, 2).withColumnRenamed("id", "doc_id"), quantile=0.95).collect()
+    share = lambda own: sum(r.keep for r in own) / len(own)
+    trusted, unseen = ([r for r in got if r.doc_id < 300 and r.doc_id % 2 == k] for k in (0, 1))
+    assert abs(share(trusted) - 0.95) < 0.02 and share(unseen) > share(trusted) - 0.04
+    assert not any(r.keep for r in got if r.doc_id >= 1000)
+
+
+def test_trusted_ids_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"some words number {i % 7}") for i in range(40)] + [(None, "x y"), (3, "again")]
+    ids = spark.range(0, 40, 3).withColumnRenamed("id", "doc_id")
+    ask = lambda: sorted((str(r.doc_id), round(r.perplexity, 9), r.keep) for r in perplexity.judge(documents(spark, rows), ids).collect())
+    small = ask()
+    monkeypatch.setattr(perplexity, "BROADCAST_BYTES", 0)
+    assert ask() == small
 
 
 def test_probabilities_sum_to_one(spark):
     grams = Counter({int.from_bytes(b"abcd" + bytes([c])): c - 96 for c in range(97, 103)})
-    counts = spark.createDataFrame(list(grams.items()), "gram long, c long")
-    every = spark.createDataFrame([(int.from_bytes(b"abcd" + bytes([c])),) for c in range(256)], "gram long")
+    counts = spark.createDataFrame([(0, *x) for x in grams.items()], "model int, gram long, c long")
+    every = spark.createDataFrame([(0, int.from_bytes(b"abcd" + bytes([c]))) for c in range(256)], "model int, gram long")
     total = sum(math.exp(r.logp) for r in perplexity.probabilities(every, counts).collect())
     assert total == pytest.approx(1, rel=1e-9)
 
