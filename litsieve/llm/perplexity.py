@@ -10,7 +10,7 @@ every other document by the model of all, so a threshold rests on text that its
 1. One pass over the documents counts the grams of trusted ones by fold and lists the distinct grams that each block of
    the input (a split of a file) asks of each model.
 2. Counts become continuation counts order by order, discounts come from counts of counts, and the distinct grams of the
-   corpus get their probability by joins with the sharded count tables, lowest order first. Tables are dealt by model and gram.
+   corpus get their probability by joins with the sharded count tables, lowest order first. All models go through the same joins, in columns of their own; tables are dealt by gram.
 3. Each block's grams go back with their log-probabilities to files sorted by block, in at most ``FOLDERS`` folders; a second pass
    over the documents looks them up there. No text is shuffled while the trusted ids can be broadcast (beyond that the
    flagged documents are written once), no table is gathered on the driver, and what a task holds is one block's distinct
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from litsieve.llm.common import BROADCAST_BYTES, tidy, tune
 from litsieve.llm.files import locate
-from litsieve.storage import fresh_dir, materialize, remove_tree, scratch
+from litsieve.storage import fresh_dir, let_go, materialize, remove_tree, scratch
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 2
 #: Most folders of answers.
@@ -124,10 +124,11 @@ def _first_pass(order: int, folds: int):
     return run
 
 
-def discounts(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
-    """D1, D2, D3+ of each model from how many of its grams have counts 1 to 4 (a row for each model)."""
-    rows = counts.groupBy("model").agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
-    return {r[0]: discounts_of(*r[1:]) for r in rows}
+def discounts(counts: DataFrame) -> list[tuple[float, float, float]]:
+    """D1, D2, D3+ of each model (columns c0, c1 ..) from how many of its grams have counts 1 to 4 (one row)."""
+    names = [c for c in counts.columns if c != "gram"]
+    row = counts.agg(*[F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4)]).first()
+    return [discounts_of(*row[4 * k : 4 * k + 4]) for k in range(len(names))]
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -138,32 +139,38 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
     return tuple(min(max(d, 0.01), k - 0.01) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
-def _discount(c: Column, d: dict[int, tuple[float, float, float]]) -> Column:
-    out = F.lit(None).cast("double")
-    for model, (one, two, more) in sorted(d.items()):
-        out = F.when(F.col("model") == model, F.when(c == 1, one).when(c == 2, two).otherwise(more)).otherwise(out)
-    return out
+def _discount(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``model, gram, logp`` of the wanted ``model, gram`` under the models of the trusted ``model, gram, c``.
+    """``gram, l0, l1 ..``: log-probabilities of the wanted ``gram`` under the models whose counts are ``gram, c0, c1 ..``.
 
-    Each order is two joins of the wanted grams: with the order's counts by gram and with its totals by context.
+    Each order is two joins of the wanted grams: with the order's counts by gram and with its totals by context. All models
+    go through the same joins, in columns of their own.
     """
+    models = range(len(counts.columns) - 1)
     tables = {order: counts}
     for k in range(order - 1, 0, -1):
         mask = (1 << 8 * k) - 1
-        tables[k] = materialize(tables[k + 1].select("model", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).groupBy("model", "gram").agg(F.count("*").alias("c")), f"order{k}")
-    q = wanted.select("model", "gram").withColumn("p", F.lit(1 / 256))
+        lower = tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(*[F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in models])
+        tables[k] = materialize(lower, f"order{k}")
+        let_go(counts.sparkSession)
+    q = wanted.select("gram", *[F.lit(1 / 256).alias(f"p{m}") for m in models])
     for k in range(1, order + 1):
         t, mask = tables[k], (1 << 8 * k) - 1
         d = discounts(t)
-        per = t.groupBy("model", F.shiftright("gram", 8).alias("ctx")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("mass"))
+        per = t.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(*[x for m in models for x in (F.sum(f"c{m}").alias(f"total{m}"), F.sum(_discount(F.col(f"c{m}"), d[m])).alias(f"mass{m}"))])
         q = q.withColumns({"g": F.col("gram").bitwiseAND(F.lit(mask)), "ctx": F.shiftright(F.col("gram").bitwiseAND(F.lit(mask)), 8)})
-        q = q.join(t.select("model", F.col("gram").alias("g"), "c"), ["model", "g"], "left").join(per, ["model", "ctx"], "left")
-        own = F.coalesce(F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)), F.lit(0.0))
-        q = q.select("model", "gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(own / F.col("total") + F.col("mass") / F.col("total") * F.col("p")).alias("p"))
-    return q.select("model", "gram", F.log("p").alias("logp"))
+        q = q.join(t.withColumnRenamed("gram", "g"), "g", "left").join(per, "ctx", "left")
+
+        def p(m: int, d=d) -> Column:
+            c, total = F.coalesce(f"c{m}", F.lit(0)), F.col(f"total{m}")
+            own = F.greatest(c - _discount(c, d[m]), F.lit(0.0))
+            return F.when(F.coalesce(total, F.lit(0)) == 0, F.col(f"p{m}")).otherwise(own / total + F.col(f"mass{m}") / total * F.col(f"p{m}")).alias(f"p{m}")
+
+        q = q.select("gram", *[p(m) for m in models])
+    return q.select("gram", *[F.log(f"p{m}").alias(f"l{m}") for m in models])
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -211,23 +218,30 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds:
             own = _own(flagged, "good")
         own = own.withColumn("model", F.when(F.col("good"), fold_of(F.col("doc_id"), folds)).otherwise(F.lit(folds)))
         seen = materialize(own.select("doc_id", "block", "text", "model").mapInArrow(tidy(_first_pass(order, folds)), "block long, model int, gram long, n long"), "grams")
-        # the counts of a fold are part of the whole model and of every other fold's
-        fold = F.col("model") - (folds + 1)
-        models = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != fold)
-        counts = materialize(seen.where(F.col("model") > folds).select(F.explode(models).alias("model"), "gram", "n").groupBy("model", "gram").agg(F.sum("n").alias("c")), "counts")
-        asked = seen.where(F.col("model") <= folds).select("block", "model", "gram").distinct()
-        known = materialize(probabilities(seen.where(F.col("model") <= folds).select("model", "gram").distinct(), counts, order), "logp")
-        blocks, rows = seen.where(F.col("model") <= folds).agg(F.count_distinct("block"), F.count("*")).first()
+        let_go(spark)
+        models = range(folds + 1)
+        # a model's counts are those of all folds but its own; the last one's are all
+        own_n = lambda m: F.when((F.col("model") > folds) & (F.col("model") != folds + 1 + m), F.col("n")).otherwise(0)
+        counts = materialize(seen.where(F.col("model") > folds).groupBy("gram").agg(*[F.sum(own_n(m)).alias(f"c{m}") for m in models]), "counts")
+        let_go(spark)
+        asked = seen.where(F.col("model") <= folds)
+        known = materialize(probabilities(asked.select("gram").distinct(), counts, order), "logp")
+        let_go(spark)
+        blocks, rows = asked.agg(F.count_distinct("block"), F.count("*")).first()
         folders = max(1, min(FOLDERS, blocks))
         uri = fresh_dir(spark, "answers")
-        answers = asked.join(known, ["model", "gram"]).withColumn("bucket", F.pmod("block", F.lit(folders)))
+        # what a block asks of a model; the rest stays null
+        flag = lambda m: F.max(F.col("model") == m).alias(f"a{m}")
+        answers = asked.groupBy("block", "gram").agg(*[flag(m) for m in models]).join(known, "gram")
+        answers = answers.select(F.pmod("block", F.lit(folders)).alias("bucket"), "block", "gram", *[F.when(F.col(f"a{m}"), F.col(f"l{m}")).alias(f"l{m}") for m in models])
         # several tasks for a folder of many rows
         answers = answers.repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + rows // (folders * 2 * HELD))))
-        answers.sortWithinPartitions("bucket", "block", "model", "gram").write.partitionBy("bucket").parquet(uri)
+        answers.sortWithinPartitions("bucket", "block", "gram").write.partitionBy("bucket").parquet(uri)
+        let_go(spark)
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
 
         def score(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, tables = None, {}
+            at, keys, logp = None, None, None
             for b in parts:
                 out = []
                 for doc_id, block, text, tongue, model in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -235,14 +249,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds:
                     value = None
                     if raw:
                         if block != at:
-                            tables.clear()  # before the next ones come
-                            at, tables = block, _answers(f"{uri}/bucket={block % folders}", block)
-                        keys, logp = tables[model]
+                            keys = logp = None  # before the next ones come
+                            at = block
+                            keys, logp = _answers(f"{uri}/bucket={block % folders}", block, folds + 1)
                         own = grams(raw, order)
                         place = np.searchsorted(keys, own)
-                        if place.max() >= len(keys) or (keys[place] != own).any():
+                        if place.max() >= len(keys) or (keys[place] != own).any() or np.isnan(mean := logp[model][place].mean()):
                             raise RuntimeError("the files were split otherwise than in the first pass")
-                        value = float(np.exp(-logp[place].mean()))
+                        value = float(np.exp(-mean))
                     out.append((doc_id, tongue, model < folds, len(raw), value))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -254,17 +268,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds:
     return scored
 
 
-def _answers(folder: str, block: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A block's grams and log-probabilities by model."""
+def _answers(folder: str, block: int, models: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A block's grams in order and their log-probabilities by model."""
     fs, path = locate(folder)
-    t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["model", "gram", "logp"], filter=ds.field("block") == block)
-    m, k, v = (t.column(c).to_numpy() for c in ("model", "gram", "logp"))
-    out = {}
-    for model in np.unique(m).tolist():
-        own = m == model
-        order = np.argsort(k[own], kind="stable")
-        out[model] = k[own][order], v[own][order]
-    return out
+    names = [f"l{m}" for m in range(models)]
+    t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["gram", *names], filter=ds.field("block") == block)
+    k = t.column("gram").to_numpy()
+    order = np.argsort(k, kind="stable")
+    return k[order], [t.column(c).to_numpy()[order] for c in names]
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, folds: int = FOLDS) -> DataFrame:

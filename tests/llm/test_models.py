@@ -152,9 +152,9 @@ def test_trusted_ids_beyond_the_broadcast_bound(spark, monkeypatch):
 
 def test_probabilities_sum_to_one(spark):
     grams = Counter({int.from_bytes(b"abcd" + bytes([c])): c - 96 for c in range(97, 103)})
-    counts = spark.createDataFrame([(0, *x) for x in grams.items()], "model int, gram long, c long")
-    every = spark.createDataFrame([(0, int.from_bytes(b"abcd" + bytes([c]))) for c in range(256)], "model int, gram long")
-    total = sum(math.exp(r.logp) for r in perplexity.probabilities(every, counts).collect())
+    counts = spark.createDataFrame(list(grams.items()), "gram long, c0 long")
+    every = spark.createDataFrame([(int.from_bytes(b"abcd" + bytes([c])),) for c in range(256)], "gram long")
+    total = sum(math.exp(r.l0) for r in perplexity.probabilities(every, counts).collect())
     assert total == pytest.approx(1, rel=1e-9)
 
 
