@@ -44,13 +44,14 @@ WORDS = "list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: x <> '')"
 COUNT = f"len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda x: x <> '' AND NOT list_contains([{STOP}], x)))"
 SPACED = "list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')"
 LANG = "CASE lang WHEN 'en' THEN 'English' WHEN 'es' THEN 'Spanish' WHEN 'de' THEN 'German' ELSE 'French' END"
-#: Token sets, one row for each distinct set.
-SETS = f"sets AS (SELECT min(doc_id) AS k, s FROM (SELECT doc_id, list_sort(list_distinct({WORDS})) AS s FROM art) WHERE len(s) > 0 GROUP BY s), post AS (SELECT k, len(s) AS n, unnest(s) AS tok FROM sets)"
+#: Token sets: each document's class is the smallest id with an equal set.
+SETS = f"own AS (SELECT doc_id, list_sort(list_distinct({WORDS})) AS s FROM art), cls AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS k FROM own WHERE len(s) > 0), post AS (SELECT k, len(s) AS n, unnest(s) AS tok FROM cls WHERE doc_id = k)"
 
 
 def pairs_sql(threshold: float) -> str:
+    """Pairs of distinct sets by their smallest ids, and each further copy with its set's smallest id."""
     return f"""{ART}, {SETS}, both_ AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS c FROM post a JOIN post b ON a.tok = b.tok AND a.k < b.k GROUP BY ALL),
-      pairs AS (SELECT a, b, c / (na + nb - c)::DOUBLE AS jaccard FROM both_ WHERE c / (na + nb - c)::DOUBLE >= {threshold})"""
+      pairs AS (SELECT a, b, c / (na + nb - c)::DOUBLE AS jaccard FROM both_ WHERE c / (na + nb - c)::DOUBLE >= {threshold} UNION ALL SELECT k, doc_id, 1.0 FROM cls WHERE doc_id <> k)"""
 
 
 def _qc(spark: SparkSession, d: str) -> DataFrame:
@@ -183,16 +184,22 @@ def doc_jaccard_exact(spark, d):
 
 @registered()
 def doc_neardup_lsh(spark, d):
-    return neardup.near_duplicates(articles(spark, d), "orig_index", "abstract", 0.8)
+    return neardup.near_duplicates_lsh(articles(spark, d), "orig_index", "abstract", 0.8)
 
 
-@registered(
-    f"""WITH RECURSIVE {pairs_sql(0.8)}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-    SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x"""
-)
+COMPONENTS = "e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), r AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x), comp AS (SELECT x, min(y) AS component FROM r GROUP BY x)"
+
+
+@registered(f"WITH RECURSIVE {pairs_sql(0.8)}, {COMPONENTS} SELECT DISTINCT doc_id, coalesce(component, doc_id) AS component FROM art LEFT JOIN comp ON x = doc_id")
 def doc_neardup_components(spark, d):
-    p = neardup.jaccard_join(articles(spark, d), "orig_index", "abstract", 0.8)
-    return connected_components(p, "a", "b").withColumnRenamed("node", "doc_id")
+    a = articles(spark, d)
+    return neardup.components(a, neardup.jaccard_join(a, "orig_index", "abstract", 0.8), "orig_index").withColumnRenamed("orig_index", "doc_id")
+
+
+@registered(f"WITH RECURSIVE {pairs_sql(0.5)}, {COMPONENTS} SELECT x AS doc_id, component FROM comp")
+def doc_near_duplicates(spark, d):
+    """V5, V6 at the review's own threshold."""
+    return neardup.near_duplicates(articles(spark, d), "orig_index", "abstract", 0.5).withColumnRenamed("orig_index", "doc_id")
 
 
 @registered(
