@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,16 +24,20 @@ def partial_ratio(a: str, b: str) -> int:
         return 0 if a or b else 100
     short, long = sorted((a, b), key=len)
     n, best = len(short), 0.0
-    s = np.array([ord(c) for c in short])
+    full = (1 << n) - 1
+    places: dict[str, int] = {}
+    for i, c in enumerate(short):
+        places[c] = places.get(c, 0) | 1 << i
+    masks = [places.get(c, 0) for c in long]
     for k in range(1 - n, len(long)):
-        w = long[max(k, 0) : k + n]
+        w = masks[max(k, 0) : k + n]
         if 2 * min(n, len(w)) / (n + len(w)) <= best:
             continue
-        row = np.zeros(n + 1, dtype=np.int32)
-        for c in w:
-            hit = np.concatenate([[0], row[:-1] + (s == ord(c))])
-            row = np.maximum.accumulate(np.maximum(row, hit))
-        best = max(best, 2 * int(row[-1]) / (n + len(w)))
+        v = full  # a zero bit for each match of the common subsequence so far (Hyyro)
+        for mask in w:
+            u = v & mask
+            v = ((v + u) | (v - u)) & full
+        best = max(best, 2 * (n - v.bit_count()) / (n + len(w)))
         if best == 1.0:
             break
     return round(100 * best)

@@ -66,6 +66,28 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^<>]*>", " ")
 
 
+#: The five named references of XML.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
+
+
+def unescape_xml(c: Column) -> Column:
+    """Numeric references, then the named ones, ``&amp;`` last, so nothing is decoded twice."""
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+
+    def one(acc: Column, ref: Column) -> Column:
+        body = F.regexp_replace(ref, "[&#;]", "")
+        code = F.when(F.lower(F.substring(body, 1, 1)) == "x", F.substring(body, 2, 9)).otherwise(F.hex(body.cast("long")))
+        # a number that is no character stays
+        value = F.when(F.length(F.ltrim(code, F.lit("0"))) <= 5, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"))
+        # an ampersand waits for the end as its own reference
+        return F.replace(acc, ref, F.coalesce(F.when(value == "&", "&amp;").otherwise(value), ref))
+
+    out = F.aggregate(refs, c, one)
+    for ref, value in ENTITIES.items():
+        out = F.replace(out, F.lit(ref), F.lit(value))
+    return out
+
+
 def strip_markdown(c: Column) -> Column:
     """Six patterns in order, each replaced by its first group."""
     return reduce(lambda x, p: F.regexp_replace(x, _DOT + p, "$1"), MARKDOWN, c)
@@ -226,7 +248,7 @@ def first_or_null(c: Column) -> Column:
 
 def cluster_members(c: Column) -> Column:
     """``merged_a_b`` to its ids, a plain id to itself."""
-    return F.when(c.startswith("merged_"), F.slice(F.split(c, "_"), 2, 1000)).otherwise(F.array(c))
+    return F.when(c.startswith("merged_"), F.slice(F.split(c, "_"), F.lit(2), F.greatest(F.size(F.split(c, "_")) - 1, F.lit(1)))).otherwise(F.array(c))
 
 
 def split_list(c: Column) -> Column:

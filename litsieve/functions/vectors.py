@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,21 +61,20 @@ def mean_vector(df: DataFrame, by: str, vector: str) -> DataFrame:
     return flat.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"), F.max("n").alias("size"))
 
 
-def min_max(c: Column, over=None) -> Column:
-    """X1 over a window (all rows by default); null where all are equal."""
-    w = over if over is not None else Window.partitionBy()
-    return F.try_divide(c - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w))
+def with_range(df: DataFrame, *cols: str) -> DataFrame:
+    """``<c>_min`` and ``<c>_max`` of whole columns on every row, by one aggregate row and no global window."""
+    one = df.agg(*[f(c).alias(f"{c}_{n}") for c in cols for f, n in ((F.min, "min"), (F.max, "max"))])
+    return df.crossJoin(F.broadcast(one))
 
 
-def by_max(c: Column, over=None) -> Column:
-    """X2."""
-    return F.try_divide(c, F.max(c).over(over if over is not None else Window.partitionBy()))
+def min_max(df: DataFrame, c: str, out: str) -> DataFrame:
+    """X1 over all rows; null where all are equal."""
+    return with_range(df, c).withColumn(out, F.try_divide(F.col(c) - F.col(f"{c}_min"), F.col(f"{c}_max") - F.col(f"{c}_min"))).drop(f"{c}_min", f"{c}_max")
 
 
-def with_range(df: DataFrame, *cols: str) -> DataFrame:
-    """``<c>_min`` and ``<c>_max`` of whole columns on every row, by one aggregate row and no global window."""
-    one = df.agg(*[f(c).alias(f"{c}_{n}") for c in cols for f, n in ((F.min, "min"), (F.max, "max"))])
-    return df.crossJoin(F.broadcast(one))
+def by_max(df: DataFrame, c: str, out: str) -> DataFrame:
+    """X2 over all rows."""
+    return with_range(df, c).withColumn(out, F.try_divide(F.col(c), F.col(f"{c}_max"))).drop(f"{c}_min", f"{c}_max")
 
 
 def normalised_similarity(df: DataFrame, distance: str, out: str = "similarity") -> DataFrame:

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.vectors import cosine, dot, mean_vector, squared_distance
 from litsieve.operators.graph import connected_components, local_clustering
-from litsieve.storage import bounded
+from litsieve.schema import numbered
+from litsieve.storage import bounded, materialize
 
 SAMPLE, SOLO = 2000, 999
 
 # --- small numpy kernels ------------------------------------------------------------------------------
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's algorithm from k-means++ seeds: ``(labels, centres)``."""
+def kmeans(x: np.ndarray, k: int, seed: int = 0, rounds: int = 50, restarts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Lloyd's algorithm from k-means++ seeds: ``(labels, centres)``; of several starts the one of the least cost."""
+    if restarts > 1:
+        runs = [kmeans(x, k, seed + 1000 * r, rounds) for r in range(restarts)]
+        return min(runs, key=lambda r: float(((x - r[1][r[0]]) ** 2).sum()))
     rng = np.random.default_rng(seed)
     centres = [x[rng.integers(len(x))]]
     near = ((x - centres[0]) ** 2).sum(axis=1)
@@ -48,32 +52,66 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
 
 
-def agglomerate(x: np.ndarray, k: int, linkage: str = "ward") -> np.ndarray:
-    """Labels of k groups by Lance-Williams updates (ward, complete, average, single)."""
+def merges(x: np.ndarray, linkage: str = "ward") -> list[tuple[float, int, int]]:
+    """All merges ``(height, i, j)`` of agglomerative clustering, lowest first, by nearest-neighbour chains.
+
+    Lance-Williams updates for ward, complete, average and single linkage; quadratic in the (bounded) rows. i and j are any
+    rows of the groups that merge.
+    """
     n = len(x)
     d = _squared(x, x)
     if linkage != "ward":
         d = np.sqrt(d)
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - max(k, 1)):
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        a, b = d[i].copy(), d[j].copy()
+    size, alive = np.ones(n), np.ones(n, dtype=bool)
+    out: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(out) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            row = d[chain[-1]]
+            near = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[near]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        a, b, h = d[i].copy(), d[j].copy(), d[i, j]
         if linkage == "ward":
-            new = ((size[i] + size) * a + (size[j] + size) * b - size * d[i, j]) / (size[i] + size[j] + size)
+            new = ((size[i] + size) * a + (size[j] + size) * b - size * h) / (size[i] + size[j] + size)
         elif linkage == "complete":
             new = np.maximum(a, b)
         elif linkage == "single":
             new = np.minimum(a, b)
         else:
             new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-        new[~np.isfinite(a) | ~np.isfinite(b)] = np.inf
+        alive[j] = False
+        new[~alive] = np.inf
+        new[i] = np.inf
         d[i], d[:, i] = new, new
-        d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        out.append((float(h), i, j))
+    return sorted(out, key=lambda m: m[0])
+
+
+def cut(done: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of k groups."""
+    up = list(range(n))
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for _, i, j in done[: n - max(k, 1)]:
+        up[find(i)] = find(j)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def agglomerate(x: np.ndarray, k: int, linkage: str = "ward") -> np.ndarray:
+    """Labels of k groups (ward, complete, average, single)."""
+    return cut(merges(x, linkage), len(x), k)
 
 
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
@@ -201,6 +239,24 @@ def scan_k(x: np.ndarray, low: int, high: int, step: int = 5, metric: str = "bic
     return at
 
 
+def kmeans_table(df: DataFrame, vector: str, ks: list[int], seed: int = 0) -> DataFrame:
+    """V9, V10 over all rows: ``k, bic, silhouette, cost`` of MLlib's k-means for each k; nothing but k centres is collected."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    spark = df.sparkSession
+    x = materialize(df.where(F.col(vector).isNotNull()).select(array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features")), "vectors")
+    n = x.count()
+    rows = []
+    for k in [k for k in ks if 1 < k < n]:
+        model = KMeans(k=k, seed=seed, initMode="k-means||").fit(x)
+        sizes, cost = model.summary.clusterSizes, float(model.summary.trainingCost)
+        sil = ClusteringEvaluator().evaluate(model.transform(x)) if len([s for s in sizes if s]) > 1 else 0.0
+        rows.append((k, bic(n, len(model.clusterCenters()[0]), sizes, cost), float(sil), cost))
+    return spark.createDataFrame(rows, "k int, bic double, silhouette double, cost double")
+
+
 def repeat_scan(x: np.ndarray, low: int, high: int, times: int = 10, **kw) -> list[int]:
     """V11."""
     return [scan_k(x, low, high, seed=s, **kw) for s in range(times)]
@@ -233,8 +289,9 @@ def k_elbow_sampled(x: np.ndarray, times: int = 20) -> int:
 def k_consensus(x: np.ndarray, high: int = 10) -> int:
     """The k at which k-means, ward and complete linkage agree best (median adjusted Rand)."""
     best, at = -math.inf, 2
+    ward, complete = merges(x, "ward"), merges(x, "complete")
     for k in range(2, min(high, len(x) - 1) + 1):
-        a, b, c = kmeans(x, k)[0], agglomerate(x, k, "ward"), agglomerate(x, k, "complete")
+        a, b, c = kmeans(x, k)[0], cut(ward, len(x), k), cut(complete, len(x), k)
         v = float(np.median([adjusted_rand(a, b), adjusted_rand(a, c), adjusted_rand(b, c)]))
         if v > best:
             best, at = v, k
@@ -249,7 +306,7 @@ def choose_k(x: np.ndarray, n: int | None = None) -> int:
     elif n >= 10_000:
         k = k_elbow_sampled(x, 20)
     else:
-        three = [k_adaptive(x), k_elbow(x), k_consensus(x[:300])]
+        three = [k_adaptive(x), k_elbow(x), k_consensus(x)]
         mid = float(np.median(three))
         k = math.ceil(np.mean(three) if mid <= 3 else mid)
     return int(max(k, math.log2(max(n, 2)) * math.e))
@@ -258,46 +315,85 @@ def choose_k(x: np.ndarray, n: int | None = None) -> int:
 # --- ensemble and edit-distance graph (V16-V21) ------------------------------------------------------------
 
 
-def ensemble(df: DataFrame, key: str, vector: str, k: int, runs: int = 50, keep: float = 0.65, noise: float = 0.01) -> DataFrame:
-    """``key, labels``: for each run k-means, DBSCAN and agglomerative labels on random features with noise.
+def eps_of(x: np.ndarray, factor: float = 0.7) -> float:
+    """The first eps: a share of the median distance to the nearest other row."""
+    near = np.sort(_squared(x, x), axis=1)[:, min(1, len(x) - 1)]
+    return factor * float(np.median(np.sqrt(near)))
+
 
-    Runs are independent tasks over one bounded matrix (``SAMPLE`` rows at most are fitted; the rest of a larger
-    table takes the labels of its nearest fitted row's clusters through ``assign_nearest``).
+def schedule(g: int, runs: int, k: int, eps: float) -> tuple[float, int, str, int]:
+    """Run g's eps (a tenth more for each five runs), core size (2 to 6), linkage, and k (80 % to 120 % over the runs)."""
+    return eps * (1 + 0.1 * (g // 5)), 2 + g % 5, ("ward", "complete", "average", "single")[g % 4], max(2, int(k * (0.8 + 0.4 * g / runs)))
+
+
+def ensemble(df: DataFrame, key: str, vector: str, k: int, runs: int = 50, keep: float = 0.65, noise: float = 0.01, eps_factor: float = 0.7, restarts: int = 1) -> DataFrame:
+    """``key, labels`` of every row: for each run k-means, DBSCAN and agglomerative labels on random features with noise.
+
+    Runs are independent tasks over one bounded matrix (``SAMPLE`` rows at most, by a hash of the key, are fitted). Every
+    other row takes all labels of its nearest fitted row, found by one pass of matrix products over the table. Rows without a
+    vector are left out; repeated keys are each labelled.
     """
     spark = df.sparkSession
-    ids, x = sample_matrix(df, key, vector)
+    ids, x = sample_matrix(df.where(F.col(vector).isNotNull()), key, vector)
+    if not len(ids):
+        return df.limit(0).select(key, F.array().cast("array<int>").alias("labels"))
     shared = spark.sparkContext.broadcast(x)  # SAMPLE rows at most
-    kind = df.schema[key].dataType.simpleString()
 
     def run(parts):
         full = shared.value
         n, d = full.shape
+        first = eps_of(full, eps_factor)
         for pdf in parts:
             for g in pdf["id"]:
-                rng = np.random.default_rng(int(g))
+                g = int(g)
+                rng = np.random.default_rng(g)
                 use = np.flatnonzero(rng.random(d) < keep)
                 use = use if len(use) else np.arange(d)
                 y = full[:, use] + rng.normal(0, noise, (n, len(use)))
-                d2 = np.sort(_squared(y, y), axis=1)
-                eps = 0.7 * math.sqrt(float(np.median(d2[:, min(1, n - 1)]))) * 1.1 ** (g // 5)
-                link = ("ward", "complete", "average", "single")[g % 4]
-                kk = int(min(max(2, round(k * rng.uniform(0.8, 1.2))), n))
-                sets = (kmeans(y, min(k, n), int(g), 20)[0], dbscan(y, eps, 2 + int(g) % 5), agglomerate(y, kk, link) if n <= 400 else kmeans(y, kk, int(g) + 1, 20)[0])
+                eps, core, link, kk = schedule(g, runs, k, first)
+                found = dbscan(y, eps, core)
+                found[found < 0] = found.max() + 1  # noise is a label of its own
+                sets = (kmeans(y, min(k, n), g, 20, restarts)[0], found, agglomerate(y, min(kk, n), link))
                 yield pd.DataFrame({"row": np.tile(np.arange(n), 3), "run": np.repeat([3 * g, 3 * g + 1, 3 * g + 2], n), "label": np.concatenate(sets)})
 
-    long = spark.range(0, runs, 1, runs).mapInPandas(run, "row long, run long, label long")
-    names = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"row long, {key} {kind}")
-    wide = long.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda s: s["label"].cast("int")).alias("labels"))
-    return wide.join(F.broadcast(names), "row").drop("row")
+    long = spark.range(0, runs, 1, runs).mapInPandas(run, "row long, run long, label long").toPandas()  # SAMPLE rows times three labels a run
+    table = np.zeros((len(ids), 3 * runs), dtype=np.int32)
+    table[long["row"], long["run"]] = long["label"]
+    labels = spark.sparkContext.broadcast(table)
+    own = spark.sparkContext.broadcast({v: i for i, v in reversed(list(enumerate(ids)))})
+
+    def assign(parts):
+        full, at, mine = shared.value, labels.value, own.value
+        for pdf in parts:
+            if len(pdf):
+                near = _squared(np.array(pdf["v"].tolist(), dtype=float), full).argmin(axis=1)
+                rows = [mine.get(i, j) for i, j in zip(pdf[key], near.tolist(), strict=True)]
+                yield pd.DataFrame({key: pdf[key], "labels": [at[j].tolist() for j in rows]})
+
+    kind = df.schema[key].dataType.simpleString()
+    given = df.where(F.col(vector).isNotNull()).select(key, F.transform(vector, lambda v: v.cast("double")).alias("v"))
+    return given.mapInPandas(assign, f"{key} {kind}, labels array<int>")
 
 
 def label_string(labels: Column) -> Column:
-    """Labels as one printable character each (id mod 100), for edit distances."""
-    return F.array_join(F.transform(labels, lambda v: F.chr((F.pmod(v, F.lit(100)) + 33).cast("int"))), "")
+    """Labels as one character each, every label its own, for edit distances."""
+    return F.decode(F.unhex(F.array_join(F.transform(labels, lambda v: F.lpad(F.hex((v + 257).cast("long")), 8, "0")), "")), "UTF-32")
+
+
+def label_classes(labelled: DataFrame, key: str, labels: str = "labels") -> tuple[DataFrame, DataFrame]:
+    """``(members, classes)``: ``key, first`` of every row, and ``key, labels, size`` of each distinct label list by its first row.
+
+    Rows that take a fitted row's labels are of its class, so there are at most ``SAMPLE`` classes and pairs are made of
+    classes only.
+    """
+    rows = materialize(labelled.select(key, labels), "labels")
+    classes = materialize(rows.groupBy(labels).agg(F.min(key).alias(key), F.count("*").alias("size")).select(key, labels, "size"), "classes")
+    members = rows.join(classes.select(labels, F.col(key).alias("first")), labels).select(key, "first")
+    return members, classes
 
 
 def edit_distances(df: DataFrame, key: str, labels: str, limit: float | None = None) -> DataFrame:
-    """``a < b, dist``: normalised edit distance of label strings; Hamming would do, as positions match.
+    """``a < b, dist``: normalised edit distance of label strings; rows are classes (``label_classes``), which are bounded.
 
     Pairs stay an edge list. With ``limit`` the distance is cut off early and larger ones are left out.
     """
@@ -309,6 +405,11 @@ def edit_distances(df: DataFrame, key: str, labels: str, limit: float | None = N
     return out.where(F.col("dist") < limit) if limit is not None else out
 
 
+def class_edges(members: DataFrame, key: str) -> DataFrame:
+    """``a, b, dist``: every further row of a class with its first one, at distance 0."""
+    return members.where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("dist"))
+
+
 def distance_threshold(pairs: DataFrame, percentile: float) -> float:
     """Percentile of distances other than 0 and 1."""
     v = pairs.where("dist <> 0 and dist <> 1").agg(F.percentile("dist", F.lit(percentile / 100))).first()[0]
@@ -317,23 +418,40 @@ def distance_threshold(pairs: DataFrame, percentile: float) -> float:
 
 def graph_clusters(nodes: DataFrame, pairs: DataFrame, key: str, limit: float) -> DataFrame:
     """``key, cluster`` of components over pairs below the limit, by falling size from 0; alone is 999."""
-    comp = connected_components(pairs.where(F.col("dist") < limit), "a", "b")
-    size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    order = size.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1)
-    order = order.withColumn("cluster", F.when(F.col("cluster") >= SOLO, F.col("cluster") + 1).otherwise(F.col("cluster")))
+    comp = materialize(connected_components(pairs.where(F.col("dist") < limit), "a", "b"), "components")
+    size = comp.groupBy("component").agg((-F.count("*")).alias("less"))
+    order = numbered(size, ["less", "component"], "cluster")  # no window over all components
+    order = order.withColumn("cluster", F.when(F.col("cluster") >= SOLO, F.col("cluster") + 1).otherwise(F.col("cluster")).cast("int"))
     return nodes.select(key).join(comp.withColumnRenamed("node", key), key, "left").join(order.select("component", "cluster"), "component", "left").select(key, F.coalesce("cluster", F.lit(SOLO)).alias("cluster"))
 
 
-def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float, step: float = 0.025) -> float:
+# --- fixed values: the method's search range and score
+GRID_LOW, GRID_HIGH, GRID_STEP = 0.05, 0.95, 0.025
+LARGEST_POWER, OVERSIZE_WEIGHT, SOLO_WEIGHT = 0.6, 10, 2
+# ---
+
+
+def threshold_score(sizes: np.ndarray, solo: int, n: int) -> float | None:
+    """V19's score of a clustering; none where it has too few clusters."""
+    count = len(sizes)
+    if not count or count < math.log(max(n, 3) / 2):
+        return None
+    penalty = OVERSIZE_WEIGHT * (np.maximum(0, sizes - n**LARGEST_POWER) ** 2).sum() + ((sizes - n / math.log(n)) ** 2).mean()
+    return float(math.e * count - penalty - (SOLO_WEIGHT * solo if solo else count))
+
+
+def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float, step: float = GRID_STEP, sizes: dict | None = None) -> float:
     """The grid threshold with the best score; the first one where none is admissible.
 
-    One pass over the edges below the largest threshold in rising order, joining as Kruskal does; for the bounded
-    tables this method is meant for (``SAMPLE`` nodes).
+    The range comes from a quantile of the distances other than 0 and 1; its upper end is not part of it. One pass over the
+    edges below the largest threshold in rising order, joining as Kruskal does. Nodes are classes of rows (at most
+    ``SAMPLE``, so the edges on the driver are bounded); ``sizes`` says how many rows each stands for, one if it does not.
     """
-    r = pairs.agg(F.percentile("dist", F.lit(min(1.0, percentile / (100 * math.e))))).first()[0] or 0.0
-    low, high = max(0.05, first - r), min(0.95, first + r / 3)
-    grid = np.arange(low, high + 1e-9, step)
-    edges = pairs.where(F.col("dist") < float(high)).orderBy("dist", "a", "b").toPandas()
+    r = pairs.where("dist <> 0 and dist <> 1").agg(F.percentile("dist", F.lit(min(1.0, percentile / (100 * math.e))))).first()[0] or 0.0
+    grid = np.arange(max(GRID_LOW, first - r), min(GRID_HIGH, first + r / 3), step)
+    if not len(grid):
+        return first
+    rows = [tuple(x) for x in pairs.where(F.col("dist") < float(grid[-1])).orderBy("dist", "a", "b").collect()]
     root: dict = {}
 
     def find(v):
@@ -341,26 +459,34 @@ def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float,
             root[v] = v = root.get(up, up)
         return v
 
-    size: dict = {}
+    weight = dict(sizes or {})
+    size = {v: w for v, w in weight.items() if w > 1}
     best, at, e = -math.inf, first, 0
-    rows = edges.to_numpy()
     for t in grid:
         while e < len(rows) and rows[e][2] < t:
             a, b = find(rows[e][0]), find(rows[e][1])
             if a != b:
                 root[b] = a
-                size[a] = size.get(a, 1) + size.pop(b, 1)
+                size[a] = size.get(a, weight.get(a, 1)) + size.pop(b, weight.get(b, 1))
             e += 1
-        sizes = np.array(list(size.values()) or [0], dtype=float)
-        count, solo = len(size), n - int(sizes.sum())
-        if count < math.log(max(n, 3) / 2):
-            continue
-        v = math.e * count - (10 * (np.maximum(0, sizes - n**0.6) ** 2).sum() + ((sizes - n / math.log(n)) ** 2).mean()) - (2 * solo if solo else count)
-        if v > best:
+        own = np.array(list(size.values()), dtype=float)
+        v = threshold_score(own, n - int(own.sum()), n)
+        if v is not None and v > best:
             best, at = v, float(t)
     return at
 
 
+def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep: float = 0.65, noise: float = 0.01, step: float = GRID_STEP) -> tuple[float, DataFrame, DataFrame]:
+    """V16 to V19 in turn: the chosen threshold, the classes' distances ``a, b, dist``, and ``key, first`` of every row."""
+    members, classes = label_classes(ensemble(df, key, vector, k, runs, keep, noise), key)
+    members = materialize(members, "members")
+    pairs = materialize(edit_distances(classes, key, "labels"), "distances")
+    n = members.count()
+    pct = adaptive_percentile(n, k, runs)
+    sizes = {r[0]: r[1] for r in classes.select(key, "size").collect()}  # at most SAMPLE
+    return search_threshold(pairs, n, distance_threshold(pairs, pct), pct, step, sizes), pairs, members
+
+
 def assign_nearest(points: DataFrame, centroids: DataFrame, vector: str, by: str = "cluster") -> DataFrame:
     """Each point's nearest centroid by cosine, with its similarity; centroids are counted before they are broadcast."""
     side = bounded(centroids, "centroids")

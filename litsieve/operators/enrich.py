@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.functions.fuzzy import authors_match, title_matches
-from litsieve.functions.text import format_citation_authors, format_crossref_authors, text
+from litsieve.functions.text import format_citation_authors, format_crossref_authors, text, unescape_xml
 from litsieve.operators.quality import missing_data_flag
 from litsieve.sources.lookup import Transport, http, lookup
 from litsieve.storage import materialize
@@ -52,27 +52,39 @@ def parse_citations(c: Column) -> Column:
     return F.struct(w["title"].alias("title"), format_citation_authors(w["author"]).alias("authors"), w["year"].alias("year"), w["source_title"].alias("journal"), w["volume"].alias("volume"), w["issue"].alias("issue"), w["page"].alias("pages"), none.alias("abstract"), none.alias("doi"), none.alias("keywords"))
 
 
+def _plain(c: Column) -> Column:
+    """Text of an element: markup inside it goes, references are decoded."""
+    return F.trim(unescape_xml(F.regexp_replace(c, "<[^>]*>", " ")))
+
+
 def _tag(c: Column, tag: str) -> Column:
     v = F.regexp_extract(c, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
-    return F.when(v != "", F.trim(F.regexp_replace(v, "<[^>]*>", " ")))
+    return F.when(v != "", _plain(v))
 
 
 def _tags(c: Column, tag: str) -> Column:
-    return F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), _plain)
+
+
+def _authors(c: Column) -> Column:
+    """``last, initials`` of each author, from within its own element; a group by its collective name."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?is)<Author\b[^>]*>(.*?)</Author>"), F.lit(1))
+    blocks = F.when(F.size(blocks) > 0, blocks).otherwise(F.array(c))  # names outside any author element
+    names = F.transform(blocks, lambda a: F.concat_ws(", ", F.coalesce(_tag(a, "LastName"), _tag(a, "CollectiveName")), _tag(a, "Initials")))
+    return F.array_join(F.filter(names, lambda n: n != ""), "; ")
 
 
 def parse_pubmed(c: Column) -> Column:
     """Fields of a PubMed article."""
-    names = F.zip_with(_tags(c, "LastName"), _tags(c, "Initials"), lambda a, b: F.concat_ws(", ", a, b))
     return F.struct(
         _tag(c, "ArticleTitle").alias("title"),
-        F.array_join(names, "; ").alias("authors"),
+        _authors(c).alias("authors"),
         _tag(F.regexp_extract(c, r"(?is)<PubDate\b.*?</PubDate>", 0), "Year").alias("year"),
         _tag(F.regexp_extract(c, r"(?is)<Journal\b.*?</Journal>", 0), "Title").alias("journal"),
         _tag(c, "Volume").alias("volume"),
         _tag(c, "Issue").alias("issue"),
         _tag(c, "MedlinePgn").alias("pages"),
-        F.when(F.size(_tags(c, "AbstractText")) > 0, F.array_join(F.transform(_tags(c, "AbstractText"), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", " "))), " ")).alias("abstract"),
+        F.when(F.size(_tags(c, "AbstractText")) > 0, F.array_join(_tags(c, "AbstractText"), " ")).alias("abstract"),
         F.lit(None).cast("string").alias("doi"),
         F.array_join(_tags(c, "Keyword"), "; ").alias("keywords"),
     )
@@ -110,7 +122,8 @@ def recover_dois(articles: DataFrame, transport: Transport = http, title_min: in
     hits = answers.select("orig_index", F.posexplode(parse_crossref_list(F.col("response"))).alias("place", "w"))
     j = auto.select("orig_index", "title", "authors", "year").join(hits, "orig_index")
     year_ok = F.abs(F.expr("try_cast(year as int)") - F.expr("try_cast(w.year as int)")) <= 1
-    ok = j.where(year_ok).where(title_matches(F.col("title"), F.col("w.title"), title_min) & authors_match(F.col("authors"), F.col("w.authors"), author_min))
+    j = materialize(j.where(year_ok), "of-the-year")  # the cheap test first, whatever the optimiser would do
+    ok = j.where(title_matches(F.col("title"), F.col("w.title"), title_min) & authors_match(F.col("authors"), F.col("w.authors"), author_min))
     best = ok.withColumn("r", F.row_number().over(Window.partitionBy("orig_index").orderBy("place"))).where("r = 1").select("orig_index", F.col("w.doi").alias("__doi"))
     out = articles.join(best, "orig_index", "left")
     flag = F.when((F.col("doi_recovery_flag") == "auto") & F.col("__doi").isNull(), "manual").otherwise(F.col("doi_recovery_flag"))

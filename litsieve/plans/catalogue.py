@@ -419,24 +419,15 @@ def lsa_svd(spark, d):
 
 @registered()
 def kmeans_bic(spark, d):
-    _, x = cluster.sample_matrix(_emb(spark, d), "vec_id", "v")
-    rows = []
-    for k in range(2, 13, 2):
-        label, c = cluster.kmeans(x, k)
-        rows.append((k, cluster.bic(len(x), x.shape[1], [int((label == j).sum()) for j in range(k)], float(((x - c[label]) ** 2).sum())), cluster.silhouette(x, label)))
-    return spark.createDataFrame(rows, "k int, bic double, silhouette double")
+    return cluster.kmeans_table(_emb(spark, d), "v", list(range(2, 13, 2)))
 
 
 @registered()
 def ensemble_clusters(spark, d):
+    """Every vector's cluster; rows beyond the fitted sample take their nearest fitted row's labels."""
     e = _emb(spark, d)
-    ids, x = cluster.sample_matrix(e, "vec_id", "v", 400)
-    own = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, v array<double>")
-    labels = cluster.ensemble(own, "vec_id", "v", 10, runs=8)
-    pairs = cluster.edit_distances(labels, "vec_id", "labels").cache()
-    first = cluster.distance_threshold(pairs, cluster.adaptive_percentile(len(ids), 10, 8))
-    limit = cluster.search_threshold(pairs, len(ids), first, cluster.adaptive_percentile(len(ids), 10, 8))
-    return cluster.graph_clusters(own.select("vec_id"), pairs, "vec_id", limit)
+    limit, pairs, members = cluster.ensemble_graph(e, "vec_id", "v", 10, 8)
+    return cluster.graph_clusters(e.select("vec_id"), pairs.unionByName(cluster.class_edges(members, "vec_id")), "vec_id", limit)
 
 
 @registered()

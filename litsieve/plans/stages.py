@@ -141,15 +141,12 @@ def _space(spark: SparkSession, c: Config) -> tuple[DataFrame, lsa.Lsa]:
 def cluster_graph(spark: SparkSession, c: Config) -> None:
     """Ensemble labels, edit-distance graph, threshold search, rescue of single rows."""
     vec, _ = _space(spark, c)
-    ids, x = cluster.sample_matrix(vec, "orig_index", "vector")
-    n = len(ids)
-    k = cluster.choose_k(x, vec.count())
+    _, x = cluster.sample_matrix(vec, "orig_index", "vector")
+    n = vec.count()
+    k = cluster.choose_k(x, n)
     runs = c.num_groupings_small if n < 500 else c.num_groupings_large
-    own = vec.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "orig_index long")), "orig_index")
-    pairs = cluster.edit_distances(cluster.ensemble(own, "orig_index", "vector", k, runs, c.ensemble_keep, c.ensemble_noise), "orig_index", "labels").persist()
-    pct = cluster.adaptive_percentile(n, k, runs)
-    limit = cluster.search_threshold(pairs, n, cluster.distance_threshold(pairs, pct), pct, c.grid_step)
-    graph = cluster.graph_clusters(vec.select("orig_index"), pairs, "orig_index", limit)
+    limit, pairs, members = cluster.ensemble_graph(vec, "orig_index", "vector", k, runs, c.ensemble_keep, c.ensemble_noise, c.grid_step)
+    graph = cluster.graph_clusters(vec.select("orig_index"), pairs.unionByName(cluster.class_edges(members, "orig_index")), "orig_index", limit)
     placed = cluster.reassign_solos(vec.join(graph, "orig_index"), "vector", "orig_index")
     root = _path(c, "clusters_pickle", "data/clusters")
     placed.write.mode("overwrite" if c.overwrite else "errorifexists").parquet(f"{root}/members")

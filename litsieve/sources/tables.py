@@ -9,8 +9,11 @@ from litsieve import schema
 from litsieve.storage import remove_tree
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", columns: str | None = None) -> DataFrame:
-    """UTF-8, header, quoted line ends; the separator is explicit."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = ",", columns: str | None = None) -> DataFrame:
+    """UTF-8, header, quoted line ends. Without a separator tabs are tried first, then commas."""
+    if sep is None:
+        by_tab = read_csv(spark, path, "\t", columns)
+        return by_tab if len(by_tab.columns) > 1 else read_csv(spark, path, ",", columns)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("sep", sep)
     return (reader.schema(columns) if columns else reader).csv(path)
 
@@ -36,7 +39,7 @@ def steps(spark: SparkSession, root: str) -> list[str]:
 def save_version(active: DataFrame, log: DataFrame, root: str, suffix: str = "") -> str:
     """Write both tables as a new version; earlier versions stay as backups and nothing that is read is overwritten."""
     spark = active.sparkSession
-    n = len(steps(spark, root)) + 1
+    n = max((int(v[2:].split("-")[0]) for v in steps(spark, root)), default=0) + 1  # numbers of dropped versions below it stay unused
     path = f"{root}/v={n:05d}{'-' + suffix if suffix else ''}"
     active.write.mode("errorifexists").parquet(f"{path}/active")
     log.write.mode("errorifexists").parquet(f"{path}/log")

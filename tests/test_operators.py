@@ -1,6 +1,7 @@
 """Small cases of the operators, by survey id."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -155,8 +156,8 @@ def test_components_and_clustering(spark):
 
 def test_neardup_review(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "alpha beta gamma delta epsilon zeta eta theta iota lambda"), (3, "quite another thing here"), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (5, None)], "orig_index long, abstract string")
-    j = [tuple(r) for r in neardup.jaccard_join(df, "orig_index", "abstract", 0.8).collect()]
-    assert j == [(1, 2, pytest.approx(9 / 11))]
+    j = sorted(tuple(r) for r in neardup.jaccard_join(df, "orig_index", "abstract", 0.8).collect())
+    assert j == [(1, 2, pytest.approx(9 / 11)), (1, 4, 1.0)]  # a copy is a pair with its class's first row
     near = neardup.near_duplicates(df, "orig_index", "abstract", 0.8)
     comp = {r.orig_index: r.component for r in near.collect()}
     assert comp.get(1) == comp.get(4) == 1
@@ -334,3 +335,119 @@ def test_streams(spark, tmp_path):
 
 def test_shared_dirs_are_fresh(spark):
     assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
+
+
+def test_repeated_decisions_count_once(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "orig_index long, title string")
+    log = spark.createDataFrame([(9, "w", "r", "s", 1)], "orig_index long, title string, reason_for_removal string, removal_step string, dup_doi_cnt long")
+    twice = spark.createDataFrame([(1, "one"), (1, "two"), (None, "n")], "orig_index long, title string").coalesce(1)
+    assert sorted(tuple(r) for r in decisions.updated(a, twice, "orig_index", ["title"]).collect()) == [(1, "two"), (2, "y"), (3, "z")]
+    d = spark.createDataFrame([(2, "K", "", 1), (2, "r", "dup", 2), (9, "K", "", 1), (9, "k", "", 2), (3, "R", "h", 1), (3, "K", "", 2)], "orig_index long, update_flag string, flag_note string, at long")
+    act, new, done = decisions.apply_duplicate_decisions(a, log, d, order="at")
+    assert sorted(r.orig_index for r in act.collect()) == [1, 3, 9]
+    assert [(r.orig_index, r.reason_for_removal) for r in new.collect()] == [(2, "Duplicate")]
+    assert sorted(tuple(r) for r in done.collect()) == [("kept", 3), ("kept", 9), ("removed", 2)]
+
+
+def test_pubmed_references_and_authors(spark):
+    from litsieve.operators.enrich import parse_pubmed
+
+    xml = """<PubmedArticle><Journal><JournalIssue><PubDate><Year>2001</Year></PubDate></JournalIssue><Title>J &amp; K</Title></Journal>
+    <ArticleTitle>A &lt; B &amp;amp; <i>C</i> &#233;&#x41; &#38;lt;</ArticleTitle><AuthorList><Author><LastName>A</LastName></Author><Author><LastName>B</LastName><Initials>Q</Initials></Author>
+    <Author><CollectiveName>The Group</CollectiveName></Author></AuthorList><Abstract><AbstractText Label="x">One.</AbstractText><AbstractText>Two &gt; 1.</AbstractText></Abstract></PubmedArticle>"""
+    r = spark.createDataFrame([(xml,)], "x string").select(parse_pubmed(F.col("x")).alias("w")).first().w
+    assert " ".join(r.title.split()) == "A < B &amp; C éA &lt;"
+    assert (r.authors, r.year, r.journal, r.abstract) == ("A; B, Q; The Group", "2001", "J & K", "One. Two > 1.")
+
+
+def test_versions_after_a_drop(spark, tmp_path):
+    df, root = spark.range(1), str(tmp_path / "state")
+    for _ in range(3):
+        tables.save_version(df, df, root)
+    tables.drop_version(spark, root, tables.steps(spark, root)[0])
+    assert tables.save_version(df, df, root).endswith("v=00004") and len(tables.steps(spark, root)) == 3
+
+
+def test_reload_tries_tabs_then_commas(spark, tmp_path):
+    for name, sep in (("t", "\t"), ("c", ",")):
+        (tmp_path / name).write_text(f"a{sep}b\n1{sep}2\n")
+        assert tables.read_csv(spark, str(tmp_path / name), None).columns == ["a", "b"]
+
+
+def test_merged_cluster_of_many_ids(spark):
+    ids = [str(k) for k in range(1500)]
+    got = spark.createDataFrame([("merged_" + "_".join(ids),), ("7",)], "c string").select(text.cluster_members(F.col("c")).alias("m")).collect()
+    assert got[0].m == ids and got[1].m == ["7"]
+
+
+def test_threshold_search_leaves_out_its_end_and_equal_rows(spark):
+    import math
+
+    edges = [(a, b, 0.0) for a in range(3) for b in range(a)] + [(10 + a, 10 + b, 0.1 + 0.01 * a) for a in range(12) for b in range(a)] + [(a, 10 + a, 1.0) for a in range(3)]
+    pairs = spark.createDataFrame(edges, "a long, b long, dist double")
+    own = [d for _, _, d in edges if d not in (0.0, 1.0)]
+    r = float(np.quantile(own, 50 / (100 * math.e)))
+    grid = np.arange(max(0.05, 0.3 - r), min(0.95, 0.3 + r / 3), 0.025)
+    best, want = -math.inf, 0.3
+    for t in grid:
+        comp = {v: v for v in {x for e in edges for x in e[:2]}}
+        find = lambda v: v if comp[v] == v else find(comp[v])  # noqa: B023, E731
+        for a, b, d in edges:
+            if d < t:
+                comp[find(a)] = find(b)
+        sizes = [n for n in np.unique([find(v) for v in comp], return_counts=True)[1] if n > 1]
+        v = cluster.threshold_score(np.array(sizes, dtype=float), 15 - sum(sizes), 15)
+        if v is not None and v > best:
+            best, want = v, float(t)
+    assert cluster.search_threshold(pairs, 15, 0.3, 50) == pytest.approx(want)
+
+
+def test_ensemble_schedule_and_every_row(spark):
+    assert cluster.schedule(0, 50, 10, 1.0) == (1.0, 2, "ward", 8)
+    eps, core, link, k = cluster.schedule(26, 50, 10, 1.0)
+    assert (core, link, k) == (3, "average", 10) and eps == pytest.approx(1.5)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.05, (1300, 3)) for c in (0.0, 3.0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "id long, v array<double>")
+    got = cluster.ensemble(df, "id", "v", 2, runs=2, keep=1.0).collect()
+    assert len(got) == 2600  # more than the fitted sample
+    kinds = {tuple(r.labels[:1]) for r in got if r.id < 1300}, {tuple(r.labels[:1]) for r in got if r.id >= 1300}
+    assert len(kinds[0]) == len(kinds[1]) == 1 and kinds[0] != kinds[1]
+
+
+def test_agglomeration_by_chains_equals_greedy_merging():
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (40, 3))
+    for link in ("ward", "complete", "average", "single"):
+        groups = [[i] for i in range(40)]
+        d = lambda a, b: np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(-1))
+        far = {
+            "ward": lambda a, b: 2 * len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum(),
+            "complete": lambda a, b: d(a, b).max(),
+            "average": lambda a, b: d(a, b).mean(),
+            "single": lambda a, b: d(a, b).min(),
+        }[link]
+        while len(groups) > 5:
+            _, i, j = min((far(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            groups[i] += groups.pop(j)
+        label = cluster.agglomerate(x, 5, link)
+        assert sorted(map(sorted, groups)) == sorted(sorted(np.flatnonzero(label == v).tolist()) for v in set(label.tolist()))
+
+
+def test_partial_ratio_by_plain_dynamic_programming():
+    rng = random.Random(3)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for k, e in enumerate(b):
+                new.append(row[k] + 1 if c == e else max(row[k + 1], new[k]))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 14))) for _ in range(2))
+        s, t = sorted((a, b), key=len)
+        best = max(2 * lcs(s, w) / (len(s) + len(w)) for k in range(1 - len(s), len(t)) if (w := t[max(k, 0) : k + len(s)]))
+        assert fuzzy.partial_ratio(a, b) == round(100 * best)
