@@ -16,7 +16,7 @@ def tfidf(tokens: DataFrame, key: str, term: str = "term", max_df: float = 1.0,
     ``tokens`` has one row for each occurrence. ``max_df`` is a share of the documents, ``min_df`` a number
     (at least 1, D29).
     """
-    tf = tokens.groupBy(key, term).agg(F.count("*").alias("tf"))
+    tf = materialize(tokens.groupBy(key, term).agg(F.count("*").alias("tf")), "tf")  # read for the frequencies and for the weights
     df_ = tf.groupBy(term).agg(F.count("*").alias("df"))
     n = F.lit(n_docs) if n_docs is not None else F.col("n")
     if n_docs is None:
@@ -24,6 +24,7 @@ def tfidf(tokens: DataFrame, key: str, term: str = "term", max_df: float = 1.0,
         df_ = df_.crossJoin(F.broadcast(total))
     used = df_.where((F.col("df") >= max(1, min_df)) & (F.col("df") <= max_df * n)).withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1).select(term, "idf")
     w = tf.join(used, term).withColumn("w", F.col("tf") * F.col("idf"))
+    w = materialize(w.select(key, term, "tf", "w"), "weights")
     norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, key).select(key, term, "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
 

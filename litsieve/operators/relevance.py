@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.text import cluster_members, text
 from litsieve.functions.vectors import cosine, with_range
-from litsieve.storage import bounded
+from litsieve.schema import numbered
+from litsieve.storage import materialize
 
 CLASSES = ("borderline", "irrelevant", "relevant")
 
@@ -27,38 +28,73 @@ def label_articles(articles: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def features(articles: DataFrame, centroids: DataFrame, coherence: DataFrame, vector: str, key: str) -> DataFrame:
-    """L3: the vector, its distance to the own centroid, the cluster's coherence (0 if none), and the largest cosine to a relevant centroid's documents.
+    """L3: the vector, its distance to the own centroid, the cluster's coherence (0 if none), and the largest cosine to a relevant document.
 
-    The nearest relevant document is searched among relevant cluster members through their centroids, so the side
-    that every row meets is as small as the clusters.
+    Rows without a cluster have distance 1 and weight 0; where no document is relevant the similarity is 0.
     """
     c = centroids.select("cluster", "centroid")
     w = coherence.select("cluster", F.col("coherence").alias("coherence_weight"))
     out = articles.join(c, "cluster", "left").join(w, "cluster", "left")
     out = out.withColumns({"distance_to_centroid": F.coalesce(1 - cosine(F.col(vector), F.col("centroid")), F.lit(1.0)), "coherence_weight": F.coalesce("coherence_weight", F.lit(0.0))}).drop("centroid")
-    relevant = centroids.join(articles.where("label = 'relevant'").select("cluster").distinct(), "cluster", "left_semi").select(F.col("centroid").alias("__r"))
-    near = articles.select(key, vector).crossJoin(bounded(relevant, "relevant")).groupBy(key).agg(F.max(cosine(F.col(vector), F.col("__r"))).alias("similarity_to_relevant"))
+    near = max_cosine(articles.select(key, vector), articles.where("label = 'relevant'").select(vector), key, vector).withColumnRenamed("cosine", "similarity_to_relevant")
     return out.join(near, key, "left").withColumn("similarity_to_relevant", F.coalesce("similarity_to_relevant", F.lit(0.0)))
 
 
+#: Rows of the smaller side that meet the whole table at once.
+BLOCK = 4096
+
+
+def max_cosine(points: DataFrame, targets: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key, cosine``: each point's largest cosine to any target; null without targets, 0 for a zero vector.
+
+    Targets (documents that people have judged) go out in blocks of ``BLOCK`` rows, one matrix product for each block and
+    batch of points, so a worker holds one block; more targets are more blocks.
+    """
+    import numpy as np
+    import pandas as pd
+
+    doubles = F.transform(vector, lambda v: v.cast("double")).alias("v")
+    side = materialize(numbered(targets.where(F.col(vector).isNotNull()).select(doubles), ["v"], "at"), "targets")
+    n = side.count()
+    mine = points.where(F.col(vector).isNotNull()).select(key, doubles)
+    kind = points.schema[key].dataType.simpleString()
+    out = None
+    for start in range(0, n, BLOCK):
+        rows = np.array([r.v for r in side.where(F.col("at").between(start, start + BLOCK - 1)).collect()])  # one block
+        size = np.linalg.norm(rows, axis=1, keepdims=True)
+        shared = points.sparkSession.sparkContext.broadcast(np.divide(rows, size, out=np.zeros_like(rows), where=size > 0))
+
+        def run(parts, shared=shared):
+            for pdf in parts:
+                if len(pdf):
+                    x = np.array(pdf["v"].tolist(), dtype=float)
+                    own = np.linalg.norm(x, axis=1, keepdims=True)
+                    best = (np.divide(x, own, out=np.zeros_like(x), where=own > 0) @ shared.value.T).max(axis=1)
+                    yield pd.DataFrame({key: pdf[key], "cosine": best})
+
+        part = mine.mapInPandas(run, f"{key} {kind}, cosine double")
+        out = part if out is None else materialize(out.unionByName(part).groupBy(key).agg(F.max("cosine").alias("cosine")), "largest")
+    return mine.select(key, F.lit(None).cast("double").alias("cosine")) if out is None else out
+
+
 def folds(df: DataFrame, key: str, label: str = "label", k: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified folds: by hash within each label."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return df.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    """Stratified folds: rows numbered by label and hash of the key, in no single task, and dealt in turn."""
+    placed = numbered(df.withColumn("__h", F.xxhash64(key, F.lit(seed))), [label, "__h", key], "__at")
+    return placed.withColumn("fold", (F.col("__at") % k).cast("int")).drop("__h", "__at")
 
 
-def classifiers(n_features: int, seed: int = 42) -> dict:
+def classifiers(seed: int = 42, trees: int = 100) -> dict:
     """L4's seven, as MLlib has them: boosted trees and margins go one-against-rest; the kernel machine is linear."""
     from pyspark.ml import classification as C
 
     return {
-        "random_forest": C.RandomForestClassifier(numTrees=100, seed=seed),
-        "gradient_boosting": C.OneVsRest(classifier=C.GBTClassifier(maxIter=20, seed=seed)),
+        "random_forest": C.RandomForestClassifier(numTrees=trees, seed=seed),
+        "gradient_boosting": C.OneVsRest(classifier=C.GBTClassifier(maxIter=trees, seed=seed)),
         "svc": C.OneVsRest(classifier=C.LinearSVC(maxIter=50)),
         "naive_bayes": C.NaiveBayes(modelType="gaussian"),
         "logistic_regression": C.LogisticRegression(maxIter=100),
         "decision_tree": C.DecisionTreeClassifier(seed=seed),
-        "ovr_forest": C.OneVsRest(classifier=C.RandomForestClassifier(numTrees=20, seed=seed)),
+        "ovr_forest": C.OneVsRest(classifier=C.RandomForestClassifier(numTrees=trees, seed=seed)),
     }
 
 
@@ -74,31 +110,42 @@ def _probabilities(model, df: DataFrame, n_classes: int, names: list[str]) -> Da
     return out.select("*", *[(F.exp(raw[i]) / top).alias(f"p_{names[i]}") for i in range(n_classes)])
 
 
-def cross_validate(df: DataFrame, key: str, features_col: str = "features", label: str = "label", use: list[str] | None = None, k: int = 5, bags: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def cross_validate(df: DataFrame, key: str, features_col: str = "features", label: str = "label", use: list[str] | None = None, k: int = 5, bags: int = 10, seed: int = 42, share: float = 0.8, trees: int = 100) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold probabilities ``key, classifier, p_<class>`` of labelled rows, and each classifier's metrics.
 
     Unlabelled rows get a final model's probabilities (D11). With ``bags`` over 1 every model but the logistic one is
-    the mean over bags of 80 % of the rows.
+    the mean over bags, each of a ``share`` of the rows and of the features.
     """
+    import random
+
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.feature import StringIndexer, VectorSlicer
 
     known = folds(df.where(F.col(label) != "unknown"), key, label, k, seed)
     index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(known)
     names = list(index.labels)
-    data = index.transform(known).select(key, "fold", "y", F.col(features_col).alias("features")).cache()
+    data = index.transform(known).select(key, "fold", "y", F.col(features_col).alias("features"))
+    data = materialize(data, "labelled")
     unknown = df.where(F.col(label) == "unknown").select(key, F.col(features_col).alias("features"))
     n_features = len(data.first()["features"]) if data.head(1) else 0
     preds, metrics = [], []
     cols = [f"p_{c}" for c in names]
-    for name, est in classifiers(n_features, seed).items():
+    for name, est in classifiers(seed, trees).items():
         if use and name not in use:
             continue
         est = est.copy({})
         est.setParams(featuresCol="features", labelCol="y") if hasattr(est, "setParams") else None
 
         def fitted(train: DataFrame, test: DataFrame, est=est, name=name) -> DataFrame:
-            outs = [_probabilities(est.fit(train.sample(0.8, seed=seed + b) if bags > 1 and name != "logistic_regression" else train), test, len(names), names) for b in range(bags if name != "logistic_regression" else 1)]
+            outs = []
+            for b in range(bags if name != "logistic_regression" else 1):
+                if bags == 1 or name == "logistic_regression":
+                    outs.append(_probabilities(est.fit(train), test, len(names), names))
+                    continue
+                some = sorted(random.Random(seed + b).sample(range(n_features), max(1, round(share * n_features))))
+                cut = VectorSlicer(inputCol="features", outputCol="x", indices=some)
+                own = lambda df, cut=cut: cut.transform(df).drop("features").withColumnRenamed("x", "features")
+                outs.append(_probabilities(est.fit(own(train.sample(share, seed=seed + b))), own(test), len(names), names))
             every = outs[0].select(key, *cols)
             for o in outs[1:]:
                 every = every.unionByName(o.select(key, *cols))
