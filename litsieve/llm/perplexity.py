@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from litsieve.llm.common import BROADCAST_BYTES, tidy, tune
 from litsieve.llm.files import locate
-from litsieve.storage import fresh_dir, let_go, materialize, remove_tree, scratch
+from litsieve.storage import drop, fresh_dir, let_go, materialize, remove_tree, scratch
 
 ORDER, QUANTILE, FOLDS = 5, 0.99, 2
 #: Most folders of answers.
@@ -82,28 +83,27 @@ class _Tally:
         return out
 
 
-_SEEN = pa.schema([("block", pa.int64()), ("model", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
-
-
 def _first_pass(order: int, folds: int):
-    """Rows: doc_id, block, text, model. Models up to ``folds`` are asked; the counts of fold f have number ``folds + 1 + f``."""
+    """Rows: doc_id, block, text, model. Gives ``block, gram, n0 .. n<folds>``: how often the block's documents of each model have it."""
+    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), *((f"n{m}", pa.int64()) for m in range(folds + 1))])
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[tuple[int, int], _Tally] = {}
 
-        def out(key: tuple[int, int]) -> pa.RecordBatch:
-            k, n = tallies.pop(key).take()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), key[0], dtype=np.int64)), pa.array(np.full(len(k), key[1], dtype=np.int32)), pa.array(k), pa.array(n.astype(np.int64))], schema=_SEEN)
+        def out(block: int) -> pa.RecordBatch:
+            own = {m: tallies.pop((block, m)).take() for m in range(folds + 1) if (block, m) in tallies}
+            k = np.unique(np.concatenate([keys for keys, _ in own.values()]))
+            n = np.zeros((folds + 1, len(k)), dtype=np.int64)
+            for m, (keys, counts) in own.items():
+                n[m, np.searchsorted(k, keys)] = counts
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), block, dtype=np.int64)), pa.array(k), *map(pa.array, n)], schema=schema)
 
         for b in parts:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 groups: dict[tuple[int, int], list[bytes]] = {}
                 for block, text, model in zip(*(c.to_pylist() for c in some.columns[1:4]), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    groups.setdefault((block, model), []).append(raw)
-                    if model < folds:
-                        groups.setdefault((0, folds + 1 + model), []).append(raw)
+                    groups.setdefault((block, model), []).append((text or "").encode("utf-8", "surrogatepass"))
                 for key, raws in groups.items():
                     tally = tallies.setdefault(key, _Tally())
                     held, size = [], 0
@@ -115,11 +115,11 @@ def _first_pass(order: int, folds: int):
                             held, size = [], 0
                     if held:
                         tally.add(np.concatenate(held))
-                if sum(t.size for t in tallies.values()) > 3 * HELD:
-                    for key in list(tallies):
-                        yield out(key)
-        for key in list(tallies):
-            yield out(key)
+                if sum(t.size for t in tallies.values()) > 4 * HELD:
+                    for block in {x for x, _ in tallies}:
+                        yield out(block)
+        for block in {x for x, _ in tallies}:
+            yield out(block)
 
     return run
 
@@ -144,7 +144,9 @@ def _discount(c: Column, d: tuple[float, float, float]) -> Column:
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, l0, l1 ..``: log-probabilities of the wanted ``gram`` under the models whose counts are ``gram, c0, c1 ..``.
+    """``gram, l0, l1 ..``: log-probabilities of the wanted grams under the models whose counts are ``gram, c0, c1 ..``.
+
+    ``wanted``: ``gram, a0, a1 ..``, whether each model is asked for it; what is not asked is null.
 
     Each order is two joins of the wanted grams: with the order's counts by gram and with its totals by context. All models
     go through the same joins, in columns of their own.
@@ -156,7 +158,7 @@ def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> D
         lower = tables[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(*[F.count(F.when(F.col(f"c{m}") > 0, 1)).alias(f"c{m}") for m in models])
         tables[k] = materialize(lower, f"order{k}")
         let_go(counts.sparkSession)
-    q = wanted.select("gram", *[F.lit(1 / 256).alias(f"p{m}") for m in models])
+    q = wanted.select("gram", *[F.when(F.col(f"a{m}"), F.lit(1 / 256)).alias(f"p{m}") for m in models])
     for k in range(1, order + 1):
         t, mask = tables[k], (1 << 8 * k) - 1
         d = discounts(t)
@@ -217,26 +219,31 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds:
             flagged = materialize(docs.select("doc_id", "text", *[c for c in ("lang",) if c in docs.columns]).join(ids, "doc_id", "left"), "flagged")
             own = _own(flagged, "good")
         own = own.withColumn("model", F.when(F.col("good"), fold_of(F.col("doc_id"), folds)).otherwise(F.lit(folds)))
-        seen = materialize(own.select("doc_id", "block", "text", "model").mapInArrow(tidy(_first_pass(order, folds)), "block long, model int, gram long, n long"), "grams")
-        let_go(spark)
         models = range(folds + 1)
+        kinds = ", ".join(["block long, gram long", *(f"n{m} long" for m in models)])
+        seen = materialize(own.select("doc_id", "block", "text", "model").mapInArrow(tidy(_first_pass(order, folds)), kinds), "grams")
+        let_go(spark)
         # a model's counts are those of all folds but its own; the last one's are all
-        own_n = lambda m: F.when((F.col("model") > folds) & (F.col("model") != folds + 1 + m), F.col("n")).otherwise(0)
-        counts = materialize(seen.where(F.col("model") > folds).groupBy("gram").agg(*[F.sum(own_n(m)).alias(f"c{m}") for m in models]), "counts")
+        others = lambda m: reduce(Column.__add__, [F.col(f"n{f}") for f in range(folds) if f != m], F.lit(0))
+        trained = reduce(Column.__or__, [F.col(f"n{f}") > 0 for f in range(folds)])
+        counts = materialize(seen.where(trained).groupBy("gram").agg(*[F.sum(others(m)).alias(f"c{m}") for m in models]), "counts")
+        let_go(spark)
+        wanted = seen.groupBy("gram").agg(*[F.max(F.col(f"n{m}") > 0).alias(f"a{m}") for m in models])
+        known = materialize(probabilities(wanted, counts, order), "logp")
         let_go(spark)
-        asked = seen.where(F.col("model") <= folds)
-        known = materialize(probabilities(asked.select("gram").distinct(), counts, order), "logp")
+        # what a block asks of a model; the rest stays null
+        asked = seen.join(known, "gram").select("block", "gram", *[F.when(F.col(f"n{m}") > 0, F.col(f"l{m}")).alias(f"l{m}") for m in models])
+        asked = materialize(asked, "asked")
+        drop(seen)
+        drop(known)
         let_go(spark)
         blocks, rows = asked.agg(F.count_distinct("block"), F.count("*")).first()
         folders = max(1, min(FOLDERS, blocks))
         uri = fresh_dir(spark, "answers")
-        # what a block asks of a model; the rest stays null
-        flag = lambda m: F.max(F.col("model") == m).alias(f"a{m}")
-        answers = asked.groupBy("block", "gram").agg(*[flag(m) for m in models]).join(known, "gram")
-        answers = answers.select(F.pmod("block", F.lit(folders)).alias("bucket"), "block", "gram", *[F.when(F.col(f"a{m}"), F.col(f"l{m}")).alias(f"l{m}") for m in models])
         # several tasks for a folder of many rows
-        answers = answers.repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + rows // (folders * 2 * HELD))))
-        answers.sortWithinPartitions("bucket", "block", "gram").write.partitionBy("bucket").parquet(uri)
+        dealt = asked.withColumn("bucket", F.pmod("block", F.lit(folders))).repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(1 + rows // (folders * 2 * HELD))))
+        dealt.sortWithinPartitions("bucket", "block", "gram").write.partitionBy("bucket").parquet(uri)
+        drop(asked)
         let_go(spark)
         schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("perplexity", pa.float64())])
 
@@ -269,13 +276,16 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, folds:
 
 
 def _answers(folder: str, block: int, models: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A block's grams in order and their log-probabilities by model."""
+    """A block's distinct grams in order and their log-probabilities by model, nan where none was asked."""
     fs, path = locate(folder)
     names = [f"l{m}" for m in range(models)]
     t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["gram", *names], filter=ds.field("block") == block)
     k = t.column("gram").to_numpy()
     order = np.argsort(k, kind="stable")
-    return k[order], [t.column(c).to_numpy()[order] for c in names]
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
+    value = lambda c: np.asarray(t.column(c).to_numpy(), dtype=float)[order]
+    return k[first], [np.fmax.reduceat(value(c), first) if len(first) else np.zeros(0) for c in names]
 
 
 def judge(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, order: int = ORDER, folds: int = FOLDS) -> DataFrame:

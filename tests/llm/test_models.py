@@ -153,7 +153,7 @@ def test_trusted_ids_beyond_the_broadcast_bound(spark, monkeypatch):
 def test_probabilities_sum_to_one(spark):
     grams = Counter({int.from_bytes(b"abcd" + bytes([c])): c - 96 for c in range(97, 103)})
     counts = spark.createDataFrame(list(grams.items()), "gram long, c0 long")
-    every = spark.createDataFrame([(int.from_bytes(b"abcd" + bytes([c])),) for c in range(256)], "gram long")
+    every = spark.createDataFrame([(int.from_bytes(b"abcd" + bytes([c])), True) for c in range(256)], "gram long, a0 boolean")
     total = sum(math.exp(r.l0) for r in perplexity.probabilities(every, counts).collect())
     assert total == pytest.approx(1, rel=1e-9)
 
