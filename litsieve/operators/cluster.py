@@ -476,9 +476,9 @@ def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float,
     return at
 
 
-def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep: float = 0.65, noise: float = 0.01, step: float = GRID_STEP) -> tuple[float, DataFrame, DataFrame]:
+def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep: float = 0.65, noise: float = 0.01, step: float = GRID_STEP, eps_factor: float = 0.7, restarts: int = 1) -> tuple[float, DataFrame, DataFrame]:
     """V16 to V19 in turn: the chosen threshold, the classes' distances ``a, b, dist``, and ``key, first`` of every row."""
-    members, classes = label_classes(ensemble(df, key, vector, k, runs, keep, noise), key)
+    members, classes = label_classes(ensemble(df, key, vector, k, runs, keep, noise, eps_factor, restarts), key)
     members = materialize(members, "members")
     pairs = materialize(edit_distances(classes, key, "labels"), "distances")
     n = members.count()

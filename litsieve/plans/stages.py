@@ -145,7 +145,7 @@ def cluster_graph(spark: SparkSession, c: Config) -> None:
     n = vec.count()
     k = cluster.choose_k(x, n)
     runs = c.num_groupings_small if n < 500 else c.num_groupings_large
-    limit, pairs, members = cluster.ensemble_graph(vec, "orig_index", "vector", k, runs, c.ensemble_keep, c.ensemble_noise, c.grid_step)
+    limit, pairs, members = cluster.ensemble_graph(vec, "orig_index", "vector", k, runs, c.ensemble_keep, c.ensemble_noise, c.grid_step, c.eps_factor)
     graph = cluster.graph_clusters(vec.select("orig_index"), pairs.unionByName(cluster.class_edges(members, "orig_index")), "orig_index", limit)
     placed = cluster.reassign_solos(vec.join(graph, "orig_index"), "vector", "orig_index")
     root = _path(c, "clusters_pickle", "data/clusters")
