@@ -1,26 +1,44 @@
 """Operator 4 [native]: licence scans by Dice coefficient over word bigrams.
 
-Two units of each document are compared with licence templates: every line, and the whole text where it has
-several. Text is normalised (lowered; words are runs of letters, digits and non-ASCII characters) and a unit
-is the bag of its word bigrams. Dice is ``2 * overlap / (size of unit + size of template)``.
-
-Size bounds prune before a bigram is made: n words have n - 1 bigrams, and a template of b bigrams reaches the
-threshold t only with units of ``b * t / (2 - t)`` to ``b * (2 - t) / t`` bigrams. Units that suit no template go, then
-each pair of unit and template whose sizes do not suit. Bigrams meet the templates' in a hash join whose template
-side is broadcast while its counted rows allow (else Spark shuffles it); no text is shuffled, only hits are, summed
-before. All of it is DataFrame functions.
+Text is normalised (lowered; words are runs of letters, digits and non-ASCII characters, so line ends are separators like
+any other) and becomes the sequence of its word bigrams. A unit is a run of those: for a template of b bigrams, runs of
+several lengths at a stride of b / 8 (``sizes``), and Dice is ``2 * overlap / (size of unit + size of template)`` over the
+two bags. So a licence is found in a line, over wrapped lines, inside a longer text or line, and as the whole text.
+
+Size bounds prune: at the threshold t a template suits only units of ``b * t / (2 - t)`` to ``b * (2 - t) / t`` bigrams,
+so it is not tried on shorter texts, and its units have no other lengths. A unit shares at least ``b * t / (2 - t)`` bigrams with
+the template; each distinct bigram of the text can add no more than its number in the template. A first pass sums that bound
+for each text and template (one row each is shuffled, no text) and keeps what can pass. Only texts with such a template are
+read again for units: they meet the kept keys by broadcast while their counted bytes allow, by a shuffle beyond.
+
+Units that reach the threshold overlap each other. Each bigram of a text goes to the best unit over it (higher Dice, then
+longer, then template name, then start), and a unit counts if it is given more than half of its own, so a passage counts
+once, for the licence it resembles most. All of it is DataFrame functions.
+
+How much is found: a unit covers a passage but for at most about a sixteenth of the template at its ends, so exact copies
+score .93 or more wherever they start, and templates of less than 16 bigrams are tried at every place and length.
 """
 
 from __future__ import annotations
 
+from math import ceil, floor
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.llm.common import BROADCAST_BYTES
+from litsieve.storage import materialize
+
 THRESHOLD = 0.8
-#: Most template bigrams that are broadcast (about 60 bytes each).
+#: Most template bigrams that are broadcast (about 100 bytes each).
 MAX_BROADCAST = 200_000
+#: Steps of lengths and places of units, by template.
+STEPS = 8
+#: Complete texts of the longer licences, a file each.
+TEXTS = Path(__file__).parent / "license_texts"
 
-# --- fixed values: short licence statements and the texts' opening parts --------------------------------
+# --- fixed values: short licence statements, notices and the shorter complete texts ---------------------
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -33,9 +51,15 @@ TEMPLATES = {
     ],
     "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -61,58 +85,90 @@ TEMPLATES = {
     ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
     ],
 }
 # ---------------------------------------------------------------------------------------------------------
 _PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def texts() -> dict[str, list[str]]:
+    """All templates by licence: the statements above, then the complete text where ``TEXTS`` has one."""
+    whole = {f.stem: f.read_text() for f in sorted(TEXTS.glob("*.txt"))}
+    return {name: ts + [whole[name]] if name in whole else ts for name, ts in TEMPLATES.items()}
+
+
 def words(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(c), _PARTS), "")
 
 
-def _bigrams(df: DataFrame) -> DataFrame:
-    """A row (x, y) for each two words of ``w`` side by side, with the other columns."""
-    rest = [c for c in df.columns if c != "w"]
-    zipped = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("y"))
-    return df.select(*rest, F.inline(zipped).alias("x", "y")).where("y is not null")
+def grams(w: Column) -> Column:
+    """Two words side by side, with a space between; the last entry is null."""
+    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def sizes(size: int, threshold: float = THRESHOLD) -> list[int]:
+    """Lengths of the units that are tried for a template of ``size`` bigrams: the two bounds, and steps from ``size`` between."""
+    lo, hi = max(1, ceil(size * threshold / (2 - threshold) - 1e-9)), floor(size * (2 - threshold) / threshold + 1e-9)
+    step = max(1, size // STEPS)
+    return sorted({lo, hi, *range(size, lo, -step), *range(size, hi, step)})
 
 
 def templates(spark: SparkSession, table: dict[str, list[str]] | None = None) -> DataFrame:
-    """``x, y, template, license, size, times``: how often each template has each bigram."""
-    rows = [(f"{name}/{k}", name, t) for name, ts in (table or TEMPLATES).items() for k, t in enumerate(ts)]
+    """``g, template, license, size, times``: how often each template has each bigram."""
+    rows = [(f"{name}/{k}", name, t) for name, ts in (table or texts()).items() for k, t in enumerate(ts)]
     t = spark.createDataFrame(rows, "template string, license string, text string")
-    t = t.select("template", "license", words(F.col("text")).alias("w")).withColumn("size", F.size("w") - 1)
-    return _bigrams(t).groupBy("x", "y", "template", "license", "size").agg(F.count("*").alias("times"))
+    t = t.select("template", "license", words(F.col("text")).alias("w"))
+    t = t.select("template", "license", (F.size("w") - 1).alias("size"), F.explode(grams(F.col("w"))).alias("g")).where("g is not null")
+    return t.groupBy("g", "template", "license", "size").agg(F.count("*").alias("times"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, license, n_units, best_dice`` for every document that holds a licence.
 
-    ``n_units`` counts the units (lines, or the whole text) whose best template is one of that licence, at ``threshold``
-    or more; ties go to the template whose name sorts first. A null or blank text, and a unit of fewer than two words,
-    match nothing; rows with a null doc_id are counted under null and rows that repeat one together; an empty table
-    gives no rows. Columns other than doc_id and text are not read.
+    ``n_units`` counts the passages (units that are given more than half of their bigrams) of that licence, ``best_dice`` is the best
+    of them. A null or blank text, and one of fewer than two words, matches nothing. Rows equal in id and text are one; rows
+    with one id and different texts add up, under null where the id is null; an empty table gives no rows. Columns other than
+    doc_id and text are not read.
     """
-    known = templates(docs.sparkSession) if known is None else known
-    lo, hi, n = known.agg(F.min("size"), F.max("size"), F.count("*")).first()
+    spark = docs.sparkSession
+    known = templates(spark) if known is None else known
+    table = [(r.template, int(r.size)) for r in known.select("template", "size").distinct().collect()]
+    n = known.count()
     if not n:
-        return docs.sparkSession.createDataFrame([], "doc_id long, license string, n_units long, best_dice double")
+        return spark.createDataFrame([], "doc_id long, license string, n_units long, best_dice double")
     ratio = threshold / (2 - threshold)
-    text = F.col("text").cast("string")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).where("text is not null")
-    whole = F.when(F.instr("text", "\n") > 0, F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = own.select("doc_id", "row", F.posexplode(F.concat(F.split("text", "\n"), whole)).alias("at", "unit"))
-    sized = units.select("doc_id", "row", "at", words(F.col("unit")).alias("w")).withColumn("n", F.size("w") - 1)
-    sized = sized.where((F.col("n") >= lo * ratio - 1e-9) & (F.col("n") * ratio <= hi + 1e-9) & (F.col("n") > 0))
     side = F.broadcast(known) if n <= MAX_BROADCAST else known
-    hit = _bigrams(sized).join(side, ["x", "y"]).where((F.col("n") >= F.col("size") * ratio - 1e-9) & (F.col("n") * ratio <= F.col("size") + 1e-9))
-    unit, pair = ["doc_id", "row", "at"], ["n", "template", "license", "size"]
-    overlap = hit.groupBy(*unit, *pair, "x", "y").agg(F.least(F.count("*"), F.first("times")).alias("c")).groupBy(*unit, *pair).agg(F.sum("c").alias("c"))
-    dice = overlap.select(*unit, "template", "license", (2 * F.col("c") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= threshold)
-    # the smallest of (-dice, template) is the best; ties to the name
-    best = dice.groupBy(*unit).agg(F.min(F.struct((-F.col("dice")).alias("d"), "template", "license")).alias("m"))
-    return best.groupBy("doc_id", F.col("m.license").alias("license")).agg(F.count("*").alias("n_units"), F.round(F.max(-F.col("m.d")), 6).alias("best_dice"))
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text is not null")
+    own = own.withColumn("k", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text"))))
+    some = own.select("k", words(F.col("text")).alias("w")).select("k", (F.size("w") - 1).alias("n"), F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
+    fits = F.col("n") >= F.col("size") * ratio - 1e-9
+    met = some.join(side, "g").where(fits)
+    # rows equal in id and text add up here, which only loosens the bound
+    bound = met.groupBy("k", "template", "size").agg(F.sum("times").alias("u")).where(F.col("u") >= F.col("size") * ratio - 1e-9)
+    few = materialize(bound.groupBy("k").agg(F.collect_set("template").alias("ts")), "licence-keys")
+    kept = few.agg(F.count("*").alias("n"), F.sum(32 + 24 * F.size("ts")).alias("width")).first()
+    few = F.broadcast(few) if (kept.width or 0) * 2 <= BROADCAST_BYTES else few.hint("shuffle_hash")
+    again = own.join(few, "k").dropDuplicates(["k"])
+    again = again.select("k", "doc_id", "ts", words(F.col("text")).alias("w"))
+    again = again.select("k", "doc_id", "ts", (F.size("w") - 1).alias("n"), F.posexplode(grams(F.col("w"))).alias("at", "g"))
+    hit = again.join(side, "g").where(F.array_contains("ts", F.col("template")) & fits)
+    grid = spark.createDataFrame([(t, m, max(1, size // STEPS)) for t, size in table for m in sizes(size, threshold)], "template string, len int, step int")
+    # all places of a unit of this length over the bigram
+    first = F.greatest(F.lit(0).cast("long"), F.expr("(at - len + step) div step"))
+    spread = hit.join(F.broadcast(grid), "template").withColumn("place", F.explode(F.sequence(first, F.expr("at div step"))))
+    unit, about = ["k", "template", "len", "place"], ["doc_id", "n", "license", "size", "step"]
+    overlap = spread.groupBy(*unit, *about, "g").agg(F.least(F.count("*"), F.first("times")).alias("c")).groupBy(*unit, *about).agg(F.sum("c").alias("c"))
+    start = F.col("place") * F.col("step")
+    cut = overlap.withColumn("start", start).withColumn("m", F.least(F.col("len"), F.col("n") - F.col("start")))
+    dice = cut.withColumn("dice", 2 * F.col("c") / (F.col("m") + F.col("size"))).where(F.col("dice") >= threshold)
+    dice = dice.select("k", "doc_id", "template", "license", "start", "m", "dice").dropDuplicates(["k", "template", "start", "m"])
+    over = dice.withColumn("p", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)))
+    best = F.struct((-F.col("dice")).alias("d"), (-F.col("m")).alias("l"), "template", "start", "license")
+    given = over.groupBy("k", "doc_id", "p").agg(F.min(best).alias("b"))
+    held = given.groupBy("k", "doc_id", "b").agg(F.count("*").alias("held")).where(2 * F.col("held") > -F.col("b.l"))
+    return held.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.count("*").alias("n_units"), F.round(F.max(-F.col("b.d")), 6).alias("best_dice"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,16 +176,22 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, without the first pass."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(f'{name}/{k}')}, {quote(name)}, {quote(t)})" for name, ts in TEMPLATES.items() for k, t in enumerate(ts))
+    values = ", ".join(f"({quote(f'{name}/{k}')}, {quote(name)}, {quote(t)})" for name, ts in texts().items() for k, t in enumerate(ts))
     cut = lambda c: f"list_filter(string_split_regex(lower({c}), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
     return f"""WITH t AS (SELECT template, license, {cut("text")} AS w FROM (VALUES {values}) v(template, license, text)),
     tb AS (SELECT template, license, size, x, y, count(*) AS times FROM (SELECT template, license, len(w) - 1 AS size, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM t) GROUP BY ALL),
-    d AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents WHERE text IS NOT NULL),
-    u AS (SELECT doc_id, r, unnest(list_concat(string_split(text, chr(10)), CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS unit, unnest(range(len(string_split(text, chr(10))) + CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END)) AS pos FROM d),
-    s AS (SELECT doc_id, r, pos, {cut("unit")} AS w FROM u), k AS (SELECT doc_id, r, pos, len(w) - 1 AS n, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM s WHERE len(w) BETWEEN 2 AND 2000),
-    c AS (SELECT doc_id, r, pos, n, template, license, size, x, y, least(count(*), any_value(times)) AS c FROM k JOIN tb USING (x, y) GROUP BY doc_id, r, pos, n, template, license, size, x, y),
-    q AS (SELECT doc_id, r, pos, template, license, 2 * sum(c) / (n + size)::DOUBLE AS dice FROM c GROUP BY doc_id, r, pos, n, template, license, size HAVING 2 * sum(c) / (n + size)::DOUBLE >= {threshold}),
-    b AS (SELECT *, row_number() OVER (PARTITION BY r, pos ORDER BY dice DESC, template) AS place FROM q)
-    SELECT doc_id, license, count(*)::BIGINT AS n_units, round(max(dice), 6) AS best_dice FROM b WHERE place = 1 GROUP BY doc_id, license"""
+    z AS (SELECT template, len(w) - 1 AS b, greatest(1, (len(w) - 1) // {STEPS}) AS step, greatest(1, ceil((len(w) - 1) * {threshold} / (2 - {threshold}) - 1e-9))::BIGINT AS lo, floor((len(w) - 1) * (2 - {threshold}) / {threshold} + 1e-9)::BIGINT AS hi FROM t),
+    grid AS (SELECT DISTINCT template, step, unnest(list_concat([lo, hi], range(b, lo, -step), range(b, hi, step))) AS m FROM z),
+    d AS (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT doc_id, r, {cut("text")} AS w FROM d),
+    k AS (SELECT doc_id, r, len(w) - 1 AS n, unnest(range(len(w) - 1)) AS p, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM s WHERE len(w) > 1),
+    h AS (SELECT doc_id, r, n, p, template, license, size, x, y, times FROM k JOIN tb USING (x, y) WHERE n >= size * {threshold} / (2 - {threshold}) - 1e-9),
+    e AS (SELECT h.*, m, step, unnest(range(greatest(0, (p - m + step) // step), p // step + 1)) AS place FROM h JOIN grid USING (template)),
+    c AS (SELECT doc_id, r, n, template, license, size, m, place * step AS start, x, y, least(count(*), any_value(times)) AS c FROM e GROUP BY ALL),
+    q AS (SELECT DISTINCT doc_id, r, template, license, start, least(m, n - start) AS m, 2 * sum(c) / (least(m, n - start) + size)::DOUBLE AS dice FROM c GROUP BY doc_id, r, n, template, license, size, m, start),
+    o AS (SELECT *, unnest(range(start, start + m)) AS p FROM q WHERE dice >= {threshold}),
+    b AS (SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY dice DESC, m DESC, template, start) AS rank FROM o),
+    u AS (SELECT doc_id, r, template, license, start, m, dice FROM b WHERE rank = 1 GROUP BY ALL HAVING 2 * count(*) > m)
+    SELECT doc_id, license, count(*)::BIGINT AS n_units, round(max(dice), 6) AS best_dice FROM u GROUP BY doc_id, license"""
