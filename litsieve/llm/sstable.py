@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ from litsieve.llm.tokens import encoder, tokenizer_path
 from litsieve.storage import fresh_dir
 
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES, END_ID = 64 << 10, 10, 7, 0
+#: A writer holds a key and ten unpacked filter bits for each document of its shard, about 80 bytes.
+SHARD_DOCUMENTS = 1_000_000
 _FOOTER, _MAGIC = struct.Struct("<QQQQIIQQ8s"), b"TOKSST01"
 _BLOCK = struct.Struct("<9sQIII")
 
@@ -189,26 +191,43 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     """Encode every text and write the shards below ``uri``; returns ``(shard, uri, documents, ids)`` in id order.
 
     Documents are dealt by quantiles of doc_id (from that column alone), sorted inside each task, and
-    streamed to one file for each task. A null text is an empty one, a null doc_id sorts first, repeated
-    doc_ids are kept side by side, an empty table gives no shards. Other columns are not read.
+    streamed to one file for each task; there are as many shards as the shuffle is wide, more where one would hold over
+    ``SHARD_DOCUMENTS``. A null text is an empty one, a null doc_id sorts first, repeated doc_ids are kept side by side, an
+    empty table gives no shards. An id (or null) with so many rows that it is several quantiles at once is dealt over all
+    shards between them (quantiles are doubles, so not ids beyond 2^53). Other columns are not read.
     """
     spark = docs.sparkSession
     tune(spark)
-    path, n = path or tokenizer_path(), shards or shuffle_width(spark)
+    path = path or tokenizer_path()
+    counted = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    n = shards or max(shuffle_width(spark), -(-counted.n // SHARD_DOCUMENTS))
+    unnamed = n * (counted.n - counted.named) // max(1, counted.n)
     end = np.array([end_id], dtype="<u4").tobytes()
-    cuts = texts(docs).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    named = n - unnamed
+    cuts = texts(docs).approxQuantile("doc_id", [i / named for i in range(1, named)], 0.2 / named) if named > 1 else []
+    cuts = sorted(int(c) for c in cuts)
     mid = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("n_ids", pa.int64()), ("value", pa.binary())])
     made = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def encode(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
 
+        dealt: dict[tuple, int] = {}
+
+        def shard_of(doc_id: int | None, ids: bytes) -> int:
+            lo, hi = (0, max(0, unnamed - 1)) if doc_id is None else (unnamed + bisect_left(cuts, doc_id), unnamed + bisect_right(cuts, doc_id))
+            if hi - lo < (1 if doc_id is None else 2):
+                return lo if doc_id is None else hi
+            # equal rows go round the shards, so the outcome does not depend on the order in which a task meets rows
+            what = (doc_id, zlib.crc32(ids))
+            seen = dealt[what] = dealt.get(what, -1) + 1
+            return lo + (what[1] + seen) % (hi - lo + 1)
+
         def rows():
             for doc_ids, some in doc_columns(parts):
                 for doc_id, ids in zip(doc_ids, enc.encode_column(some), strict=True):
                     ids += end
-                    yield doc_id, 0 if doc_id is None else bisect_right(cuts, doc_id), len(ids) // 4, encode_value(ids)
+                    yield doc_id, shard_of(doc_id, ids), len(ids) // 4, encode_value(ids)
 
         yield from batches(rows(), mid)
 
@@ -227,7 +246,7 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((shard, name, len(writer.keys), writer.ids), made, strict=True)], schema=made)
 
     ids = texts(docs).mapInArrow(tidy(encode), "doc_id long, shard int, n_ids long, value binary")
-    dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_ids", "value")
+    dealt = ids.repartitionById(unnamed + len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_ids", "value")
     return [tuple(r) for r in sorted(dealt.mapInArrow(tidy(store), "shard int, uri string, documents long, ids long").collect())]
 
 
@@ -259,12 +278,14 @@ def read_shards(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
 
 
 def lookup(spark: SparkSession, manifest: list[tuple], wanted: DataFrame) -> DataFrame:
-    """``doc_id, ids`` for the wanted identifiers: each shard's task reads only the blocks it needs.
+    """``doc_id, ids`` for the wanted identifiers: only the blocks that may hold them are read.
 
-    ``wanted`` is dealt to shards by the shards' first keys, so no side is broadcast.
+    The shards' first keys (one a shard) say which shards to open. A null identifier finds documents without one, a repeated
+    one is asked once and gives a row for each document that has it, an unknown one gives none; no shards or nothing
+    wanted give an empty table. Columns of ``wanted`` other than doc_id are not read.
     """
-    firsts = [id_of(ShardReader(m[1]).firsts[0]) for m in manifest]
-    edges = [f for f in firsts[1:]]
+    rank = lambda i: (i is not None, i or 0)  # noqa: E731  # null sorts first
+    edges = [rank(id_of(ShardReader(m[1]).firsts[0])) for m in manifest[1:]]
     uris = [m[1] for m in manifest]
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
@@ -274,8 +295,7 @@ def lookup(spark: SparkSession, manifest: list[tuple], wanted: DataFrame) -> Dat
         def rows():
             for b in parts:
                 for doc_id in b.column(0).to_pylist():
-                    last = 0 if doc_id is None else bisect_right(edges, doc_id)
-                    for k in range(max(0, last - 1), last + 1):  # equal ids may end one shard and begin the next
+                    for k in range(bisect_left(edges, rank(doc_id)), bisect_right(edges, rank(doc_id)) + 1):  # equal ids may fill several shards
                         if k not in open_:
                             open_[k] = ShardReader(uris[k])
                         for ids in open_[k].get(doc_id):

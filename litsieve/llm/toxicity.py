@@ -267,7 +267,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that score below 0.5, in the columns they came with."""
+    """The documents that score below 0.5, in the columns they came with.
+
+    A null text scores as an empty one; rows with a null or repeated doc_id are each judged; an empty table gives no rows;
+    other columns pass through, whatever their names.
+    """
     tune(docs.sparkSession)
     at = docs.columns.index("text")
 

@@ -211,7 +211,11 @@ def normalise_all(spark: SparkSession, files: list[str], uri: str) -> list[tuple
 
 
 def read(spark: SparkSession, archives: list[tuple[int, str, str]]) -> DataFrame:
-    """Every record of normalised archives, found by offset; see ``RESULT``."""
+    """Every record of normalised archives, found by offset; see ``RESULT``.
+
+    A record without a page id comes back under null, a repeated one as often as it was written; no archives, or archives
+    without records, give no rows.
+    """
     if not archives:
         return spark.createDataFrame([], RESULT)
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])

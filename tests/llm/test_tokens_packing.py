@@ -103,6 +103,21 @@ def test_shards_round_trip_and_lookup(spark, tok):
     assert sum(sstable.ShardReader(m[1]).may_hold(10_000 + k) for m in manifest for k in range(300)) < 60
 
 
+def test_hot_ids_fill_several_shards(spark, tok):
+    rows = [(i, f"text {i}") for i in range(100)] + [(41, "the same copy")] * 150 + [(41, f"other {i}") for i in range(150)] + [(None, "no id")] * 90 + [(None, None)] * 60
+    docs = documents(spark, rows).repartition(3)
+    manifest = sstable.write_shards(docs, fresh_dir(spark, "t"), shards=10)
+    sizes = [m[2] for m in manifest]
+    assert sum(sizes) == len(rows) and max(sizes) < 0.25 * len(rows)
+    got = sorted((tuple(r) for r in sstable.read_shards(spark, manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    crc = lambda t: zlib.crc32(np.array([*brute(tok, t), 0], dtype="<u4").tobytes())
+    assert Counter((r[0], r[3]) for r in got) == Counter((i, crc(t)) for i, t in rows)
+    wanted = spark.createDataFrame([(41,), (41,), (None,), (7,), (500,)], "doc_id long")
+    assert Counter(r.doc_id for r in sstable.lookup(spark, manifest, wanted).collect()) == {41: 301, None: 150, 7: 1}
+
+
 def test_shards_of_nothing(spark):
     manifest = sstable.write_shards(empty(spark), fresh_dir(spark, "t"))
     assert manifest == [] and sstable.read_shards(spark, manifest).count() == 0
