@@ -51,6 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences, after all stages over ``documents``.
+
+    Null texts stay through every stage and pack as empty ones; rows with a null or repeated doc_id are judged row by row,
+    and of rows that link (copies among them) the one with the smallest id stays; documents of any length are read whole;
+    empty tables of documents, labels or benchmark give no rows, no rejections or no hits. Extra columns pass through.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
