@@ -620,24 +620,24 @@ def merged_clusters(info: DataFrame, merges: list[tuple], scores: DataFrame, by:
     return rest.join(cent, "name").select(F.col("name").alias(by), "centroid", "titles", "members", "score")
 
 
-def select_clusters(info: DataFrame, scores: DataFrame, by: str = "cluster") -> DataFrame:
-    """Clusters over the elbow stay; low ones that merge stay if the merged score passes a new elbow."""
+def select_clusters(info: DataFrame, scores: DataFrame, by: str = "cluster", cuts: int = 10, percentile: float = 0.9) -> DataFrame:
+    """Clusters over the elbow of ``cuts`` cuts stay; low ones that merge (pairs from the percentile on) stay if the merged score passes a new elbow."""
     values = [r[0] for r in scores.select("score").collect()]  # one for each cluster
     small = len(values) <= 5
     if small:
         cut_row = gap_cut(scores.select("score")).where("above").agg(F.min("score")).first()
         limit = float(cut_row[0]) if cut_row and cut_row[0] is not None else 0.0
     else:
-        limit = elbow_threshold(values)
+        limit = elbow_threshold(values, cuts)
     scored = info.join(scores, by)
     high = scored.where(F.col("score") >= limit)
     low = scored.where(F.col("score") < limit)
-    merges = greedy_merges(merge_pairs(low.select(by, "centroid"), by)) if low.count() > 1 else []
+    merges = greedy_merges(merge_pairs(low.select(by, "centroid"), by, percentile)) if low.count() > 1 else []
     out = high.select(F.col(by).cast("string").alias(by), "centroid", "titles", "members", "score")
     if not merges:
         return out
     merged = merged_clusters(low.drop("score"), merges, scores, by)
-    again = elbow_threshold([r[0] for r in merged.select("score").collect()])
+    again = elbow_threshold([r[0] for r in merged.select("score").collect()], cuts)
     return out.unionByName(merged.where(F.col("score") >= again))
 
 

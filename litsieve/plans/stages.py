@@ -169,7 +169,7 @@ def define_clusters(spark: SparkSession, c: Config) -> None:
     stats = m.groupBy("cluster").agg(F.count("*").alias("size")).join(cluster.cluster_ess(m, "vector"), "cluster").join(cluster.cluster_silhouette(m, "orig_index", "vector"), "cluster").join(cluster.mean_clustering(edges, m.select("orig_index", "cluster"), "orig_index"), "cluster")
     scores = cluster.coherence(stats).select("cluster", F.col("coherence").alias("score"))
     info = m.groupBy("cluster").agg(F.collect_list("title").alias("titles"), F.collect_list("orig_index").alias("members")).join(mean_vector(m, "cluster", "vector").select("cluster", "centroid"), "cluster")
-    chosen = cluster.select_clusters(info, scores)
+    chosen = cluster.select_clusters(info, scores, cuts=c.elbow_cuts, percentile=c.merge_percentile / 100)
     _, model = _space(spark, c)
     terms = lsa.infrequent_terms(lsa.cluster_terms(chosen, model))
     best = cluster.exemplars(m.withColumn("cluster", F.col("cluster").cast("string")), "orig_index", "vector").select("cluster", F.col("exemplar").cast("string").alias("exemplar"))
