@@ -8,6 +8,7 @@ from litsieve.llm.decontam import op3_benchmark_decontamination
 from litsieve.llm.jaccard import op6_ngram_jaccard_join
 from litsieve.llm.licenses import op4_license_scan
 from litsieve.llm.packing import op1_best_fit_packing
+from litsieve.llm.periodic import op12_periodic_runs
 from litsieve.llm.perplexity import op2_kneser_ney_quality
 from litsieve.llm.pii import op10_pii_anchors
 from litsieve.llm.sstable import op5_token_sstable
@@ -26,6 +27,7 @@ _QUERIES = (
     op8_toxicity_nnpu,
     op9_exact_topk,
     op10_pii_anchors,
+    op12_periodic_runs,
 )
 
 
