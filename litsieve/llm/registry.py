@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from litsieve.llm import licenses
+from litsieve.llm.align import op13_token_alignment
 from litsieve.llm.decontam import op3_benchmark_decontamination
 from litsieve.llm.jaccard import op6_ngram_jaccard_join
 from litsieve.llm.licenses import op4_license_scan
@@ -28,6 +29,7 @@ _QUERIES = (
     op9_exact_topk,
     op10_pii_anchors,
     op12_periodic_runs,
+    op13_token_alignment,
 )
 
 
