@@ -8,6 +8,7 @@ from litsieve.llm.align import op13_token_alignment
 from litsieve.llm.decontam import op3_benchmark_decontamination
 from litsieve.llm.jaccard import op6_ngram_jaccard_join
 from litsieve.llm.licenses import op4_license_scan
+from litsieve.llm.mixing import op11_entropy_mixing
 from litsieve.llm.packing import op1_best_fit_packing
 from litsieve.llm.periodic import op12_periodic_runs
 from litsieve.llm.perplexity import op2_kneser_ney_quality
@@ -28,6 +29,7 @@ _QUERIES = (
     op8_toxicity_nnpu,
     op9_exact_topk,
     op10_pii_anchors,
+    op11_entropy_mixing,
     op12_periodic_runs,
     op13_token_alignment,
 )
