@@ -6,8 +6,10 @@ From each anchor a deterministic local parser grows the span to its boundaries a
 The four base kinds (email, ip, card, phone) equal the leftmost non-overlapping matches of their
 patterns; parsers look at each character a bounded number of times, also in one very long run.
 The method's own kinds follow them: ``url_user`` (user:password in a URL), ``iban`` (mod-97
-checked), ``ssn`` and ``account`` (digits after a cue), ``secret`` (a key of 16 or more characters with letters and digits after
-a cue such as "token ="). They add spans and never replace base ones.
+checked), ``ssn`` and ``account`` (digits after a cue), ``secret``: after a cue such as "token =" a key of 16 or more characters
+with letters and digits, after a password cue and a sign of assignment any value (but for a bare word after ": ", which is prose;
+after "is" one with letters and digits), and
+keys that show themselves by their head (``KEYS``). They add spans and never replace base ones.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from litsieve.llm.common import batches, doc_rows, texts, tidy, tune
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url_user", "iban", "ssn", "account", "secret")
 #: Identifier cues, matched in lower case with an optional separator behind.
-CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account", "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api key": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret", "access key": "secret", "access_key": "secret", "bearer": "secret"}
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account", "konto": "account", "compte": "account", "cuenta": "account", "token": "secret", "secret": "secret", "password": "password", "passwd": "password", "passphrase": "password", "api key": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret", "access key": "secret", "access_key": "secret", "bearer": "secret"}
 _CUE_GAP = re.compile(r"(?: ?(?:number|no|nr|num|id)\b\.?)? ?[:=#]? ?", re.I)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,8 +39,14 @@ _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,}+")
 #: Neither part holds a slash, so a scan ends before the next scheme; no part is ever given back.
 _USER = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=-]++:[^\s/@]++(?=@)")
-#: What stands between a cue and its secret: a sign of assignment, or white space after "bearer" and the like.
-_SET = re.compile(r"[\"']? ?(?:[:=]|=>| is )? ?[\"']?")
+#: What stands between a cue and its secret: a sign of assignment, " is ", or a space after "bearer" and the like.
+_SET = re.compile(r"[\"']?(?: ?(?:=>|:=|[:=]) ?| is | )?[\"']?")
+#: A password's value behind a sign of assignment, up to the quote that opened it or to white space; behind " is " it needs letters and digits.
+_PASSWORD = re.compile(r"[\"']? ?(?:=>|:=|[:=]) ?(?:\"(?P<double>[^\"\n]++)\"|'(?P<single>[^'\n]++)'|(?P<plain>[^\s\"']\S*+))")
+_SAID = re.compile(r"[\"']? is [\"']?(?P<plain>[^\s\"']++)")
+#: The heads of public key formats, in lower case, and what follows them.
+KEYS = {"ghp_": r"[A-Za-z0-9]{36,}+", "gho_": r"[A-Za-z0-9]{36,}+", "github_pat_": r"[A-Za-z0-9_]{22,}+", "akia": r"[0-9A-Z]{16}(?![0-9A-Za-z])", "xoxb-": r"[0-9A-Za-z-]{20,}+", "xoxp-": r"[0-9A-Za-z-]{20,}+", "-----begin ": r"(?:[A-Z]+ ){0,3}?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END (?:[A-Z]+ ){0,3}?PRIVATE KEY-----)?"}
+_KEYS = {k: re.compile(v) for k, v in KEYS.items()}
 _SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{16,}+")
 _DIGITS = re.compile(r"[0-9]")
 _LETTERS = re.compile(r"[A-Za-z]")
@@ -51,7 +59,7 @@ def automaton():
         a = ahocorasick.Automaton()
         pairs = [(x, y) for x in "0123456789" for y in "0123456789"]
         digits = [(f"{x}{mark}{y}", tag) for x, y in pairs for mark, tag in (("", "card"), (" ", "card"), ("-", "card"), (".", "ip"))]
-        for word, tag in [("@", "email"), ("+", "phone"), ("://", "url_user"), *digits, *CUES.items()]:
+        for word, tag in [("@", "email"), ("+", "phone"), ("://", "url_user"), *digits, *((k, "key") for k in KEYS), *CUES.items()]:
             a.add_word(word, (tag, len(word)))
         a.make_automaton()
         _AUTOMATON.append(a)
@@ -133,6 +141,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 done["secret"] = m.end()  # what a failed run ends with fails too
                 if _DIGITS.search(m[0]) and _LETTERS.search(m[0]):
                     found.append(("secret", start, m.end()))
+        elif tag == "password":
+            if at < done["secret"] or (at and text[at - 1].isalnum()):
+                continue
+            m = _PASSWORD.match(text, after) or _SAID.match(text, after)
+            if m:
+                where = m.lastgroup
+                done["secret"] = m.end()
+                prose = m.re is _SAID or (where == "plain" and text[m.start("plain") - 2 : m.start("plain")] == ": " and m["plain"].isalpha())
+                if not prose or (_DIGITS.search(m[where]) and _LETTERS.search(m[where])):
+                    found.append(("secret", *m.span(where)))
+        elif tag == "key":
+            m = at >= done["secret"] and not (at and text[at - 1].isalnum()) and _KEYS[text[at:after].lower()].match(text, after)
+            if m:
+                found.append(("secret", at, m.end()))
+                done["secret"] = m.end()
         elif at >= done[tag] and not (at and text[at - 1].isalnum()):
             start = _CUE_GAP.match(text, after).end()
             m = {"iban": _IBAN, "ssn": _SSN, "account": _ACCOUNT}[tag].match(text, start)
