@@ -6,11 +6,11 @@ Kiryo et al. ("Positive-Unlabeled Learning with Non-Negative Risk Estimator"): t
 gradient is stepped against. The class prior is the share of toxic rows among the labelled training
 rows. Only rows with ``crc32(doc_id as text) mod 5 <> 0`` are ever learnt from.
 
-The classifier pools over a document's distinct words: each word has a logit, linear in hashed
-features (the word, its prefixes, its character 4- and 5-grams), and the document's logit is a
-smooth maximum of them. So one toxic word marks a text of any length, and unseen inflections of
-known stems count. In a run of more than ``LONG`` letters (script without spaces, glued words) a word can
-start at every letter, so each letter starts a piece; of a document's pieces the highest counts in its score. Labels, language, source and doc_id are no inputs of a score.
+The classifier pools over a document's distinct words. A word's pieces start at each of its letters; a piece
+has a logit, linear in hashed features (the piece, its prefixes, its character 4- and 5-grams), the highest
+is the word's, and the document's logit is a smooth maximum of its words'. So one toxic word marks a text of any
+length, unseen inflections and compounds of known stems count, and a stem in a long run (script without spaces, glued
+words) counts as it does in a short word. Fit and score pool alike. Labels, language, source and doc_id are no inputs of a score.
 
 The fit sees a bounded sample of the labelled training rows: at most ``MAX_POSITIVE`` toxic ones as P and ``MAX_UNLABELLED`` of
 all of them, whatever their label, as U, those with the smallest hash of their id. Scoring covers every row and the whole of
@@ -41,23 +41,25 @@ DIMENSIONS, FOLDS = 1 << 18, 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-#: Runs of more letters than LONG are taken as pieces of PIECE letters, one from each letter on.
-LONG, PIECE = 40, 12
+#: Letters of a piece; pieces start at every letter that three more follow.
+PIECE = 12
 
 
 def words(text: str) -> set[str]:
-    """The distinct runs of letters, long ones as pieces; pieces end in a hyphen."""
-    found = set(_WORD.findall(text.lower()))
-    for w in [w for w in found if len(w) > LONG]:
-        found.remove(w)
-        found.update(w[i : i + PIECE] + "-" for i in range(len(w) - 3))
-    return found
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of one word, or of a piece, which does not end where its word does."""
-    w = f"<{word[:-1]}" if word[-1] == "-" else f"<{word}>"
-    grams = {w, *(w[:n] for n in (4, 5, 6)), *(w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1))}
+    """The distinct runs of letters."""
+    return set(_WORD.findall(text.lower()))
+
+
+def pieces(word: str) -> Iterator[str]:
+    """Stretches of a word as if each began it; the last ones end where it does."""
+    last = len(word) - PIECE
+    for i in range(max(1, len(word) - 3)):
+        yield f"<{word[i : i + PIECE]}>" if i >= last else f"<{word[i : i + PIECE]}"
+
+
+def features(piece: str) -> list[int]:
+    """Hashed features of one piece."""
+    grams = {piece, *(piece[:n] for n in (4, 5, 6)), *(piece[i : i + n] for n in (4, 5) for i in range(len(piece) - n + 1))}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams]
 
 
@@ -69,29 +71,26 @@ class _Weights(dict):
         self.theta = theta
 
     def __missing__(self, w: str) -> float:
-        if len(self) > 250_000:
-            self.clear()
-        v = self[w] = float(np.exp(min(30.0, float(self.theta[features(w)].sum()) - OFFSET)))
+        v = float(np.exp(min(30.0, max(float(self.theta[features(p)].sum()) for p in pieces(w)) - OFFSET)))
+        if len(w) <= 64:
+            if len(self) > 250_000:
+                self.clear()
+            self[w] = v
         return v
 
 
 class Model:
-    """Word logits are sums of ``theta`` over a word's features, less ``OFFSET``; documents pool them."""
+    """A word's logit is the highest sum of ``theta`` over a piece's features, less ``OFFSET``; documents pool them."""
 
     def __init__(self, theta: np.ndarray, bias: float):
         self.theta, self.bias = theta, bias
         self._weights = _Weights(theta)
 
     def score(self, text: str) -> float:
-        return self.of_words(words(text), len(text) > LONG)
-
-    def of_words(self, own: set[str], may_be_cut: bool = True) -> float:
-        weigh = self._weights.__getitem__
-        if may_be_cut and (cut := [w for w in own if w[-1] == "-"]):
-            s = sum(map(weigh, own.difference(cut))) + max(map(weigh, cut))
-        else:
-            s = sum(map(weigh, own))
-        z = self.bias + float(np.log(s + FLOOR))
+        return self.of_words(words(text))
+
+    def of_words(self, own: set[str]) -> float:
+        z = self.bias + float(np.log(sum(map(self._weights.__getitem__, own)) + FLOOR))
         return 1 / (1 + float(np.exp(-min(max(z, -60), 60))))
 
     def __getstate__(self):
@@ -127,28 +126,43 @@ def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarr
 
 
 class Bags:
-    """Documents as bags of distinct words with hashed features, in flat arrays."""
+    """Documents as bags of distinct words, words as pieces with hashed features, in flat arrays."""
 
     def __init__(self, documents: list[tuple[bool, str]]):
         vocab: dict[str, int] = {}
-        held, f_held, sizes, f_sizes = array("i"), array("i"), [], []  # flat, as lists would take ten times the memory
+        held, f_held, sizes, f_sizes, many = array("i"), array("i"), [], array("i"), []  # flat, as lists would take ten times the memory
         for _, said in documents:
             own = said.split()
             sizes.append(len(own))
             held.extend(vocab.setdefault(w, len(vocab)) for w in own)
         for w in vocab:
-            own = features(w)
-            f_sizes.append(len(own))
-            f_held.extend(own)
+            before = len(f_sizes)
+            for p in pieces(w):
+                own = features(p)
+                f_sizes.append(len(own))
+                f_held.extend(own)
+            many.append(len(f_sizes) - before)
         self.n, self.n_words = len(documents), len(vocab)
         self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.frombuffer(f_held, dtype=np.int32)
         self.doc_of = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.f_sizes = np.array(f_sizes, dtype=np.int64)
+        self.f_sizes = np.frombuffer(f_sizes, dtype=np.int32).astype(np.int64)
         self.f_starts = np.cumsum(self.f_sizes) - self.f_sizes
+        self.many = np.array(many, dtype=np.int64)
+        self.p_starts = np.cumsum(self.many) - self.many
+        #: The piece that gave each word its logit last.
+        self.best = self.p_starts
 
     def logits(self, theta: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document logits, their pools, and the words' weights."""
-        e = np.exp(np.minimum(np.add.reduceat(theta[self.f_flat], self.f_starts) - OFFSET, 30))
+        each = np.empty(len(self.f_starts), dtype=theta.dtype)
+        for i in range(0, len(each), 200_000):
+            j = min(i + 200_000, len(each))
+            lo = self.f_starts[i]
+            each[i:j] = np.add.reduceat(theta[self.f_flat[lo : self.f_starts[j - 1] + self.f_sizes[j - 1]]], self.f_starts[i:j] - lo)
+        top = np.maximum.reduceat(each, self.p_starts)
+        at = np.flatnonzero(each == np.repeat(top, self.many))
+        self.best = at[np.searchsorted(at, self.p_starts)]  # the first of equal ones
+        e = np.exp(np.minimum(top - OFFSET, 30))
         pooled = np.bincount(self.doc_of, e[self.flat], self.n) + FLOOR
         return bias + np.log(pooled), pooled, e
 
@@ -156,10 +170,12 @@ class Bags:
         """The gradient by ``theta`` of what has gradient ``g`` by document logits (words at the cap of 30 count as below it)."""
         gw = np.bincount(self.flat, (g / pooled)[self.doc_of], self.n_words) * e
         grad = np.zeros(DIMENSIONS)
-        for i in range(0, self.n_words, 50_000):  # what is as long as all features is made in pieces
-            j = min(i + 50_000, self.n_words)
-            own = self.f_flat[self.f_starts[i] : self.f_starts[j - 1] + self.f_sizes[j - 1]]
-            grad += np.bincount(own, np.repeat(gw[i:j], self.f_sizes[i:j]), DIMENSIONS)
+        for i in range(0, self.n_words, 50_000):  # what is as long as all features is made in slices
+            best = self.best[i : i + 50_000]
+            n = self.f_sizes[best]
+            ends = np.cumsum(n)
+            own = self.f_flat[np.repeat(self.f_starts[best] - ends + n, n) + np.arange(ends[-1])]
+            grad += np.bincount(own, np.repeat(gw[i : i + 50_000], n), DIMENSIONS)
         return grad
 
 

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from litsieve.llm import toxicity
 
 from .test_models import labelled, toxic_corpus  # noqa: F401
@@ -10,12 +13,23 @@ from .corpus import documents
 
 def test_pieces_hold_all_of_a_run():
     rng = random.Random(3)
-    for n in (1, 39, 40, 41, 60, 1234):
+    for n in (1, 3, 11, 12, 13, 39, 40, 41, 60, 1234):
         run = "".join(rng.choice("abcdefghij") for _ in range(n))
-        pieces = toxicity.words(run.upper())
-        assert all(len(p.strip("-")) <= 40 for p in pieces) and " ".join(sorted(pieces)).split() == sorted(pieces)
+        assert toxicity.words(run.upper()) == {run}
+        own = list(toxicity.pieces(run))
+        assert len(own) == max(1, n - 3) and own[0].startswith("<" + run[:12]) and own[-1].endswith(">")
         for k in range(n):
-            assert any(run[k : k + 12] in p for p in pieces)
+            assert any(run[k : k + 12] in p for p in own)
+
+
+@pytest.mark.parametrize("n", [3, 12, 13, 30, 40, 41, 200])
+def test_fit_and_score_pool_alike_at_every_length(n):
+    rng = random.Random(n)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(n)) for _ in range(5)) for _ in range(4)]
+    theta = np.random.default_rng(n).normal(0, 0.7, toxicity.DIMENSIONS)
+    z, _, _ = toxicity.Bags([(False, " ".join(sorted(toxicity.words(t)))) for t in texts]).logits(theta, 0.2)
+    model = toxicity.Model(theta, 0.2)
+    assert [model.score(t) for t in texts] == pytest.approx((1 / (1 + np.exp(-z))).tolist(), rel=1e-6)
 
 
 def test_a_stem_behind_letter_40_marks_the_document(spark, toxic_corpus):  # noqa: F811
