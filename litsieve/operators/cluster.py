@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litsieve.functions.vectors import cosine, dot, mean_vector, squared_distance
-from litsieve.operators.graph import connected_components, local_clustering
+from litsieve.operators.graph import components_at, connected_components, local_clustering, minimum_spanning_forest
 from litsieve.schema import numbered
 from litsieve.storage import bounded, materialize
 
@@ -433,47 +433,49 @@ LARGEST_POWER, OVERSIZE_WEIGHT, SOLO_WEIGHT = 0.6, 10, 2
 
 def threshold_score(sizes: np.ndarray, solo: int, n: int) -> float | None:
     """V19's score of a clustering; none where it has too few clusters."""
-    count = len(sizes)
+    over, off = np.maximum(0, sizes - n**LARGEST_POWER), sizes - n / math.log(n)
+    return _score(len(sizes), float((over**2).sum()), float((off**2).mean()) if len(sizes) else 0.0, solo, n)
+
+
+def _score(count: int, over: float, off: float, solo: int, n: int) -> float | None:
     if not count or count < math.log(max(n, 3) / 2):
         return None
-    penalty = OVERSIZE_WEIGHT * (np.maximum(0, sizes - n**LARGEST_POWER) ** 2).sum() + ((sizes - n / math.log(n)) ** 2).mean()
-    return float(math.e * count - penalty - (SOLO_WEIGHT * solo if solo else count))
+    return float(math.e * count - (OVERSIZE_WEIGHT * over + off) - (SOLO_WEIGHT * solo if solo else count))
+
+
+def threshold_scores(pairs: DataFrame, n: int, grid: list[float], sizes: DataFrame | None = None) -> list[float | None]:
+    """V19's score of the components at each threshold of the grid, among ``n`` rows in all.
 
+    ``sizes`` (``node, size``) says how many rows each node stands for, one if it is not given. The components of all
+    thresholds come from the minimum spanning forest of the pairs and the scores from aggregates of their sizes: one row
+    for each threshold reaches the driver.
+    """
+    forest = materialize(minimum_spanning_forest(pairs.where(F.col("dist") < float(max(grid))), "a", "b"), "forest")
+    nodes = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("size", F.lit(1))
+    if sizes is not None:
+        nodes = sizes.select("node", "size").unionByName(nodes).groupBy("node").agg(F.max("size").alias("size"))
+    size = F.col("size").cast("double")
+    over, off = F.greatest(F.lit(0.0), size - float(n) ** LARGEST_POWER), size - n / math.log(n)
+    found = components_at(forest, nodes, grid).where("size > 1")
+    rows = found.groupBy("step").agg(F.count("*").alias("count"), F.sum("size").alias("placed"), F.sum(over * over).alias("over"), F.avg(off * off).alias("off")).collect()
+    out: list[float | None] = [None] * len(grid)
+    for r in rows:
+        out[r["step"]] = _score(r["count"], r["over"], r["off"], n - r["placed"], n)
+    return out
 
-def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float, step: float = GRID_STEP, sizes: dict | None = None) -> float:
-    """The grid threshold with the best score; the first one where none is admissible.
 
-    The range comes from a quantile of the distances other than 0 and 1; its upper end is not part of it. One pass over the
-    edges below the largest threshold in rising order, joining as Kruskal does. Nodes are classes of rows (at most
-    ``SAMPLE``, so the edges on the driver are bounded); ``sizes`` says how many rows each stands for, one if it does not.
+def search_threshold(pairs: DataFrame, n: int, first: float, percentile: float, step: float = GRID_STEP, sizes: DataFrame | None = None) -> float:
+    """The grid threshold with the best score (the lowest of equal ones); the first one where none is admissible.
+
+    The range comes from a quantile of the distances other than 0 and 1; its upper end is not part of it. ``sizes`` as in
+    ``threshold_scores``.
     """
     r = pairs.where("dist <> 0 and dist <> 1").agg(F.percentile("dist", F.lit(min(1.0, percentile / (100 * math.e))))).first()[0] or 0.0
-    grid = np.arange(max(GRID_LOW, first - r), min(GRID_HIGH, first + r / 3), step)
-    if not len(grid):
+    grid = [float(t) for t in np.arange(max(GRID_LOW, first - r), min(GRID_HIGH, first + r / 3), step)]
+    if not grid or n < 2:
         return first
-    rows = [tuple(x) for x in pairs.where(F.col("dist") < float(grid[-1])).orderBy("dist", "a", "b").collect()]
-    root: dict = {}
-
-    def find(v):
-        while (up := root.get(v, v)) != v:
-            root[v] = v = root.get(up, up)
-        return v
-
-    weight = dict(sizes or {})
-    size = {v: w for v, w in weight.items() if w > 1}
-    best, at, e = -math.inf, first, 0
-    for t in grid:
-        while e < len(rows) and rows[e][2] < t:
-            a, b = find(rows[e][0]), find(rows[e][1])
-            if a != b:
-                root[b] = a
-                size[a] = size.get(a, weight.get(a, 1)) + size.pop(b, weight.get(b, 1))
-            e += 1
-        own = np.array(list(size.values()), dtype=float)
-        v = threshold_score(own, n - int(own.sum()), n)
-        if v is not None and v > best:
-            best, at = v, float(t)
-    return at
+    found = [(v, -k) for k, v in enumerate(threshold_scores(pairs, n, grid, sizes)) if v is not None]
+    return grid[-max(found)[1]] if found else first
 
 
 def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep: float = 0.65, noise: float = 0.01, step: float = GRID_STEP, eps_factor: float = 0.7, restarts: int = 1) -> tuple[float, DataFrame, DataFrame]:
@@ -483,7 +485,7 @@ def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep
     pairs = materialize(edit_distances(classes, key, "labels"), "distances")
     n = members.count()
     pct = adaptive_percentile(n, k, runs)
-    sizes = {r[0]: r[1] for r in classes.select(key, "size").collect()}  # at most SAMPLE
+    sizes = classes.select(F.col(key).alias("node"), "size")
     return search_threshold(pairs, n, distance_threshold(pairs, pct), pct, step, sizes), pairs, members
 
 
