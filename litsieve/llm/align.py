@@ -22,7 +22,7 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from litsieve.storage import materialize
 PIECES = "piece_bpe_32k.model"
 #: Pairs of ids that a worker holds at most (17 bytes each), pairs that it gathers before it sends them on, bytes of text handled at once.
 PAIRS_HELD, PAIRS_GATHERED, BATCH_TEXT = 3_000_000, 2_000_000, 2 << 20
-_COMMON, _LIMIT = 60_000, 300_000
+_COMMON, _LIMIT = 150_000, 400_000
 _SPACE = "▁"
+#: No ids, and no ids because the text is not given back.
+_NONE, _BAD = (b"", b""), (b"", b"", None)
 _LOADED: dict[tuple[str, str], PairCoder] = {}
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -66,7 +68,7 @@ class PairCoder:
         #: Whether no piece holds a space behind another character, nor a line end: only then may texts be cut there.
         self.cuts = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
         self.prefix = self.b.piece_to_id(_SPACE)
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
 
     def forget(self) -> None:
         self.cache = dict(islice(self.cache.items(), _COMMON))
@@ -79,14 +81,27 @@ class PairCoder:
         return a, np.array(ids, dtype="<u4").tobytes()
 
     def _words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Words after one space, or after the line end they start with."""
-        out = []
-        for w, a, b in zip(words, self.a._words(words), self.b.encode(words), strict=True):
-            line = w[0] == "\n"
-            if line and b[:1] == [self.prefix]:
-                b = b[1:]
-            out.append(self._checked(a, b, (w if line else " " + w).encode()))
-        return out
+        """Words after one space, or after the line end they start with; their bytes are checked together."""
+        a, b = self.a._words(words), self.b.encode(words)
+        lines = [k for k, w in enumerate(words) if w[0] == "\n"]
+        for k in lines:
+            if b[k][:1] == [self.prefix]:
+                del b[k][0]
+        flat = np.fromiter(chain.from_iterable(b), dtype="<u4")
+        sizes = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
+        want = [" " + w for w in words]
+        for k in lines:
+            want[k] = words[k]
+        whole = "".join(want).encode()
+        length = pc.binary_length(pa.array(want)).to_numpy()
+        own = np.frombuffer(b"".join(a), dtype="<u4")
+        of_a = np.fromiter(map(len, a), dtype=np.int64, count=len(a)) // 4
+        ends = np.cumsum(sizes)
+        fits = lambda n, ids, each: bool(n.all()) and np.array_equal(np.add.reduceat(each[ids], np.cumsum(n) - n), length)
+        if fits(of_a, own, self.a_len) and fits(sizes, flat, self.b_len) and b"".join(map(self.a_bytes.__getitem__, own.tolist())) == whole and b"".join(map(self.b_bytes.__getitem__, flat.tolist())) == whole:
+            raw = flat.tobytes()
+            return [(x, raw[lo:hi]) for x, lo, hi in zip(a, ((ends - sizes) * 4).tolist(), (ends * 4).tolist(), strict=True)]
+        return [self._checked(x, y, t.encode()) for x, y, t in zip(a, b, want, strict=True)]
 
     def _whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         spaced = [" " + t for t in texts]
@@ -103,7 +118,7 @@ class PairCoder:
             known, odd, bad = self._lookup(words)
             each = lambda flag: np.logical_or.reduceat(flag[at], starts[:-1])
             careful, no = each(odd), each(bad)
-            pairs = [*known, (b"", b"")]
+            pairs = [*known, _NONE]
             out = np.repeat(careful | no, np.diff(starts))
             at[out] = len(words)
             whole = np.flatnonzero(careful)
@@ -118,27 +133,23 @@ class PairCoder:
 
     def _lookup(self, words: list[str]) -> tuple[list[tuple[bytes, bytes]], np.ndarray, np.ndarray]:
         """Both encodings of each word, which words need their text whole, and which ones are not given back."""
-        out: list = [self.cache.get(w, False) for w in words]
-        odd, bad = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
+        out = list(map(self.cache.get, words))
+        odd = np.zeros(len(words), dtype=bool)
         missing = []
-        for k, p in enumerate(out):
-            if p is False:
-                inner = words[k][1:] if words[k][:1] == "\n" else words[k]
-                if not self.cuts or not inner or inner[0].isspace() or inner[-1].isspace():
-                    odd[k] = True
-                else:
-                    missing.append(k)
+        for k in [k for k, p in enumerate(out) if p is None]:
+            inner = words[k][1:] if words[k][:1] == "\n" else words[k]
+            if not self.cuts or not inner or inner[0].isspace() or inner[-1].isspace():
+                odd[k], out[k] = True, _NONE
+            else:
+                missing.append(k)
         if len(self.cache) + len(missing) > _LIMIT:
             self.forget()
-        for k, p in zip(missing, self._words([words[k] for k in missing]) if missing else [], strict=True):
-            out[k] = p
-            if len(words[k]) <= 64:
-                self.cache[words[k]] = p
-        for k, p in enumerate(out):
-            if not p:
-                bad[k] = p is None
-                out[k] = (b"", b"")
-        return out, odd, bad
+        if missing:
+            for k, p in zip(missing, self._words([words[k] for k in missing]), strict=True):
+                out[k] = p = p or _BAD
+                if len(words[k]) <= 64:
+                    self.cache[words[k]] = p
+        return out, odd, np.fromiter((p is _BAD for p in out), dtype=bool, count=len(out))
 
 
 def _gathered(ids: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
