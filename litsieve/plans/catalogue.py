@@ -453,7 +453,7 @@ def relevance_cv(spark, d):
     return relevance.categorise(s, relevance.score_limits(s)).select("doc_id", "p_relevant", "p_irrelevant", "p_borderline", "final_score", "category")
 
 
-from litsieve.plans import catalogue_more  # noqa: E402, F401  (registers its queries here)
+from litsieve.plans import catalogue_joins, catalogue_more  # noqa: E402, F401  (register their queries here)
 
 
 def queries() -> dict[str, Query]:
