@@ -52,18 +52,20 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
 
 
-def merges(x: np.ndarray, linkage: str = "ward") -> list[tuple[float, int, int]]:
+def merges(x: np.ndarray, linkage: str = "ward", sizes: np.ndarray | None = None) -> list[tuple[float, int, int]]:
     """All merges ``(height, i, j)`` of agglomerative clustering, lowest first, by nearest-neighbour chains.
 
     Lance-Williams updates for ward, complete, average and single linkage; quadratic in the (bounded) rows. i and j are any
-    rows of the groups that merge.
+    rows of the groups that merge. ``sizes``: how many rows each row stands for, one if not given.
     """
     n = len(x)
     d = _squared(x, x)
+    size, alive = np.ones(n) if sizes is None else np.array(sizes, dtype=float), np.ones(n, dtype=bool)
     if linkage != "ward":
         d = np.sqrt(d)
+    elif sizes is not None:
+        d *= 2 * size[:, None] * size[None, :] / (size[:, None] + size[None, :])
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, dtype=bool)
     out: list[tuple[float, int, int]] = []
     chain: list[int] = []
     while len(out) < n - 1:
