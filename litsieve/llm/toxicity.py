@@ -7,7 +7,7 @@ gradient is stepped against. The class prior is the share of toxic rows among th
 rows. Only rows with ``crc32(doc_id as text) mod 5 <> 0`` are ever learnt from.
 
 The classifier pools over a document's distinct words. A word's pieces start at each of its letters; a piece
-has a logit, linear in hashed features (the piece, its prefixes, its character 4- and 5-grams), the highest
+has a logit, linear in hashed features (the piece, its first letters, its character 4- and 5-grams), the highest
 is the word's, and the document's logit is a smooth maximum of its words'. So one toxic word marks a text of any
 length, unseen inflections and compounds of known stems count, and a stem in a long run (script without spaces, glued
 words) counts as it does in a short word. Fit and score pool alike. Labels, language, source and doc_id are no inputs of a score.
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.llm.common import batches, doc_rows, texts, tidy, tune
+from litsieve.llm.common import batches, doc_groups, texts, tidy, tune
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 #: The fit's settings, as ``choose`` found them.
 STEPS, RATE, DECAY = 40, 0.1, 1e-4
-DIMENSIONS, FOLDS = 1 << 18, 5
+BITS, FOLDS = 18, 5
+DIMENSIONS = 1 << BITS
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,33 +51,51 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def pieces(word: str) -> Iterator[str]:
-    """Stretches of a word as if each began it; the last ones end where it does."""
-    last = len(word) - PIECE
-    for i in range(max(1, len(word) - 3)):
-        yield f"<{word[i : i + PIECE]}>" if i >= last else f"<{word[i : i + PIECE]}"
+#: Pieces whose features are made at once.
+_CHUNK = 20_000
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+_OPEN, _CLOSE = np.uint64(ord("<")), np.uint64(ord(">"))
 
 
-def features(piece: str) -> list[int]:
-    """Hashed features of one piece."""
-    grams = {piece, *(piece[:n] for n in (4, 5, 6)), *(piece[i : i + n] for n in (4, 5) for i in range(len(piece) - n + 1))}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMENSIONS for g in grams]
+def pieces(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The pieces of the words, some at a time: whose word's each is, its characters in a row, and how many there are.
 
-
-class _Weights(dict):
-    """``exp`` of a word's logit, computed when it is first asked for."""
-
-    def __init__(self, theta: np.ndarray):
-        super().__init__()
-        self.theta = theta
-
-    def __missing__(self, w: str) -> float:
-        v = float(np.exp(min(30.0, max(float(self.theta[features(p)].sum()) for p in pieces(w)) - OFFSET)))
-        if len(w) <= 64:
-            if len(self) > 250_000:
-                self.clear()
-            self[w] = v
-        return v
+    A piece is ``<`` and up to ``PIECE`` letters, as if it began the word, and ``>`` where the word ends with it. Pieces start at
+    every letter that three more follow, and at the first.
+    """
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    many = np.maximum(1, size - 3)
+    first = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(words)), many)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    for at in range(0, len(owner), _CHUNK):
+        own, i = owner[at : at + _CHUNK], inner[at : at + _CHUNK]
+        left = size[own] - i
+        n = np.minimum(left, PIECE)
+        place = np.arange(PIECE)
+        body = flat[np.minimum((first[own] + i)[:, None] + place, len(flat) - 1)].astype(np.uint64)
+        row = np.zeros((len(own), PIECE + 2), dtype=np.uint64)
+        row[:, 0] = _OPEN
+        row[:, 1 : PIECE + 1] = np.where(place < n[:, None], body, 0)
+        ends = np.flatnonzero(left <= PIECE)
+        row[ends, n[ends] + 1] = _CLOSE
+        yield own, row, n + 1 + (left <= PIECE)
+
+
+def features(row: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of pieces and which of them there are: character 4- and 5-grams, the first six, the whole."""
+    wide = row.shape[1]
+    four = ((row[:, :-3] * _MIX[0] + row[:, 1:-2]) * _MIX[0] + row[:, 2:-1]) * _MIX[0] + row[:, 3:]
+    five = four[:, :-1] * _MIX[1] + row[:, 4:]
+    whole = row[:, 0].copy()
+    for k in range(1, wide):
+        whole = whole * _MIX[2] + row[:, k]
+    six = five[:, 0] * _MIX[3] + row[:, 5]
+    grams = np.concatenate([four, five, six[:, None], (whole ^ _MIX[1])[:, None]], axis=1)
+    there = np.concatenate([np.arange(wide - 3) + 4 <= n[:, None], np.arange(wide - 4) + 5 <= n[:, None], (n > 6)[:, None], np.ones((len(n), 1), dtype=bool)], axis=1)
+    grams ^= grams >> np.uint64(29)
+    return ((grams * _MIX[2]) >> np.uint64(64 - BITS)).astype(np.int32), there
 
 
 class Model:
@@ -84,14 +103,37 @@ class Model:
 
     def __init__(self, theta: np.ndarray, bias: float):
         self.theta, self.bias = theta, bias
-        self._weights = _Weights(theta)
+        self._known: dict[str, float] = {}
+
+    def weights(self, own: set[str]) -> dict[str, float]:
+        """``exp`` of the words' logits, those of short words from what was computed before."""
+        known = self._known
+        new = [w for w in own if w not in known]
+        if len(known) + len(new) > 300_000:
+            known.clear()
+            new = list(own)
+        if not new:
+            return known
+        top = np.full(len(new), -np.inf)
+        for owner, row, n in pieces(new):
+            ids, there = features(row, n)
+            np.maximum.at(top, owner, np.where(there, self.theta[ids], 0).sum(axis=1, dtype=np.float64))
+        e = np.exp(np.minimum(top - OFFSET, 30.0)).tolist()
+        known.update((w, v) for w, v in zip(new, e, strict=True) if len(w) <= 64)
+        long = {w: v for w, v in zip(new, e, strict=True) if len(w) > 64}
+        return known | long if long else known
 
     def score(self, text: str) -> float:
-        return self.of_words(words(text))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[float]:
+        return self.of_words([words(t) for t in texts])
 
-    def of_words(self, own: set[str]) -> float:
-        z = self.bias + float(np.log(sum(map(self._weights.__getitem__, own)) + FLOOR))
-        return 1 / (1 + float(np.exp(-min(max(z, -60), 60))))
+    def of_words(self, own: list[set[str]]) -> list[float]:
+        """Scores of documents, given as sets of words."""
+        weigh = self.weights(set().union(*own)).__getitem__
+        z = self.bias + np.log(np.array([sum(map(weigh, o)) for o in own]) + FLOOR)
+        return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
     def __getstate__(self):
         return {"theta": self.theta, "bias": self.bias}
@@ -130,24 +172,23 @@ class Bags:
 
     def __init__(self, documents: list[tuple[bool, str]]):
         vocab: dict[str, int] = {}
-        held, f_held, sizes, f_sizes, many = array("i"), array("i"), [], array("i"), []  # flat, as lists would take ten times the memory
+        held, sizes = array("i"), []  # flat, as lists would take ten times the memory
         for _, said in documents:
             own = said.split()
             sizes.append(len(own))
             held.extend(vocab.setdefault(w, len(vocab)) for w in own)
-        for w in vocab:
-            before = len(f_sizes)
-            for p in pieces(w):
-                own = features(p)
-                f_sizes.append(len(own))
-                f_held.extend(own)
-            many.append(len(f_sizes) - before)
+        owner, flat, f_sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for own, row, n in pieces(list(vocab)):
+            ids, there = features(row, n)
+            owner.append(own)
+            flat.append(ids[there])
+            f_sizes.append(there.sum(axis=1))
         self.n, self.n_words = len(documents), len(vocab)
-        self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.frombuffer(f_held, dtype=np.int32)
+        self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.concatenate(flat)
         self.doc_of = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.f_sizes = np.frombuffer(f_sizes, dtype=np.int32).astype(np.int64)
+        self.f_sizes = np.concatenate(f_sizes)
         self.f_starts = np.cumsum(self.f_sizes) - self.f_sizes
-        self.many = np.array(many, dtype=np.int64)
+        self.many = np.bincount(np.concatenate(owner), minlength=self.n_words)
         self.p_starts = np.cumsum(self.many) - self.many
         #: The piece that gave each word its logit last.
         self.best = self.p_starts
@@ -251,8 +292,8 @@ def choose(docs: DataFrame, labels: DataFrame, grid: list[tuple[int, float, floa
     out = []
     for setting in grid:
         model = fit(taught, prior, *setting)
-        caught = np.mean([model.of_words(set(w.split())) >= 0.5 for w in toxic]) if toxic else 0.0
-        left = np.mean([model.of_words(set(w.split())) < 0.5 for w in clean]) if clean else 0.0
+        caught = np.mean([v >= 0.5 for w in toxic for v in model.of_words([set(w.split())])]) if toxic else 0.0
+        left = np.mean([v < 0.5 for w in clean for v in model.of_words([set(w.split())])]) if clean else 0.0
         out.append((float(caught + left) / 2, setting))
     return sorted(out, key=lambda x: -x[0])
 
@@ -273,9 +314,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for doc_id, text in doc_rows(parts):
-                s = model.score(text)
-                yield doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0, s, int(s >= 0.5)
+            for ids, some in doc_groups(parts):
+                for doc_id, s in zip(ids, model.scores(some), strict=True):
+                    yield doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == 0, s, int(s >= 0.5)
 
         yield from batches(rows(), schema)
 
@@ -295,7 +336,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for b in parts:
             for k in range(0, b.num_rows, 128):
                 some = b.slice(k, 128)
-                yield some.filter(pa.array([model.score(t or "") < 0.5 for t in some.column(at).to_pylist()], type=pa.bool_()))
+                yield some.filter(pa.array([v < 0.5 for v in model.scores([t or "" for t in some.column(at).to_pylist()])], type=pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
 
