@@ -84,13 +84,15 @@ def folds(df: DataFrame, key: str, label: str = "label", k: int = 5, seed: int =
 
 
 def classifiers(seed: int = 42, trees: int = 100) -> dict:
-    """L4's seven, as MLlib has them: boosted trees and margins go one-against-rest; the kernel machine is linear."""
+    """L4's seven: MLlib's, and a kernel machine and multi-class boosting of this library."""
     from pyspark.ml import classification as C
 
+    from litsieve.operators.learners import KernelMachine, SoftmaxBoosting
+
     return {
         "random_forest": C.RandomForestClassifier(numTrees=trees, seed=seed),
-        "gradient_boosting": C.OneVsRest(classifier=C.GBTClassifier(maxIter=trees, seed=seed)),
-        "svc": C.OneVsRest(classifier=C.LinearSVC(maxIter=50)),
+        "gradient_boosting": SoftmaxBoosting(rounds=trees, seed=seed),
+        "svc": KernelMachine(seed=seed),
         "naive_bayes": C.NaiveBayes(modelType="gaussian"),
         "logistic_regression": C.LogisticRegression(maxIter=100),
         "decision_tree": C.DecisionTreeClassifier(seed=seed),
