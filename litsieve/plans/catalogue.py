@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litsieve.config import Config
 from litsieve.functions import search, text, vectors
 from litsieve.functions.fuzzy import normalised_levenshtein
 from litsieve.functions.html import html_text
@@ -433,9 +434,14 @@ def kmeans_bic(spark, d):
 
 @registered()
 def ensemble_clusters(spark, d):
-    """Every vector's cluster; rows beyond the fitted sample take their nearest fitted row's labels."""
+    """Every vector's cluster, with the k and the number of groupings that the configuration's defaults give; rows beyond the fitted
+    sample take their nearest fitted row's labels."""
+    c = Config()
     e = _emb(spark, d)
-    limit, pairs, members = cluster.ensemble_graph(e, "vec_id", "v", 10, 8)
+    n = e.count()
+    k = cluster.choose_k(cluster.sample_matrix(e, "vec_id", "v")[1], n)
+    runs = c.num_groupings_small if n < 500 else c.num_groupings_large
+    limit, pairs, members = cluster.ensemble_graph(e, "vec_id", "v", k, runs, c.ensemble_keep, c.ensemble_noise, c.grid_step, c.eps_factor)
     return cluster.graph_clusters(e.select("vec_id"), pairs.unionByName(cluster.class_edges(members, "vec_id")), "vec_id", limit)
 
 

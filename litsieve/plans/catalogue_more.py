@@ -250,17 +250,20 @@ def emb_distances(spark, d):
     return t.select("vec_id", F.round(vectors.hellinger(p, q), 6).alias("hellinger"), F.round(vectors.jensen_shannon(p, q), 6).alias("js"), F.round(vectors.euclidean(p, q), 6).alias("euclidean"), F.round(F.array_max(vectors.l2_normalise(F.col("e"))), 6).alias("top"))
 
 
-GRID = [(n, k, g) for n in (2, 3, 10, 120, 5000) for k in (2, 9) for g in (8, 35)]
-
-
 @registered(
-    "WITH v AS (SELECT * FROM (VALUES " + ", ".join(map(str, GRID)) + ") v(n, k, g)), b AS (SELECT *, CASE WHEN n <= 2 THEN 40.0 ELSE 100 / (1 + exp(-ln(ln(n)))) END + 15 * ln(k) / ln(n) + 2.5 * ln(g) / ln(50) AS x FROM v) "
-    "SELECT n::BIGINT AS n, k::BIGINT AS k, g::BIGINT AS g, round(100 - least(greatest(x, 0.5), 99.5), 9) AS percentile, round(least(greatest(1 / log10(n::DOUBLE * n), 0.05), 0.5), 9) AS quantile, (5 * round_even(n / 5.0, 0))::BIGINT AS rounded FROM b"
+    """WITH g AS (SELECT l_suppkey AS supplier, count(*) AS n, count(DISTINCT l_partkey) AS k FROM lineitem GROUP BY l_suppkey), b AS (SELECT *, CASE WHEN n <= 2 THEN 40.0 ELSE 100 / (1 + exp(-ln(ln(n)))) END + CASE WHEN n > 1 THEN 15 * ln(k) / ln(n) ELSE 0 END + 2.5 * ln(35) / ln(50) AS x FROM g)
+    SELECT supplier, n::BIGINT AS n, k::BIGINT AS k, round(100 - least(greatest(x, 0.5), 99.5), 6) AS percentile, round(CASE WHEN n > 1 THEN least(greatest(1 / log10(n::DOUBLE * n), 0.05), 0.5) ELSE 0.5 END, 6) AS quantile, (5 * round_even(n / 5.0, 0))::BIGINT AS rounded FROM b"""
 )
 def adaptive_numbers(spark, d):
-    """X5, X6, X7."""
-    rows = [(n, k, g, round(float(cluster.adaptive_percentile(n, k, g)), 9), round(float(cluster.assignment_quantile(n)), 9), cluster.myround(n)) for n, k, g in GRID]
-    return spark.createDataFrame(rows, "n long, k long, g long, percentile double, quantile double, rounded long")
+    """X5, X6, X7 for each supplier's rows and parts, as 35 groupings would use them."""
+    g = read_table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("k"))
+
+    def numbers(parts):
+        for pdf in parts:
+            n, k = pdf["n"].tolist(), pdf["k"].tolist()
+            yield pdf.assign(percentile=[round(float(cluster.adaptive_percentile(a, b, 35)), 6) for a, b in zip(n, k, strict=True)], quantile=[round(float(cluster.assignment_quantile(a)), 6) for a in n], rounded=[cluster.myround(a) for a in n])
+
+    return g.mapInPandas(numbers, f"supplier {g.schema['supplier'].dataType.simpleString()}, n long, k long, percentile double, quantile double, rounded long")
 
 
 @registered(
