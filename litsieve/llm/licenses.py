@@ -21,6 +21,7 @@ score .93 or more wherever they start, and templates of less than 16 bigrams are
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, floor
 from pathlib import Path
 
@@ -88,14 +89,39 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org",
     ],
 }
+#: Licences whose statements are another's with a few words changed: the other's name and the changes, in order.
+_UNPORTED = {"4.0 International": "3.0 Unported", "4.0": "3.0"}
+NEIGHBOURS = {
+    "AGPL-3.0": ("GPL-3.0", {"GNU General": "GNU Affero General"}),
+    "LGPL-3.0": ("GPL-3.0", {"GNU General": "GNU Lesser General"}),
+    "GPL-2.0": ("GPL-3.0", {"version 3": "version 2"}),
+    "LGPL-2.1": ("GPL-3.0", {"GNU General": "GNU Lesser General", "version 3": "version 2.1"}),
+    "Apache-1.1": ("Apache-2.0", {"Version 2.0": "Version 1.1", "LICENSE-2.0": "LICENSE-1.1"}),
+    "MPL-1.1": ("MPL-2.0", {"v. 2.0": "v. 1.1", "MPL/2.0": "MPL/1.1"}),
+    "CC-BY-ND-4.0": ("CC-BY-4.0", {"CC BY": "CC BY-ND", "Attribution": "Attribution-NoDerivatives"}),
+    "CC-BY-NC-SA-4.0": ("CC-BY-NC-4.0", {"BY-NC": "BY-NC-SA", "NonCommercial": "NonCommercial-ShareAlike"}),
+    "CC-BY-NC-ND-4.0": ("CC-BY-NC-4.0", {"BY-NC": "BY-NC-ND", "NonCommercial": "NonCommercial-NoDerivatives"}),
+    "CC-BY-3.0": ("CC-BY-4.0", _UNPORTED),
+    "CC-BY-NC-3.0": ("CC-BY-NC-4.0", _UNPORTED),
+    "CC-BY-SA-3.0": ("CC-BY-SA-4.0", _UNPORTED),
+    "CC-BY-ND-3.0": ("CC-BY-ND-4.0", _UNPORTED),
+    "CC-BY-NC-SA-3.0": ("CC-BY-NC-SA-4.0", _UNPORTED),
+    "CC-BY-NC-ND-3.0": ("CC-BY-NC-ND-4.0", _UNPORTED),
+}
 # ---------------------------------------------------------------------------------------------------------
 _PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def texts() -> dict[str, list[str]]:
-    """All templates by licence: the statements above, then the complete text where ``TEXTS`` has one."""
+    """All templates by licence: the statements above, those of their neighbours, and the complete text where ``TEXTS`` has one.
+
+    With its neighbours' statements at hand, a licence of a like name or version is given its own name.
+    """
+    said = dict(TEMPLATES)
+    for name, (other, changes) in NEIGHBOURS.items():
+        said[name] = [reduce(lambda t, c: t.replace(*c), changes.items(), t) for t in said[other]]
     whole = {f.stem: f.read_text() for f in sorted(TEXTS.glob("*.txt"))}
-    return {name: ts + [whole[name]] if name in whole else ts for name, ts in TEMPLATES.items()}
+    return {name: ts + [whole[name]] if name in whole else ts for name, ts in said.items()}
 
 
 def words(c: Column) -> Column:
