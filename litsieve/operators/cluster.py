@@ -492,12 +492,15 @@ def ensemble_graph(df: DataFrame, key: str, vector: str, k: int, runs: int, keep
 
 
 def assign_nearest(points: DataFrame, centroids: DataFrame, vector: str, by: str = "cluster") -> DataFrame:
-    """Each point's nearest centroid by cosine, with its similarity; centroids are counted before they are broadcast."""
+    """Each point's nearest centroid by cosine, with its similarity; centroids are counted before they are broadcast.
+
+    Every row of ``points`` is a row of its own, also where rows are equal.
+    """
     side = bounded(centroids, "centroids")
     named = side.select(F.col(by).alias("nearest"), F.col("centroid").alias("__c"))
-    w = points.crossJoin(named).withColumn("similarity", cosine(F.col(vector), F.col("__c")))
+    w = points.withColumn("__row", F.monotonically_increasing_id()).crossJoin(named).withColumn("similarity", cosine(F.col(vector), F.col("__c")))
     keys = [c for c in points.columns if c != vector]
-    return w.groupBy(*keys).agg(F.max_by(F.struct("nearest", "similarity"), F.struct(F.round("similarity", 12), -F.col("nearest"))).alias("m")).select(*keys, "m.nearest", "m.similarity")
+    return w.groupBy("__row", *keys).agg(F.max_by(F.struct("nearest", "similarity"), F.struct(F.round("similarity", 12), -F.col("nearest"))).alias("m")).select(*keys, "m.nearest", "m.similarity")
 
 
 def reassign_solos(df: DataFrame, vector: str, key: str, cluster: str = "cluster") -> DataFrame:

@@ -73,7 +73,8 @@ def max_cosine(points: DataFrame, targets: DataFrame, key: str, vector: str) ->
                     yield pd.DataFrame({key: pdf[key], "cosine": best})
 
         part = mine.mapInPandas(run, f"{key} {kind}, cosine double")
-        out = part if out is None else materialize(out.unionByName(part).groupBy(key).agg(F.max("cosine").alias("cosine")), "largest")
+        part = part if out is None else out.unionByName(part)
+        out = materialize(part.groupBy(key).agg(F.max("cosine").alias("cosine")), "largest")  # one row a key, however many blocks
     return mine.select(key, F.lit(None).cast("double").alias("cosine")) if out is None else out
 
 
