@@ -25,6 +25,8 @@ from litsieve.llm.common import ON_RELEASE
 
 TOKENIZER = "byte_bpe_50k.json"
 _LONG = 64
+#: Bytes of text whose ids are put together at once.
+_SLICE = 2 << 20
 #: Segments kept from one task to the next (about 200 bytes each).
 _COMMON = 100_000
 #: Fixed values of the byte-level scheme: how it cuts texts, and the printable character of each byte.
@@ -56,7 +58,7 @@ class SegmentEncoder:
     library's own default, one special id).
     """
 
-    def __init__(self, path: str, special_as_text: bool = False, limit: int = 500_000):
+    def __init__(self, path: str, special_as_text: bool = False, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,14 +123,17 @@ class SegmentEncoder:
         return self.encode_column(pa.array([t or "" for t in texts], type=pa.string()))
 
     def encode_column(self, column: pa.Array) -> list[bytes]:
-        """Ids of each string of a column without nulls.
+        """Ids of each string of a column without nulls, of about ``_SLICE`` bytes of whole texts at a time."""
+        size = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64))
+        out: list[bytes] = []
+        while (at := len(out)) < len(column):
+            upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _SLICE, side="right")))
+            out += self._encode_slice(column.slice(at, upto - at))
+        return out
 
-        Arrow cuts the texts and numbers the distinct segments; Python sees each of those once; numpy
-        puts the ids together.
-        """
+    def _encode_slice(self, column: pa.Array) -> list[bytes]:
+        """Arrow cuts the texts and numbers the distinct segments; Python sees each of those once; numpy puts the ids together."""
         n = len(column)
-        if not n:
-            return []
         gc.disable()  # nothing here is cyclic, and the cache is long to walk
         try:
             # a line end between two visible characters starts a segment too, one without a space
