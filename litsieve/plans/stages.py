@@ -152,7 +152,9 @@ def cluster_graph(spark: SparkSession, c: Config) -> None:
     placed.write.mode("overwrite" if c.overwrite else "errorifexists").parquet(f"{root}/members")
     pairs.where(F.col("dist") < limit).write.mode("overwrite" if c.overwrite else "errorifexists").parquet(f"{root}/edges")
     a, _ = tables.load_version(spark, _state(c))
-    tables.write_review(a.join(spark.read.parquet(f"{root}/members").select("orig_index", "cluster"), "orig_index"), _path(c, "clustered_data_txt", "data/clustered"), "\t", True)
+    named = a.join(spark.read.parquet(f"{root}/members").select("orig_index", "cluster"), "orig_index")
+    tables.write_review(named, _path(c, "clustered_data_txt", "data/clustered"), "\t", True, ("cluster", "orig_index"))
+    tables.write_titles(named, f"{root}/titles", overwrite=c.overwrite)
 
 
 def _clustered(spark: SparkSession, c: Config) -> DataFrame:
@@ -202,7 +204,7 @@ def train_article_group(spark: SparkSession, c: Config) -> None:
         with open(_path(c, "search_query_file", "search_query.txt"), encoding="utf-8") as fh:
             query = fh.read()
     hit = search.matches(text.combined("title", "journal", "abstract", "keywords"), query) if query else F.lit(False)
-    tables.write_review(relevance.prefill(full, hit), _path(c, "categorized_data_file", "data/categorized"), overwrite=True)
+    tables.write_review(relevance.prefill(full, hit), _path(c, "categorized_data_file", "data/categorized"), overwrite=True, order=("orig_index",))
 
 
 @stage

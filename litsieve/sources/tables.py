@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve import schema
+from litsieve.sources import ordered
 from litsieve.storage import remove_tree
 
 
@@ -55,9 +58,9 @@ def load_version(spark: SparkSession, root: str, version: str | None = None) ->
     return spark.read.parquet(f"{root}/{v}/active"), spark.read.parquet(f"{root}/{v}/log")
 
 
-def write_review(df: DataFrame, path: str, sep: str = ",", overwrite: bool = False) -> None:
-    """One file that a person edits; review tables are small by nature."""
-    df.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').option("sep", sep).csv(path)
+def write_review(df: DataFrame, path: str, sep: str = ",", overwrite: bool = False, order: Sequence[str] = ()) -> None:
+    """One file that a person edits, sorted if asked for; written by all tasks and joined in order."""
+    ordered.write_table(df.orderBy(*order) if order else df, path, sep, overwrite)
 
 
 def read_judged(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -84,6 +87,27 @@ def titles_report(df: DataFrame, cluster: str = "cluster", title: str = "title",
     return g.orderBy(F.col(cluster) == solo, cluster).select(F.concat_ws("\n", name, F.array_join("titles", "\n"), F.lit("")).alias("value"))
 
 
+def title_lines(df: DataFrame, cluster: str = "cluster", title: str = "title", solo: int = 999) -> DataFrame:
+    """S12 as one row a line, in order: a cluster's name, its titles sorted, a blank line; single ones last.
+
+    Each line is a row of a global sort, so a cluster with a third of all titles is parted like any other. Null titles give no
+    line, but keep their cluster's name; a null cluster comes first, as ``cluster null``; line ends in titles become spaces; copies stay.
+    """
+    own = df.select(F.col(cluster).alias("c"), F.regexp_replace(F.col(title).cast("string"), r"[\r\n]+", " ").alias("t"))
+    of = own.select("c").distinct()
+    name = F.when(F.col("c") == solo, "solo").otherwise(F.concat(F.lit("cluster "), F.coalesce(F.col("c").cast("string"), F.lit("null"))))
+    heads = of.select("c", F.lit(0).alias("place"), name.alias("t"))
+    ends = of.select("c", F.lit(2).alias("place"), F.lit("").alias("t"))
+    rows = own.where("t is not null").select("c", F.lit(1).alias("place"), "t")
+    last = F.coalesce(F.col("c") == solo, F.lit(False))
+    return heads.unionByName(rows).unionByName(ends).orderBy(last, "c", "place", "t").select(F.col("t").alias("value"))
+
+
+def write_titles(df: DataFrame, path: str, cluster: str = "cluster", title: str = "title", solo: int = 999, overwrite: bool = False) -> None:
+    """The report as one text file."""
+    ordered.write_lines(title_lines(df, cluster, title, solo), path, "titles.txt", overwrite=overwrite)
+
+
 def cluster_report(info: DataFrame, terms: DataFrame, exemplars: DataFrame, by: str = "cluster") -> DataFrame:
     """``cluster, terms, titles, exemplar, order``, largest first."""
     from pyspark.sql import Window
