@@ -115,10 +115,10 @@ def update_from(df: DataFrame, found: str, service: str) -> DataFrame:
     return df.withColumns({f: F.when(F.col(found).isNull(), text(f)).otherwise(merged(f, F.col(found)[f], rules.get(f, "blank"))) for f in FIELDS if f in df.columns})
 
 
-def recover_dois(articles: DataFrame, transport: Transport = http, title_min: int = 80, author_min: int = 60) -> DataFrame:
+def recover_dois(articles: DataFrame, transport: Transport = http, title_min: int = 80, author_min: int = 60, store: str | None = None) -> DataFrame:
     """O1: DOIs for ``auto`` rows from title searches confirmed by year (at most one off, D4), title and authors; others become ``manual``."""
     auto = articles.where("doi_recovery_flag = 'auto'")
-    answers = materialize(lookup(auto, "orig_index", "title", "crossref_title", transport), "answers")  # each row is asked once
+    answers = lookup(auto, "orig_index", "title", "crossref_title", transport, store)
     hits = answers.select("orig_index", F.posexplode(parse_crossref_list(F.col("response"))).alias("place", "w"))
     j = auto.select("orig_index", "title", "authors", "year").join(hits, "orig_index")
     year_ok = F.abs(F.expr("try_cast(year as int)") - F.expr("try_cast(w.year as int)")) <= 1
@@ -130,14 +130,14 @@ def recover_dois(articles: DataFrame, transport: Transport = http, title_min: in
     return out.withColumns({"doi": F.coalesce("__doi", "doi"), "doi_recovery_flag": flag}).drop("__doi")
 
 
-def retrieve_missing(articles: DataFrame, transport: Transport = http) -> DataFrame:
+def retrieve_missing(articles: DataFrame, transport: Transport = http, store: str | None = None) -> DataFrame:
     """O2, O3: rows flagged ``auto`` ask Crossref, then PubMed, then OpenCitations by DOI; what is still blank is ``manual``."""
     flagged = missing_data_flag(articles)
     todo = flagged.where("data_ret_flag = 'auto'")
     rest = flagged.where("data_ret_flag <> 'auto'")
     for service, name, parse in (("crossref_doi", "crossref", parse_crossref), ("pubmed", "pubmed", parse_pubmed), ("opencitations", "opencitations", parse_citations)):
         ask = todo.where("data_ret_flag = 'auto'")
-        answers = materialize(lookup(ask, "orig_index", "doi", service, transport), "answers")
+        answers = lookup(ask, "orig_index", "doi", service, transport, store)
         found = answers.where("response is not null").select("orig_index", parse(F.col("response")).alias("__w"))
         todo = materialize(missing_data_flag(update_from(todo.join(found, "orig_index", "left"), "__w", name).drop("__w")), "enriched")
     still = todo.withColumn("data_ret_flag", F.when(F.col("data_ret_flag") == "", "auto").otherwise("manual"))

@@ -50,7 +50,7 @@ def initialize(spark: SparkSession, c: Config, transport: Transport = http) -> N
     a, terms = boilerplate.remove_repeated(a, "orig_index", "abstract", size=c.std_txt_window_size, over=c.std_txt_rep_thresh, ignore=as_list(c.ignore_std_txt_str))
     tables.write_review(terms, _path(c, "term_removal_log_path", "data/term_removal_log"), overwrite=True)
     a, log = dedup.remove_duplicate_dois(a, schema.empty_log(spark), "import")
-    a = enrich.recover_dois(quality.doi_recovery_flag(a), transport, c.title_match_threshold, c.author_match_threshold)
+    a = enrich.recover_dois(quality.doi_recovery_flag(a), transport, c.title_match_threshold, c.author_match_threshold, c.paths.get("answers_path"))
     tables.save_version(a, log, _state(c), "initialize")
     tables.write_review(quality.doi_manual_list(tables.load_version(spark, _state(c))[0]), _path(c, "doi_manual_csv", "data/doi_manual"), overwrite=True)
 
@@ -63,7 +63,7 @@ def data_retrieval(spark: SparkSession, c: Config, transport: Transport = http)
     if d is not None:
         a, log = decisions.apply_manual(a, log, d, ["title", "authors", "journal", "year", "abstract", "doi"])
     a, log = dedup.remove_duplicate_dois(a, log, "data retrieval")
-    a = enrich.retrieve_missing(a, transport)
+    a = enrich.retrieve_missing(a, transport, c.paths.get("answers_path"))
     tables.save_version(a, log, _state(c), "retrieval")
     a, _ = tables.load_version(spark, _state(c))
     tables.write_review(a.where("data_ret_flag = 'manual'").select("orig_index", "title", "abstract", "authors", "year", "keywords", "data_ret_flag", "doi", "hollow_flag", F.lit("").alias("update_flag")), _path(c, "manual_retrieval_csv", "data/manual_retrieval"), overwrite=True)
