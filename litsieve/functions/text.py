@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -152,6 +153,49 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
 
+#: Fixed values, in order: the Penn Treebank's public splitting rules as pattern and replacement. Quotes that open, marks,
+#: brackets and dashes (``OPENING``); between two spaces then, quotes that close and endings after an apostrophe (``CLOSING``).
+OPENING = (
+    ('\\A"', "`` "),
+    ("(``)", " $1 "),
+    ("([ (\\[{<])(\"|'')", "$1 `` "),
+    ("([:,])([^0-9])", " $1 $2"),
+    ("([:,])\\z", " $1 "),
+    ("\\.\\.\\.", " ... "),
+    ("([;@#$%&])", " $1 "),
+    ("([^.])(\\.)([\\])}>\"']*)[ \\t\\n\\r\\f\\x0B]*\\z", "$1 $2$3 "),
+    ("([?!])", " $1 "),
+    ("([^'])' ", "$1 ' "),
+    ("([\\]\\[(){}<>])", " $1 "),
+    ("--", " -- "),
+)
+CLOSING = (
+    ('"', " '' "),
+    ("([^ \\t\\n\\r\\f\\x0B])('')", "$1 $2 "),
+    ("([^' ])('[sS]|'[mM]|'[dD]|') ", "$1 $2 "),
+    ("([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+)
+#: Words that are two, and where they part.
+CONTRACTIONS = {"cannot": 3, "d'ye": 2, "gimme": 3, "gonna": 3, "gotta": 3, "lemme": 3, "more'n": 4, "'tis": 2, "'twas": 2, "wanna": 3}
+
+
+def words(c: Column) -> Column:
+    """Words and marks by the Treebank's rules. A text counts as one sentence: a full stop inside it stays with its word.
+
+    Null gives null; blank text gives no words. Contracted words part where the whole token is one.
+    """
+    c = reduce(lambda x, rule: F.regexp_replace(x, *rule), OPENING, c)
+    c = reduce(lambda x, rule: F.regexp_replace(x, *rule), CLOSING, F.concat(F.lit(" "), c, F.lit(" ")))
+    found = F.filter(F.split(c, r"[ \t\n\r\f\x0B]+"), lambda x: x != "")
+    at = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
+
+    def parted(t: Column) -> Column:
+        k = F.element_at(at, F.lower(t))
+        return F.when(k.isNull(), F.array(t)).otherwise(F.array(F.substring(t, F.lit(1), k), F.substring(t, k + 1, F.length(t))))
+
+    return F.flatten(F.transform(found, parted))
+
+
 def clean_column(c: Column) -> Column:
     """Lowered, without marks and numbers, each token once in its first place."""
     return F.array_join(F.array_distinct(tokens(remove_numbers(remove_punctuation(F.lower(c))))), " ")
@@ -201,10 +245,10 @@ def lemma(c: Column) -> Column:
     )
 
 
-def content_tokens(c: Column, stop: list[str]) -> Column:
-    """Tokens without stop words, lemmatised, longer than one letter."""
+def content_tokens(c: Column, stop: list[str], cut: Callable[[Column], Column] = tokens) -> Column:
+    """Tokens without stop words, lemmatised, longer than one letter; ``cut=words`` takes the Treebank's."""
     words = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")
-    kept = F.filter(tokens(c), lambda t: ~F.array_contains(words, t))
+    kept = F.filter(cut(c), lambda t: ~F.array_contains(words, t))
     return F.filter(F.transform(kept, lemma), lambda t: (F.length(t) > 1) & ~F.array_contains(words, t))
 
 

@@ -91,6 +91,25 @@ def doc_content_tokens(spark, d):
     return articles(spark, d).select(F.col("orig_index").alias("doc_id"), F.size(w).cast("long").alias("n"), _digest(F.array_join(w, " ")))
 
 
+def _rules_sql(rules, c: str) -> str:
+    quoted = [(p.replace("'", "''"), to.replace("$", "\\").replace("'", "''")) for p, to in rules]
+    return reduce(lambda x, r: f"regexp_replace({x}, '{r[0]}', '{r[1]}', 'g')", quoted, c)
+
+
+TREEBANK = f"list_filter(string_split_regex({_rules_sql(text.CLOSING, f"concat(' ', {_rules_sql(text.OPENING, "coalesce(text, '')")}, ' ')")}, '[ \t\n\r\f\x0B]+'), lambda x: x <> '')"
+PARTS = "CASE lower(x) " + " ".join(f"WHEN '{w.replace("'", "''")}' THEN {k}" for w, k in text.CONTRACTIONS.items()) + " ELSE 0 END"
+
+
+@registered(
+    f"""WITH w AS (SELECT doc_id, flatten(list_transform({TREEBANK}, lambda x: CASE WHEN {PARTS} > 0 THEN [substr(x, 1, {PARTS}), substr(x, {PARTS} + 1)] ELSE [x] END)) AS w FROM documents)
+    SELECT doc_id, len(w)::BIGINT AS n, md5(coalesce(array_to_string(w, ' '), '')) AS digest FROM w"""
+)
+def doc_treebank_words(spark, d):
+    """T12 by the Treebank's rules, on the texts as they are."""
+    w = text.words(F.coalesce("text", F.lit("")))
+    return read_table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n"), _digest(F.array_join(w, " ")))
+
+
 @registered(
     f"""WITH {ART}, w AS (SELECT doc_id, list_filter({SPACED}, lambda x: regexp_matches(x, '[a-zA-Z]')) AS w FROM art),
     g AS (SELECT doc_id, flatten([list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' ')) for n in [1, 2, 3]]) AS g FROM w) SELECT doc_id, len(g)::BIGINT AS n, md5(coalesce(array_to_string(g, '|'), '')) AS digest FROM g"""

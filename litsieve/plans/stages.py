@@ -118,7 +118,7 @@ def preprocess_abstracts(spark: SparkSession, c: Config) -> None:
     a, _ = tables.load_version(spark, _state(c))
     a, _ = dedup.keep_first(a, "title")
     stop = text.stopwords(c.languages, c.custom_stopwords)
-    doc = a.select("orig_index", text.content_tokens(text.document("abstract", "title", "keywords", "authors", "journal"), stop).alias("toks"))
+    doc = a.select("orig_index", text.content_tokens(text.document("abstract", "title", "keywords", "authors", "journal"), stop, text.words).alias("toks"))
     toks = doc.select("orig_index", F.explode(text.ngrams(F.col("toks"), *c.ngrams)).alias("term"))
     n = a.count()
     w = lsa.tfidf(toks, "orig_index", max_df=c.max_doc_freq, min_df=max(1, int(0.015 * n)), n_docs=n)
