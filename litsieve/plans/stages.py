@@ -19,6 +19,7 @@ from litsieve.operators import boilerplate, cluster, decisions, dedup, enrich, l
 from litsieve.functions.vectors import mean_vector
 from litsieve.sources import tables
 from litsieve.sources.lookup import Transport, http
+from litsieve.storage import materialize
 
 STAGES: dict[str, Callable[[SparkSession, Config], None]] = {}
 
@@ -169,11 +170,11 @@ def define_clusters(spark: SparkSession, c: Config) -> None:
     m = _clustered(spark, c).where(F.col("cluster") != cluster.SOLO)
     edges = spark.read.parquet(f"{_path(c, 'clusters_pickle', 'data/clusters')}/edges")
     stats = m.groupBy("cluster").agg(F.count("*").alias("size")).join(cluster.cluster_ess(m, "vector"), "cluster").join(cluster.cluster_silhouette(m, "orig_index", "vector"), "cluster").join(cluster.mean_clustering(edges, m.select("orig_index", "cluster"), "orig_index"), "cluster")
-    scores = cluster.coherence(stats).select("cluster", F.col("coherence").alias("score"))
+    scores = materialize(cluster.coherence(stats).select("cluster", F.col("coherence").alias("score")), "scores")
     info = m.groupBy("cluster").agg(F.collect_list("title").alias("titles"), F.collect_list("orig_index").alias("members")).join(mean_vector(m, "cluster", "vector").select("cluster", "centroid"), "cluster")
-    chosen = cluster.select_clusters(info, scores, cuts=c.elbow_cuts, percentile=c.merge_percentile / 100)
+    chosen = materialize(cluster.select_clusters(materialize(info, "info"), scores, cuts=c.elbow_cuts, percentile=c.merge_percentile / 100), "chosen")
     _, model = _space(spark, c)
-    terms = lsa.infrequent_terms(lsa.cluster_terms(chosen, model))
+    terms = lsa.infrequent_terms(materialize(lsa.cluster_terms(chosen, model), "terms"))
     best = cluster.exemplars(m.withColumn("cluster", F.col("cluster").cast("string")), "orig_index", "vector").select("cluster", F.col("exemplar").cast("string").alias("exemplar"))
     tables.write_review(tables.cluster_review(chosen, terms, best), _path(c, "text_review_clusters_csv", "data/text_review_clusters"), overwrite=True)
     chosen.write.mode("overwrite").parquet(f"{_path(c, 'clusters_pickle', 'data/clusters')}/chosen")
@@ -191,12 +192,13 @@ def train_article_group(spark: SparkSession, c: Config) -> None:
     coh = review.select(F.explode(text.cluster_members(F.col("cluster_id"))).alias("cluster"), F.expr("try_cast(Coherence as double)").alias("coherence"))
     f = relevance.features(lab, cents, coh.withColumn("cluster", F.col("cluster").cast("int")), "vector", "orig_index")
     f = f.withColumn("features", array_to_vector(F.concat("vector", F.array("distance_to_centroid", "coherence_weight", "similarity_to_relevant"))))
+    f = materialize(f, "features")
     preds, metrics = relevance.cross_validate(f, "orig_index", k=c.folds, seed=c.seed)
-    blended = relevance.blend(preds, metrics, "orig_index")
+    blended = materialize(relevance.blend(preds, metrics, "orig_index"), "blended")
     bad = cents.join(lab.where("label = 'irrelevant'").select("cluster").distinct(), "cluster", "left_semi")
-    near = cluster.assign_nearest(m.select("orig_index", "vector"), bad, "vector")
+    near = materialize(cluster.assign_nearest(m.select("orig_index", "vector"), bad, "vector"), "nearest")
     near = near.join(coh.select(F.col("cluster").cast("int").alias("nearest"), "coherence"), "nearest", "left").select("orig_index", F.col("similarity").alias("irrelevant_similarity"), F.coalesce("coherence", F.lit(0.0)).alias("irrelevant_coherence"))
-    scored = relevance.final_scores(blended.join(near, "orig_index", "left"))
+    scored = materialize(relevance.final_scores(blended.join(near, "orig_index", "left")), "final-scores")
     scored = relevance.categorise(scored, relevance.score_limits(scored))
     full = relevance.with_predictions(lab.drop("vector"), scored, "orig_index")
     query = ""
