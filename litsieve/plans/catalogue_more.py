@@ -366,11 +366,9 @@ def stratified_folds(spark, d):
 @registered("WITH p AS (SELECT p_partkey AS k, p_name AS s, p_brand AS g FROM part), d AS (SELECT levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s), 1)::DOUBLE AS dist FROM p x JOIN p y ON x.g = y.g AND x.k < y.k) SELECT round(quantile_cont(dist, 0.4), 6) AS threshold FROM d WHERE dist <> 0 AND dist <> 1")
 def edit_threshold(spark, d):
     """V18, J8."""
-    from litsieve.functions.fuzzy import normalised_levenshtein
+    from litsieve.operators.similarity_join import edit_distances
 
-    p = read_table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("s"), F.col("p_brand").alias("g"))
-    x, y = p.alias("x"), p.alias("y")
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.k") < F.col("y.k"))).select(normalised_levenshtein(F.col("x.s"), F.col("y.s")).alias("dist"))
-    return spark.createDataFrame([(round(cluster.distance_threshold(pairs, 40.0), 6),)], "threshold double")
+    _, pairs = edit_distances(read_table(spark, d, "part"), "p_partkey", "p_brand", "p_name")
+    return spark.createDataFrame([(round(cluster.distance_threshold(pairs, 40.0, "many"), 6),)], "threshold double")
 
 
