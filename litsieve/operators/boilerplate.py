@@ -9,8 +9,12 @@ from litsieve.functions.text import remove_all, text, windows
 
 
 def repeated_windows(df: DataFrame, key: str, column: str, size: int = 5, over: int = 5, ignore: list[str] | None = None) -> DataFrame:
-    """``key, term, count, first``: windows seen more than ``over`` times in one document, with their first place."""
-    w = df.select(key, F.posexplode(windows(text(column), size)).alias("at", "term"))
+    """``key, term, count, first``: windows seen more than ``over`` times in one document, with their first place.
+
+    Texts go to their key's task whole and are cut there, so the windows, ``size`` times the text, are never shuffled.
+    """
+    rows = df.select(key, text(column).alias("__text")).repartition(F.col(key))
+    w = rows.select(key, F.posexplode(windows(F.col("__text"), size)).alias("at", "term"))
     if ignore:
         w = w.where(~F.col("term").isin(*ignore))
     return w.groupBy(key, "term").agg(F.count("*").alias("count"), F.min("at").alias("first")).where(F.col("count") > over)
