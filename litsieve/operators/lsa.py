@@ -20,13 +20,13 @@ def tfidf(tokens: DataFrame, key: str, term: str = "term", max_df: float = 1.0,
     df_ = tf.groupBy(term).agg(F.count("*").alias("df"))
     n = F.lit(n_docs) if n_docs is not None else F.col("n")
     if n_docs is None:
-        total = tokens.agg(F.count_distinct(key).alias("n"))
+        total = tf.agg(F.count_distinct(key).alias("n"))
         df_ = df_.crossJoin(F.broadcast(total))
     used = df_.where((F.col("df") >= max(1, min_df)) & (F.col("df") <= max_df * n)).withColumn("idf", F.ln((1 + n) / (1 + F.col("df"))) + 1).select(term, "idf")
-    w = tf.join(used, term).withColumn("w", F.col("tf") * F.col("idf"))
-    w = materialize(w.select(key, term, "tf", "w"), "weights")
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, key).select(key, term, "tf", (F.col("w") / F.col("norm")).alias("tfidf"))
+    w = tf.join(used, term).select(key, term, "tf", (F.col("tf") * F.col("idf")).alias("w"))
+    # a document's weights meet once, for its norm and for whatever is ranked by document next
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, term, "tf", (F.col("w") / norm).alias("tfidf"))
 
 
 def top_terms(weights: DataFrame, key: str, k: int, weight: str = "tfidf", term: str = "term") -> DataFrame:
@@ -78,11 +78,17 @@ def fit_lsa(weights: DataFrame, key: str, max_components: int = 250, min_ratio:
         raise ValueError(f"more than {max_terms} terms; raise min_df or lower max_df")
     at = spark.createDataFrame(list(enumerate(vocab)), "i int, term string")
     rows = weights.join(F.broadcast(at), "term").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.col("tfidf").alias("w")))).alias("s"))
+    rows = materialize(rows, "text-rows")
     width = len(vocab)
-    vectors = rows.rdd.map(lambda r: Vectors.sparse(width, [x[0] for x in r[1]], [x[1] for x in r[1]]))
+    vectors = rows.select("s.i", "s.w").rdd.map(lambda r: Vectors.sparse(width, r[0], r[1]))
     k = max(1, min(max_components, width - 1))
-    svd = RowMatrix(vectors, numCols=width).computeSVD(k)
-    components = np.array(svd.V.toArray()).T
+    matrix = RowMatrix(vectors, numCols=width)
+    # every step of the solver reads all rows: they are kept as vectors, on disk where memory ends
+    held = matrix._java_matrix_wrapper._java_model.rows().persist(spark._jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
+    try:
+        components = np.array(matrix.computeSVD(k).V.toArray()).T
+    finally:
+        held.unpersist(False)
     project = _projector(components)
     raw = materialize(rows.select(key, project(F.col("s")).alias("raw")), "projected")
     k = len(components)
