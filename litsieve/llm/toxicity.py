@@ -177,18 +177,20 @@ class Bags:
             own = said.split()
             sizes.append(len(own))
             held.extend(vocab.setdefault(w, len(vocab)) for w in own)
-        owner, flat, f_sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
-        for own, row, n in pieces(list(vocab)):
+        every = list(vocab)
+        del vocab
+        owner, flat, f_sizes = array("i"), array("i"), array("i")  # these grow in place; pieces to join would be there twice
+        for own, row, n in pieces(every):
             ids, there = features(row, n)
-            owner.append(own)
-            flat.append(ids[there])
-            f_sizes.append(there.sum(axis=1))
-        self.n, self.n_words = len(documents), len(vocab)
-        self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.concatenate(flat)
+            owner.frombytes(own.astype(np.int32).tobytes())
+            flat.frombytes(ids[there].tobytes())
+            f_sizes.frombytes(there.sum(axis=1).astype(np.int32).tobytes())
+        self.n, self.n_words = len(documents), len(every)
+        self.flat, self.f_flat = np.frombuffer(held, dtype=np.int32), np.frombuffer(flat, dtype=np.int32)
         self.doc_of = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        self.f_sizes = np.concatenate(f_sizes)
+        self.f_sizes = np.frombuffer(f_sizes, dtype=np.int32).astype(np.int64)
         self.f_starts = np.cumsum(self.f_sizes) - self.f_sizes
-        self.many = np.bincount(np.concatenate(owner), minlength=self.n_words)
+        self.many = np.bincount(np.frombuffer(owner, dtype=np.int32), minlength=self.n_words)
         self.p_starts = np.cumsum(self.many) - self.many
         #: The piece that gave each word its logit last.
         self.best = self.p_starts
@@ -247,8 +249,8 @@ def remainder() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, use: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[list[tuple[bool, str]], float]:
-    """The bounded training sample as sets of words, and the class prior; ``use``: remainders learnt from.
+def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, use: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[DataFrame | None, float]:
+    """The bounded training sample as sets of words (``p, words``; none without toxic rows), and the class prior; ``use``: remainders learnt from.
 
     Ids are chosen first, from the labels alone; the chosen ones (at most the two bounds) are broadcast and only their
     texts are read out, one for each id (of several texts the one whose words sort first).
@@ -259,7 +261,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic:
-        return [], 0.0
+        return None, 0.0
     few = lambda df, salt, k: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(k)
     marked = few(known.where("toxic = 1"), 1, max_positive).withColumn("p", F.lit(True)).union(few(known, 2, max_unlabelled).withColumn("p", F.lit(False)))
     ids = [(r[0], r[1]) for r in marked.collect()]  # at most max_positive + max_unlabelled
@@ -276,8 +278,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
         yield from batches(rows(), schema)
 
     said = texts(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "p").mapInArrow(tidy(run), "doc_id long, p boolean, words string")
-    got = said.groupBy("doc_id", "p").agg(F.min("words").alias("words")).collect()
-    return sorted((r.p, r.words) for r in got), toxic / n
+    return said.groupBy("doc_id", "p").agg(F.min("words").alias("words")).select("p", "words"), toxic / n
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, use: tuple[int, ...] = (1, 2, 3, 4)) -> tuple[list[tuple[bool, str]], float]:
+    """``training_sample`` on the driver, in order."""
+    rows, prior = training_sample(docs, labels, max_positive, max_unlabelled, use)
+    return sorted((r.p, r.words) for r in rows.collect()) if rows is not None else [], prior
 
 
 def choose(docs: DataFrame, labels: DataFrame, grid: list[tuple[int, float, float]], max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> list[tuple[float, tuple[int, float, float]]]:
@@ -299,7 +306,18 @@ def choose(docs: DataFrame, labels: DataFrame, grid: list[tuple[int, float, floa
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    return fit(*training_rows(docs, labels, max_positive, max_unlabelled))
+    """The fit on the bounded sample, in one task: the driver gets the weights, and neither the texts nor their features."""
+    rows, prior = training_sample(docs, labels, max_positive, max_unlabelled)
+    if rows is None:
+        return fit([], prior)
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taught = sorted(x for b in parts for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = fit(taught, prior)
+        yield pa.RecordBatch.from_pydict({"theta": [model.theta.tobytes()], "bias": [model.bias]})
+
+    got = rows.repartition(1).mapInArrow(tidy(run), "theta binary, bias double").first()
+    return Model(np.frombuffer(got.theta, dtype=np.float32), got.bias) if got else fit([], prior)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
