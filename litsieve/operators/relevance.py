@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +42,23 @@ def features(articles: DataFrame, centroids: DataFrame, coherence: DataFrame, ve
     return out.join(near, key, "left").withColumn("similarity_to_relevant", F.coalesce("similarity_to_relevant", F.lit(0.0)))
 
 
-#: Rows of the smaller side that meet the whole table at once.
-BLOCK = 4096
+#: Rows of the smaller side that meet the whole table at once, and rows of the table in one product with them.
+BLOCK, ROWS = 4096, 512
+
+
+def _largest(x: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Each row's largest cosine to unit ``targets``; no product is larger than ``ROWS`` times the targets."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return np.concatenate([(unit[at : at + ROWS] @ targets.T).max(axis=1) for at in range(0, len(unit), ROWS)])
 
 
 def max_cosine(points: DataFrame, targets: DataFrame, key: str, vector: str) -> DataFrame:
     """``key, cosine``: each point's largest cosine to any target; null without targets, 0 for a zero vector.
 
     Targets (documents that people have judged) go out in blocks of ``BLOCK`` rows, one matrix product for each block and
-    batch of points, so a worker holds one block; more targets are more blocks.
+    slice of points, so a worker holds one block and a product of ``ROWS`` rows, whatever the batch; more targets are more blocks.
     """
-    import numpy as np
-    import pandas as pd
-
     doubles = F.transform(vector, lambda v: v.cast("double")).alias("v")
     side = materialize(numbered(targets.where(F.col(vector).isNotNull()).select(doubles), ["v"], "at"), "targets")
     n = side.count()
@@ -67,14 +73,12 @@ def max_cosine(points: DataFrame, targets: DataFrame, key: str, vector: str) ->
         def run(parts, shared=shared):
             for pdf in parts:
                 if len(pdf):
-                    x = np.array(pdf["v"].tolist(), dtype=float)
-                    own = np.linalg.norm(x, axis=1, keepdims=True)
-                    best = (np.divide(x, own, out=np.zeros_like(x), where=own > 0) @ shared.value.T).max(axis=1)
-                    yield pd.DataFrame({key: pdf[key], "cosine": best})
+                    yield pd.DataFrame({key: pdf[key], "cosine": _largest(np.array(pdf["v"].tolist(), dtype=float), shared.value)})
 
         part = mine.mapInPandas(run, f"{key} {kind}, cosine double")
         part = part if out is None else out.unionByName(part)
         out = materialize(part.groupBy(key).agg(F.max("cosine").alias("cosine")), "largest")  # one row a key, however many blocks
+        shared.destroy()
     return mine.select(key, F.lit(None).cast("double").alias("cosine")) if out is None else out
 
 
