@@ -35,6 +35,8 @@ from litsieve.storage import fresh_dir
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES, END_ID = 64 << 10, 10, 7, 0
 #: A writer holds a key and ten unpacked filter bits for each document of its shard, about 80 bytes.
 SHARD_DOCUMENTS = 1_000_000
+#: Segments that an encoding worker remembers, about 160 MB; little else is held beside them.
+CACHED = 800_000
 _FOOTER, _MAGIC = struct.Struct("<QQQQIIQQ8s"), b"TOKSST01"
 _BLOCK = struct.Struct("<9sQIII")
 
@@ -210,7 +212,7 @@ def write_shards(docs: DataFrame, uri: str, path: str | None = None, end_id: int
     made = pa.schema([("shard", pa.int32()), ("uri", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())])
 
     def encode(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, limit=CACHED)
 
         dealt: dict[tuple, int] = {}
 

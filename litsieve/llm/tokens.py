@@ -27,8 +27,8 @@ TOKENIZER = "byte_bpe_50k.json"
 _LONG = 64
 #: Bytes of text whose ids are put together at once.
 _SLICE = 2 << 20
-#: Segments kept from one task to the next (about 200 bytes each).
-_COMMON = 100_000
+#: Words of letters in one call of the library.
+_TOGETHER = 50
 #: Fixed values of the byte-level scheme: how it cuts texts, and the printable character of each byte.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -36,7 +36,7 @@ _BYTES = {b: b if b in _SHOWN else 256 + k for k, b in [(sum(x not in _SHOWN for
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _CHARS = [chr(_BYTES[b]) for b in range(256)]
 _MARKS = frozenset(".,;:!?")
-_LOADED: dict[tuple[str, bool], "SegmentEncoder"] = {}
+_LOADED: dict[tuple[str, bool, int], "SegmentEncoder"] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -61,38 +61,60 @@ class SegmentEncoder:
     def __init__(self, path: str, special_as_text: bool = False, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.named = any(s.isalnum() for s in self.special)
         self.limit = limit
         self.cache: dict[str, bytes] = {}
 
+        # the same model over words in printable characters, cut before each one's space; no other token starts with a space
+        self.joined = Tokenizer(self.tok.model)
+        self.joined.pre_tokenizer = Split("\u0120", "merged_with_next")
+        vocabulary = self.tok.get_vocab()
+        self.heads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.heads[[k for token, k in vocabulary.items() if token[0] == "\u0120"]] = True
         self.pattern = regex.compile(_PATTERN)
         self.small: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, shown: list[str]) -> list[bytes]:
+        """Ids of each word of letters after one space, given in printable characters."""
+        out: list[bytes] = []
+        for at in range(0, len(shown), _TOGETHER):
+            some = "\u0120" + "\u0120".join(shown[at : at + _TOGETHER])
+            ids = np.array(self.joined.encode_batch_fast([some], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts, raw = (np.flatnonzero(self.heads[ids]) * 4).tolist(), ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word after one space, or after the line end it starts with.
 
         Words of letters, digits and marks below U+0530 are cut by the pre-tokeniser's own pattern and
         their pieces go straight to the library's BPE model; all others go through its whole pipeline.
         """
-        out, later = [], []
+        out, later, plain, shown = [], [], [], []
         tokenize, small, known = self.tok.model.tokenize, self.small, self.cache
         for w in words:
             if w.isascii():
                 if w.isalpha():
-                    out.append(array("I", [t.id for t in tokenize("\u0120" + w)]).tobytes())
+                    plain.append(len(out))
+                    shown.append(w)
+                    out.append(b"")
                     continue
             elif max(w) >= "\u0530":
                 later.append(len(out))
                 out.append(w)
                 continue
             elif w.isalpha():
-                out.append(array("I", [t.id for t in tokenize("\u0120" + _shown(w))]).tobytes())
+                plain.append(len(out))
+                shown.append(_shown(w))
+                out.append(b"")
                 continue
             # letters and one mark are two pieces; anything else is cut by the pattern
             body = w[:-1]
@@ -105,13 +127,15 @@ class SegmentEncoder:
             out.append(ids)
         if len(small) > self.limit // 4:
             small.clear()
+        for k, ids in zip(plain, self._letters(shown), strict=True):
+            out[k] = ids
         for k, ids in zip(later, self._library([out[k] if out[k][0] == "\n" else " " + out[k] for k in later]), strict=True):
             out[k] = ids
         return out
 
     def forget(self) -> None:
         """Keep the segments met first, which are the common ones; a dictionary remembers its order."""
-        keep = min(_COMMON, self.limit // 2)
+        keep = self.limit // 3
         self.cache = dict(islice(self.cache.items(), keep))
         self.small = dict(islice(self.small.items(), keep))
 
@@ -140,7 +164,8 @@ class SegmentEncoder:
             lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
             starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             coded = pc.dictionary_encode(lists.flatten())
-            words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            # by way of numpy: pyarrow's own lists make an object of each value first
+            words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
             first = at[starts[:-1]]
             known, odd = self._lookup(words)
             careful = np.logical_or.reduceat(odd[at], starts[:-1]) if odd.any() else np.zeros(n, dtype=bool)
@@ -165,6 +190,9 @@ class SegmentEncoder:
         for k, ids in enumerate(out):
             if ids is None:
                 w = words[k]
+                if w.isalnum() and not self.named:
+                    missing.append(k)
+                    continue
                 inner = w[1:] if w[:1] == "\n" else w
                 if not inner or inner[0].isspace() or inner[-1].isspace() or any(s in w for s in self.special):
                     odd[k], out[k] = True, b""
@@ -190,10 +218,10 @@ class SegmentEncoder:
         return self._library(own[:1])[0] + b"".join(rest)
 
 
-def encoder(path: str, special_as_text: bool = False) -> SegmentEncoder:
+def encoder(path: str, special_as_text: bool = False, limit: int = 300_000) -> SegmentEncoder:
     """One encoder for each Python worker."""
-    key = (path, special_as_text)
+    key = (path, special_as_text, limit)
     if key not in _LOADED:
-        _LOADED[key] = own = SegmentEncoder(path, special_as_text)
+        _LOADED[key] = own = SegmentEncoder(path, special_as_text, limit)
         ON_RELEASE.append(own.forget)
     return _LOADED[key]
